@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .common import read
+from .media import op4_media
 from .pii import op1_pii
+from .quality import op9_quality
 from .secret_scan import op7_secret_scan
 from .token_store import op2_token_store
 
 QUERIES = {
     "op1_pii": lambda spark, d: op1_pii(read(spark, d, "documents")),
     "op2_token_store": lambda spark, d: op2_token_store(spark, read(spark, d, "documents")),
+    "op4_media": lambda spark, d: op4_media(read(spark, d, "documents")),
     "op7_secret_scan": lambda spark, d: op7_secret_scan(read(spark, d, "documents")),
+    "op9_quality": lambda spark, d: op9_quality(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 ORACLE_SQL: dict[str, str] = {}
