@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "word_length_sd", "longest_word", "upper", "digits", "space", "punctuation", "symbols", "bars", "exclamations",
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Trees:
 def score_documents(docs: DataFrame, model: Trees, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
     """All columns of the documents and the score, 0 to 1, higher is better; an equally named column is replaced."""
     docs = docs.drop(score_col)
-    schema = docs.schema.add(score_col, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def rows(batches):
         for batch in batches:
