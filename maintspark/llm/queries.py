@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .common import read
+from .decontaminate import op8_decontamination
 from .media import op4_media
+from .mixing import op10_mixing
 from .pii import op1_pii
 from .quality import op9_quality
 from .secret_scan import op7_secret_scan
@@ -15,5 +17,7 @@ QUERIES = {
     "op4_media": lambda spark, d: op4_media(read(spark, d, "documents")),
     "op7_secret_scan": lambda spark, d: op7_secret_scan(read(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op8_decontamination": lambda spark, d: op8_decontamination(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op10_mixing": lambda spark, d: op10_mixing(spark, read(spark, d, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {}
