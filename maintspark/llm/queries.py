@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import read
 from .decontaminate import op8_decontamination
 from .html_text import op3_html_text
+from .jaccard_join import op6_jaccard_join
 from .media import op4_media
 from .mixing import op10_mixing
 from .pii import op1_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_token_store": lambda spark, d: op2_token_store(spark, read(spark, d, "documents")),
     "op3_html_text": lambda spark, d: op3_html_text(read(spark, d, "pages")),
     "op4_media": lambda spark, d: op4_media(read(spark, d, "documents")),
+    "op6_jaccard_join": lambda spark, d: op6_jaccard_join(read(spark, d, "documents")),
     "op7_secret_scan": lambda spark, d: op7_secret_scan(read(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(read(spark, d, "documents"), read(spark, d, "labels")),
     "op8_decontamination": lambda spark, d: op8_decontamination(read(spark, d, "documents"), read(spark, d, "benchmark")),
