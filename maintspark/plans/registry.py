@@ -1,4 +1,128 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame; ORACLE_SQL has the same in DuckDB's SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maintspark.operators import effectivity as eff
+from maintspark.operators import fleet, history, reliability, retrieval
+
+from .views import duck, view
+
+AS_OF = "timestamp '2001-06-30 00:00:00'"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = duck(sql)
+
+
+def _on(function, *views):
+    """A query that applies a function to views."""
+    return lambda spark, d: function(*(view(spark, d, v) for v in views))
+
+
+def _as_of():
+    return F.expr(AS_OF)
+
+
+def _n(days: int) -> str:
+    return f"count(*) filter (where occurrence_date >= {AS_OF} - interval {days} day)"
+
+
+_COUNTS = f"select ata_code, {_n(30)} as n30, {_n(60)} as n60, {_n(90)} as n90 from occurrences group by ata_code"
+_add("recurrence", _on(lambda o: reliability.recurrence(o, _as_of()), "occurrences"), _COUNTS)
+_MTTR = f"select ata_code, avg(days_to_resolution) filter (where occurrence_date >= {AS_OF} - interval 90 day) as mttr_mean, max(days_to_resolution) filter (where occurrence_date >= {AS_OF} - interval 90 day) as mttr_max from occurrences group by ata_code"
+_add("mttr", _on(lambda o: reliability.mttr(o, _as_of()), "occurrences"), _MTTR)
+_RANKED = "select *, row_number() over (partition by ata_code order by coalesce(times_replaced,0) desc, part_number) as rk from parts"
+_add("top_parts", _on(lambda p: reliability.top_parts(p).select("ata_code", "part_number", "times_replaced", "rank"), "parts"), f"select ata_code, part_number, times_replaced, rk as rank from ({_RANKED}) where rk <= 5")
+_add(
+    "ata_report",
+    _on(lambda o, p: reliability.ata_report(o, p, _as_of()), "occurrences", "parts"),
+    f"""select coalesce(c.ata_code, t.ata_code) as ata_code, coalesce(n30,0) as n30, coalesce(n60,0) as n60, coalesce(n90,0) as n90, mttr_mean, mttr_max,
+    case when n90 > 0 then cast(floor(90*24/n90 + 0.5) as bigint) end as mtbf_low, case when n90 > 0 then cast(floor(120*24/n90 + 0.5) as bigint) end as mtbf_high,
+    coalesce(n30,0)/30*100 as failure_rate, case when coalesce(n30,0) > (coalesce(n90,0)-coalesce(n30,0))/2 then 'increasing' else 'stable' end as trend, coalesce(top_parts, '') as top_parts
+    from ({_COUNTS}) c full join (select ata_code, string_agg(part_number, ', ' order by rk) as top_parts from ({_RANKED}) where rk <= 5 group by ata_code) t on c.ata_code = t.ata_code left join ({_MTTR}) m on m.ata_code = c.ata_code""",
+)
+_add("rolling_recurrence", _on(lambda o: reliability.rolling_recurrence(o).select("id", "rolling"), "occurrences"), "select id, count(*) over (partition by ata_code order by occurrence_date range between interval 90 day preceding and current row) as rolling from occurrences")
+_SUMS = "coalesce(sum(coalesce(downtime_minutes,0)),0) as total_minutes, count(*) filter (where status='open') as open_count, count(*) filter (where status is distinct from 'open') as resolved_count"
+_add("downtime_rollup", _on(fleet.downtime_rollup, "downtime"), f"select aircraft_serial, ata_code, {_SUMS} from downtime group by rollup(aircraft_serial, ata_code)")
+_add("downtime_by_aircraft", _on(fleet.by_aircraft, "downtime"), f"select aircraft_serial, {_SUMS} from downtime group by aircraft_serial")
+_add(
+    "downtime_by_aircraft_ata",
+    _on(lambda x: fleet.by_aircraft_ata(x).select("aircraft_serial", F.array_join(F.transform("systems", lambda s: F.concat_ws(":", s["ata_code"], s["minutes"].cast("string"), s["n"].cast("string"))), ";").alias("systems")), "downtime"),
+    "select aircraft_serial, string_agg(concat(ata_code, ':', cast(minutes as varchar), ':', cast(n as varchar)), ';' order by minutes desc, ata_code) as systems from (select aircraft_serial, ata_code, sum(coalesce(downtime_minutes,0)) as minutes, count(*) as n from downtime group by 1, 2) group by aircraft_serial",
+)
+_add(
+    "downtime_labels",
+    _on(lambda x: fleet.by_aircraft(x).select("aircraft_serial", fleet.format_duration(F.col("total_minutes")).alias("label")), "downtime"),
+    "select aircraft_serial, case when m < 60 then concat(m, 'm') when m < 1440 then concat(m//60, 'h ', m%60, 'm') else concat(m//1440, 'd ', (m%1440)//60, 'h') end as label from (select aircraft_serial, cast(sum(coalesce(downtime_minutes,0)) as bigint) as m from downtime group by 1)",
+)
+_add("open_records", _on(lambda x: fleet.open_records(x).select("id", "user_id", "aircraft_serial"), "downtime"), "select id, user_id, aircraft_serial from downtime where status='open'")
+_add("replacement_counts", _on(fleet.replacement_counts, "replacements"), "select part_on_pn, ata_code, count(*) as n from replacements group by 1, 2 order by n desc, 1, 2 limit 20")
+_add("inventory_summary", _on(lambda p: fleet.inventory_summary(p, "24"), "parts"), "select count(*) as tracked, arg_max(part_number, (times_replaced, part_number)) as top_part, cast(sum(times_replaced) as bigint) as replaced from (select * from parts order by times_replaced desc, part_number limit 50) where ata_code='24'")
+_add("high_failure", _on(lambda p: fleet.high_failure(p).select("ata_code", "part_number", "failure_rate", "rank"), "parts"), "select ata_code, part_number, failure_rate, rk as rank from (select *, row_number() over (partition by ata_code order by failure_rate desc, part_number) as rk from parts where failure_rate > 15) where rk <= 3")
+_add("min_stock", _on(lambda p: fleet.min_stock(p).select("ata_code", "part_number", "quantity", "rank"), "parts"), f"select ata_code, part_number, cast(greatest(3, 2*ceil(times_replaced/4)) as bigint) as quantity, rk as rank from ({_RANKED}) where rk <= 5 and times_replaced > 2")
+_add(
+    "stock_alerts", _on(fleet.stock_alerts, "parts"),
+    "select a.ata_code, critical, alert_parts from (select ata_code, bool_or(failure_rate > 20) as critical from parts group by 1) a left join (select ata_code, string_agg(part_number, ', ' order by rk) as alert_parts from (select *, row_number() over (partition by ata_code order by failure_rate desc, part_number) as rk from parts where failure_rate > 15) where rk <= 3 group by 1) b on a.ata_code=b.ata_code",
+)
+_add(
+    "upsert_from_replacements",
+    lambda spark, d: fleet.upsert_from_replacements(view(spark, d, "parts").where("failure_rate % 7 <> 0"), view(spark, d, "replacements")),
+    "select coalesce(p.part_number, r.part_on_pn) as part_number, coalesce(description, concat('Part ', r.part_on_pn)) as description, coalesce(p.ata_code, r.ata_code) as ata_code, coalesce(times_replaced,0)+coalesce(n,0) as times_replaced, coalesce(failure_rate,0) as failure_rate from (select * from parts where failure_rate % 7 <> 0) p full join (select part_on_pn, min(ata_code) as ata_code, count(*) as n from replacements group by 1) r on r.part_on_pn=p.part_number",
+)
+_add(
+    "propagate_resolution",
+    lambda spark, d: fleet.propagate_resolution(view(spark, d, "history").withColumn("diagnostic_query_id", F.col("id") * 2), view(spark, d, "downtime")).select("id", "solution_status"),
+    "select id, case when id*2 in (select diagnostic_query_id from downtime where status='resolved') then 'resolved' else solution_status end as solution_status from history",
+)
+_add(
+    "maintenance_alerts", _on(lambda p, logs: fleet.maintenance_alerts(p, logs).select("query_id", "n_logs", "newest"), "problems", "maintenance_logs"),
+    "select query_id, coalesce(n, 0) as n_logs, coalesce(newest, '') as newest from problems p left join (select ata, count(*) as n, string_agg(cast(id as varchar), ',' order by rk) filter (where rk <= 3) as newest from (select *, row_number() over (partition by ata order by log_date desc, id desc) as rk from maintenance_logs) group by ata) l on l.ata = p.ata",
+)
+_RANGES = "(values " + ", ".join(f"({a}, {b}, '{c}')" for a, b, c in eff.SERIAL_RANGES) + ") r(serial_start, serial_end, configuration_code)"
+_DIGITS = "try_cast(regexp_replace(serial_number, '[^0-9]', '', 'g') as int)"
+_add(
+    "resolve_configuration",
+    lambda spark, d: eff.resolve_configuration(view(spark, d, "aircraft"), eff.serial_ranges(spark)),
+    f"select aircraft_id, serial_number, serial, configuration, case when serial is null then 'invalid format' when configuration is null then 'not found' end as warning, configuration is not null as is_resolved from (select a.*, {_DIGITS} as serial, (select first(configuration_code order by serial_start, serial_end, configuration_code) from {_RANGES} where {_DIGITS} between serial_start and serial_end) as configuration from aircraft a)",
+)
+_SERIALS = f"(select distinct {_DIGITS} as serial from aircraft where {_DIGITS} >= 31005)"
+_HITS = f"(select distinct serial, code from {_SERIALS} s join part_code_ranges on serial between serial_start and serial_end)"
+_add("applicable_codes", _on(eff.applicable_codes, "aircraft", "part_code_ranges", "part_codes"), f"select serial, h.code, description, is_conditional from {_HITS} h join part_codes c on c.code=h.code where is_deleted=0")
+_add(
+    "applicable_summary", _on(eff.applicable_summary, "aircraft", "part_code_ranges", "part_codes"),
+    f"select s.serial, count(c.code) as total, count(c.code) filter (where is_conditional=0) as standard, count(c.code) filter (where is_conditional=1) as conditional from {_SERIALS} s left join {_HITS} h on h.serial=s.serial left join (select * from part_codes where is_deleted=0) c on c.code=h.code group by s.serial",
+)
+_add(
+    "classify_parts",
+    lambda spark, d: eff.classify_parts(view(spark, d, "parts").selectExpr("lower(part_number) part_number", "'LN' configuration_code"), view(spark, d, "part_effectivity")),
+    "select lower(p.part_number) as part_number, 'LN' as configuration_code, case when flag=1 then 'applicable' when flag=0 then 'not_applicable' else 'unknown' end as applicability from parts p left join (select part_number, max(is_applicable) as flag from part_effectivity where configuration_code='LN' group by 1) e on e.part_number=p.part_number",
+)
+_add("code_stats", _on(eff.code_stats, "part_codes", "part_code_ranges"), "select count(*) as total_codes, count(*) filter (where is_deleted=0) as active_codes, count(*) filter (where is_conditional=1) as conditional_codes, (select count(*) from part_code_ranges) as total_ranges from part_codes")
+_add("search_codes", _on(lambda c: eff.search_codes(c, "e001"), "part_codes"), "select * from part_codes where contains(upper(code), 'E001') or contains(upper(description), 'E001')")
+_CLEAN = r"regexp_replace(lower(coalesce(problem,'')), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g')"
+_WORDS = f"list_filter(string_split_regex({_CLEAN}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 3)[1:8]"
+_add("keywords", _on(lambda p: p.select("query_id", F.array_join(history.keywords(F.col("problem")), " ").alias("words")), "problems"), f"select query_id, array_to_string({_WORDS}, ' ') as words from problems")
+_add("issue_signature", _on(lambda h: h.select("id", history.issue_signature(F.col("ata"), F.col("problem")).alias("signature")), "history"), "select id, concat(ata, ':', substr(regexp_replace(lower(problem), '[^a-z0-9]', '', 'g'), 1, 50)) as signature from history")
+_add("status_counts", _on(history.status_counts, "history"), "select count(*) as total, count(*) filter (where solution_status='resolved') as resolved, count(*) filter (where solution_status is distinct from 'resolved') as pending from history")
+_add("recent", _on(lambda x: history.recent(x, "user_id", "diagnosis_started_at", 3).select("user_id", "id", "rank"), "downtime"), "select user_id, id, rk as rank from (select *, row_number() over (partition by user_id order by diagnosis_started_at desc, id) as rk from downtime) where rk <= 3")
+_add("facet_filter", _on(lambda h: history.facet_filter(h, "The", "24", "pending").select("id"), "history"), "select id from history where contains(lower(problem), 'the') and ata='24' and solution_status is distinct from 'resolved'")
+_add(
+    "similar_cases", _on(history.similar_cases, "problems", "history"),
+    f"""select query_id, id, score, rk as rank from (select query_id, id, score, row_number() over (partition by query_id order by score desc, resolved_seq desc, id) as rk from (
+    select query_id, id, resolved_seq, hits, hits + case when serial_number=aircraft_serial then 1 else 0 end as score from (select q.query_id, h.id, h.resolved_seq, serial_number, aircraft_serial, len(list_filter(words, lambda w: contains(clean, w))) as hits
+    from (select query_id, ata, serial_number, {_WORDS} as words from problems) q join (select id, ata, aircraft_serial, resolved_seq, {_CLEAN} as clean from history where solution_status='resolved') h on q.ata is null or q.ata=h.ata) where hits >= 2)) where rk <= 3""",
+)
+_add("index_stats", _on(retrieval.index_stats, "corpus"), "select count(*) as documents, count(*) filter (where len(embedding) > 0) as with_embedding, count(*) filter (where length(doc_path) > 0) as with_path from corpus")
+_add("document_ids", _on(lambda c: c.select("doc_id", retrieval.document_id(F.col("doc_path")).alias("document_id")), "corpus"), "select doc_id, replace(replace(replace(string_split(doc_path, '/')[-1], 'dmc-', ''), '.xml', ''), '.pdf', '') as document_id from corpus")
+_COS = "round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6)"
+_add(
+    "retrieval_search",
+    lambda spark, d: retrieval.search(c := view(spark, d, "corpus"), c.where("doc_id % 50 = 0").selectExpr("doc_id query_id", "embedding")).select("query_id", "rank", "score"),
+    f"select query_id, rk as rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rk from (select q.doc_id as query_id, c.doc_id, {_COS} as score from corpus q cross join corpus c where q.doc_id % 50 = 0) where score > 0) where rk <= 5",
+)
