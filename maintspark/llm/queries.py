@@ -11,6 +11,7 @@ from .mixing import op10_mixing
 from .pii import op1_pii
 from .quality import op9_quality
 from .secret_scan import op7_secret_scan
+from .substring_dedup import op5_substring_dedup
 from .token_store import op2_token_store
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_token_store": lambda spark, d: op2_token_store(spark, read(spark, d, "documents")),
     "op3_html_text": lambda spark, d: op3_html_text(read(spark, d, "pages")),
     "op4_media": lambda spark, d: op4_media(read(spark, d, "documents")),
+    "op5_substring_dedup": lambda spark, d: op5_substring_dedup(read(spark, d, "documents")),
     "op6_jaccard_join": lambda spark, d: op6_jaccard_join(read(spark, d, "documents")),
     "op7_secret_scan": lambda spark, d: op7_secret_scan(read(spark, d, "documents")),
     "op9_quality": lambda spark, d: op9_quality(read(spark, d, "documents"), read(spark, d, "labels")),
