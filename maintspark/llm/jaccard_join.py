@@ -34,8 +34,8 @@ from .common import mix64, saved
 
 SKETCH = 1 << 20
 CHUNK = 1 << 14
-#: A list with more unsettled members than this is compared by its first member only in each round.
-SHORT_LIST = 64
+#: A list that needs more comparisons than this is compared by its first member only in each round.
+MOST_WORK = 500_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -240,25 +240,27 @@ def link_groups(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str
     while True:
         state = lists.withColumn("root", F.col("doc_id")) if roots is None else lists.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         state = saved(state.select("key", "doc_id", "n", "root"), "state")
-        heads = state.groupBy("key").agg(F.min(F.struct("doc_id", "n", "root")).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 < r1")
-        heads = heads.select("key", F.col("head.doc_id").alias("a"), F.col("head.n").alias("m"), F.col("head.root").alias("head_root"), "members")
+        heads = state.groupBy("key").agg(F.min(F.struct("doc_id", "n", "root")).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.mode("root", True).alias("main")).where("r0 < r1")
+        heads = saved(heads.select("key", F.col("head.doc_id").alias("a"), F.col("head.n").alias("m"), F.col("head.root").alias("head_root"), "members", "main"), "heads")
         if heads.isEmpty():
             break
-        pairs = state.join(heads, "key").where(f"doc_id > a and root <> head_root and {fits}").select("a", F.col("doc_id").alias("b"))
-        if roots is not None:  # the second time on, short lists are settled at once
-            short = state.join(heads.where(F.col("members") <= SHORT_LIST).select("key"), "key", "left_semi")
-            other = short.select("key", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("root").alias("head_root"))
-            pairs = pairs.union(short.join(other, "key").where(f"doc_id > a and root <> head_root and {fits}").select("a", F.col("doc_id").alias("b")))
-            settled = heads.where(F.col("members") <= SHORT_LIST).select("key")
+        open_lists = state.join(heads, "key")
+        pairs = open_lists.where(f"doc_id > a and root <> head_root and {fits}").select("a", F.col("doc_id").alias("b"))
+        rest = open_lists.where("doc_id > a").select("key", "doc_id", "n")
+        if roots is not None:
+            # lists are settled at once in which few members are outside of the largest component: those meet all others
+            odd = open_lists.where("root <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("root").alias("x_root"), "members")
+            settled = odd.groupBy("key").agg((F.count("*") * F.max("members")).alias("work")).where(F.col("work") <= MOST_WORK).select("key")
+            settled = saved(settled, "settled")
+            cross = odd.join(settled, "key", "left_semi").drop("members").join(state, "key").where(f"x_root <> root and {fits}")
+            pairs = pairs.union(cross.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")))
+            rest = rest.join(settled, "key", "left_anti")
         pairs = pairs.distinct()
         pairs = saved(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.union(pairs)
         found = saved(_verified(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
         # a list goes on without its first member, which has now met all others
-        rest = state.join(heads.select("key", "a"), "key").where("doc_id > a").select("key", "doc_id", "n")
-        if roots is not None:
-            rest = rest.join(settled, "key", "left_anti")
         lists = saved(rest, "lists")
         roots = components(links)
     out = classes
