@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,39 @@ END_ID = 2
 BLOCK_IDS = 1 << 19
 CACHE_CHUNKS = 400_000
 BLOCK_SCHEMA = "shard int, start_in_shard long, n_ids long, doc_ids binary, lengths binary, table binary, control binary, data binary"
-#: A space between two characters that aren't white space always begins a new piece of the byte-level pattern.
+#: Where a piece of the byte-level pattern always begins: a space between two characters that aren't white space.
 _GAP = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s\s|[^\S ] | [^\S ]|^\s")
+#: Texts in these letters are cut into pieces here; others by the tokenizer.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+#: Fixed value: the byte-level pattern, for these letters and without white space but one leading space.
+_PIECE = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+| ?[0-9]+| ?[^ A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+
+
+def _byte_names() -> dict[int, int]:
+    """The character that stands for each byte: itself if printable in Latin-1, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_NAMES = _byte_names()
 
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
 
+class Known(dict):
+    """Ids by chunk; a missing one comes from the generation before, or is encoded."""
+
+    def __init__(self, encode, older):
+        self.encode, self.older = encode, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.older[chunk] if chunk in self.older else self.encode(chunk)
+        self[chunk] = got
+        return got
+
+
 class Encoder:
     """Encodes texts with a public tokenizer, remembering the ids of word-sized chunks."""
 
@@ -45,38 +71,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = Known(self._ids, {})
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """Pieces whose ids, put together, are the ids of the text."""
+        """Pieces whose ids, put together, are the ids of the text: words with the space before them, and line ends."""
         if not text:
             return []
-        if _ODD.search(text):
-            return _GAP.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if not text.endswith(" ") else _GAP.split(text)
+        single = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or text[0].isspace() or text[-1].isspace())
+        # as many words as single spaces and line ends make: then there is no other white space
+        if single and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return _GAP.split(text)
+
+    def _ids(self, chunk: str) -> bytes:
+        if not _PLAIN.fullmatch(chunk, 1 if chunk[0] == " " else 0) or any(s in chunk for s in self.special):
+            return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        pieces = _PIECE.findall(chunk)
+        if len(pieces) > 1:
+            return b"".join(map(self.cache.__getitem__, pieces))
+        named = chunk.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
-        new = list(set().union(*cut) - cache.keys()) if cut else []
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[chunk] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, c)), dtype="<u4") for c in cut]
+            self.cache = Known(self._ids, self.cache)
+            self.cache.older.older = {}
+        get = self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, self.chunks(t))), dtype="<u4") for t in texts]
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """(table, control, data) of one block of ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(values), dtype=np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[inverse]
+    """(table, control, data) of one block of ids; ids of equal frequency rank by number."""
+    counts = np.bincount(ids)
+    values = np.flatnonzero(counts).astype(np.uint32)
+    order = values[np.argsort(-counts[values], kind="stable")]
+    rank_of = np.empty(len(counts), dtype=np.uint32)
+    rank_of[order] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank_of[ids]
     length = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     codes[: len(ids)] = length - 1
@@ -84,7 +118,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
     keep = np.arange(4) < length[:, None]
     data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[keep]
-    return values[order].astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()
+    return order.astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(n: int, table: bytes, control: bytes, data: bytes) -> np.ndarray:
