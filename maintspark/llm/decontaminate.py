@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-BLOCK = 16
+#: Items in a block of the index: few, so that a block's bound is close to its items' scores.
+BLOCK = 4
 GRAM = 3
 _CLEAN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -145,13 +146,14 @@ class Index:
             if not keep.any():
                 continue
             starts, ends = starts[keep], ends[keep]
-            sums = np.add.reduceat(self.block_most[t], np.stack([starts, np.minimum(ends, len(t) - 1)], 1).ravel(), axis=0)[::2]
-            sums[ends == len(t)] += self.block_most[t[-1]] * (np.minimum(ends, len(t) - 1) < ends)[ends == len(t), None]
             best: dict[int, float] = {}
             grams: set[bytes] | None = None
-            for a, b in zip(*(x[(sums >= threshold - 1e-4).any(1)].tolist() for x in (starts, ends)), strict=True):
-                for item, score in self.wand([x for x in np.unique(t[a:b]).tolist() if x != none], threshold):
-                    best[item] = max(best.get(item, 0.0), score)
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                own = np.unique(t[a:b])
+                # each term counts once: no block can reach the threshold in most passages
+                if self.block_most[own].sum(0).max() >= threshold - 1e-4:
+                    for item, score in self.wand([x for x in own.tolist() if x != none], threshold):
+                        best[item] = max(best.get(item, 0.0), score)
             for item, score in sorted(best.items()):
                 question, answer, length = self.parts[item]
                 if grams is None:
@@ -176,7 +178,7 @@ def _index(part: DataFrame) -> Index:
     return Index([(r.item_id, r.text) for r in part.collect()])
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, slice_chars: int = 16_000_000) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, slice_chars: int = 300_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each item that a document contains."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
@@ -197,7 +199,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, slice_chars: int = 16_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, slice_chars: int = 300_000) -> DataFrame:
     """The documents that contain no item, with their own columns. No shuffle."""
     for part in _slices(benchmark, slice_chars):
         shared = docs.sparkSession.sparkContext.broadcast(_index(part))
