@@ -20,7 +20,6 @@ get the same result); null ids count as -1. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -36,29 +35,43 @@ SKETCH = 1 << 20
 CHUNK = 1 << 14
 #: A list that needs more comparisons than this is compared by its first member only in each round.
 MOST_WORK = 500_000
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def shingles(text: str | None, size: int, memory: dict[bytes, int]) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; ASCII letters in lower case."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    if not words:
-        return np.empty(0, np.uint64)
-    import xxhash
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n."""
+    if len(_powers[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        for i, factor in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            row = np.full(size, factor, dtype=np.uint64)
+            row[0] = 1
+            _powers[i] = np.cumprod(row, dtype=np.uint64)
+    return _powers
 
-    codes = []
-    for w in words:
-        c = memory.get(w)
-        if c is None:
-            c = memory[w] = xxhash.xxh64_intdigest(w)
-        codes.append(c)
-    if len(memory) > 500_000:
-        memory.clear()
-    a = np.array(codes, dtype=np.uint64)
-    n = min(size, len(a))
-    h = np.full(len(a) - n + 1, np.uint64(n))
-    for i in range(n):
-        h = mix64(h + a[i : len(a) - n + 1 + i])
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; ASCII letters in lower case.
+
+    The hash of a word is a polynomial of its bytes, taken from running sums over the text.
+    """
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.uint64)
+    up, down = _power_tables(len(b) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
+        a = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        n = min(size, len(a))
+        h = np.full(len(a) - n + 1, np.uint64(n))
+        for i in range(n):
+            h = mix64(h + a[i : len(a) - n + 1 + i])
     return np.unique(h)
 
 
@@ -114,9 +127,8 @@ def _set_rows(texts: DataFrame, size: int) -> DataFrame:
     """doc_id, n, digest of each document's set."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        memory: dict[bytes, int] = {}
         for b in batches:
-            sets = [shingles(t, size, memory) for t in b.column(1).to_pylist()]
+            sets = [shingles(t, size) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], ["doc_id", "n", "digest"])
 
     return _batches(texts, rows, "doc_id long, n long, digest binary")
@@ -126,11 +138,10 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     """Counts of shingles by their hash, in a table of a fixed size; added up by Spark in pieces."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        memory: dict[bytes, int] = {}
         counts = np.zeros(SKETCH, dtype=np.uint32)
         for b in batches:
             for t in b.column(1).to_pylist():
-                counts[(shingles(t, size, memory) % np.uint64(SKETCH)).astype(np.int64)] += 1
+                counts[(shingles(t, size) % np.uint64(SKETCH)).astype(np.int64)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH // CHUNK), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(-1, CHUNK)], pa.binary())], ["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]):
@@ -153,12 +164,11 @@ def _postings(texts: DataFrame, size: int, percent: int, counts, border: int) ->
     reach = _range(border + 1, percent)[0]
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        memory: dict[bytes, int] = {}
         common = counts.value
         for b in batches:
             keys, owners, sizes = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t, size, memory)
+                s = shingles(t, size)
                 n = len(s)
                 if not n:
                     continue
@@ -229,9 +239,8 @@ def link_groups(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str
     lists = saved(postings.join(several, "key", "left_semi").distinct(), "lists")
 
     def set_rows(batches: Iterator[pa.RecordBatch]):
-        memory: dict[bytes, int] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size, memory).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "hashes"])
 
     wanted = firsts.join(lists.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = saved(wanted.mapInArrow(set_rows, "doc_id long, hashes binary"), "hashes")
