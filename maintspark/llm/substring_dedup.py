@@ -1,16 +1,19 @@
 """Removes text that a document repeats from documents with smaller ids: byte strings of at least ``least`` bytes.
 
 1. Anchors: in each ``least`` bytes of a document the gram with the smallest hash (the first
-   of equals) is an anchor, so equal strings have equal anchors. Anchors are dealt by hash
-   and only those of two documents or more go on; this is a filter, never a decision.
-2. Windows: the bytes around each such anchor that any string with it can cover, dealt by
-   the anchor's hash, so that all occurrences of a string meet in one place.
-3. Per place, equal windows become one (with the smallest id), and a Burrows-Wheeler
-   transform of them is extended backward, breadth first: the intervals of level l give the
-   borders where neighbours share exactly l bytes. The search stops at ``least``; neighbours
-   without a border share that many. A string is removed where the smallest id of its run
-   is below the document's own.
-4. The removed starts return to their documents, where they are united.
+   of equals) is an anchor, so equal strings have equal anchors. Only those of two documents
+   or more go on; this is a filter, never a decision.
+2. Windows: the bytes around each such anchor that any string with it can cover. Equal
+   windows become one, with the smallest and the largest id, before anything is gathered.
+3. Distinct windows are dealt by their anchor into groups whose number grows with them. A
+   Burrows-Wheeler transform of them is extended backward, breadth first: the intervals of
+   level l give the borders where neighbours share exactly l bytes. The search stops at
+   ``least``; neighbours without a border share that many. The smallest id of a run is what
+   each of its strings gets. An anchor with more than ``MOST`` distinct windows isn't
+   gathered: Spark groups the strings of its windows.
+4. The verdicts return to the windows' occurrences by a digest of 128 bits, and a string is
+   removed where its smallest id is below the document's own. The removed starts return to
+   their documents, where they are united.
 
 Null and empty texts lose nothing. Rows with the same id don't remove each other's text.
 Null ids count as -1. Extra columns are ignored. Every text is read whole.
@@ -31,6 +34,10 @@ from .common import mix64, saved
 GRAM = 24
 #: Bytes of windows that are transformed together (the windows of one anchor always are).
 PLACE_BYTES = 120_000
+#: Bytes of distinct windows in a group, about; the number of groups follows.
+GROUP_BYTES = 4_000_000
+#: Distinct windows of one anchor; of more, the strings are grouped by themselves.
+MOST = 1_500
 
 
 def anchors(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,133 +113,103 @@ def _docs(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
 
 
-def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each stretch of equal keys begins and ends."""
-    if not len(keys):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return cut, np.append(cut[1:], len(keys))
-
-
-def _dealt(hashes: np.ndarray, places: int) -> np.ndarray:
-    return (hashes >> np.uint64(32)).astype(np.int64) % places
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int, places: int):
+def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int):
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
             found = [np.unique(anchors(raw, least)[1]) for raw in part.column(1).to_pylist()]
             docs = np.repeat(np.array(part.column(0).to_pylist(), dtype=np.int64), [len(f) for f in found])
-            h = np.concatenate(found) if found else np.empty(0, np.uint64)
-            to = _dealt(h, places)
-            order = np.argsort(to, kind="stable")
-            to, h, docs = to[order], h[order], docs[order]
-            cut, ends = _cuts(to)
-            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array([docs[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()), pa.array([(h[a:z] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary())], ["place", "docs", "hashes"])
-
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(docs)], ["anchor", "doc_id"])
 
-def _repeated(pdf):
-    """Of one place: each document's anchors that another document has too."""
-    import pandas as pd
 
-    docs = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
-    h = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hashes"]])
-    order = np.lexsort((docs, h))
-    docs, h = docs[order], h[order]
-    if not len(h):
-        return pd.DataFrame({"doc_id": docs, "found": []})
-    start = np.concatenate([[True], h[1:] != h[:-1]])
-    group = np.cumsum(start) - 1
-    lows, highs = docs[start], docs[np.append(np.flatnonzero(start)[1:], len(h)) - 1]
-    keep = (lows < highs)[group]
-    docs, h = docs[keep], h[keep]
-    order = np.lexsort((h, docs))
-    docs, h = docs[order], h[order]
-    cut, ends = _cuts(docs)
-    place = int(pdf["place"].iloc[0])
-    return pd.DataFrame({"doc_id": docs[cut], "found": [np.int64(place).tobytes() + h[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]})
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch], least: int, places: int):
+def _window_rows(batches: Iterator[pa.RecordBatch], least: int):
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            rows: dict[int, list] = {}
+            rows = []
             for doc, raw, found in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 at, h = anchors(raw, least)
-                known = np.sort(np.concatenate([np.frombuffer(f[8:], np.uint32).astype(np.uint64) | np.frombuffer(f[:8], np.int64).astype(np.uint64) << np.uint64(32) for f in found]))
-                mine = (h & np.uint64(0xFFFFFFFF)) | _dealt(h, places).astype(np.uint64) << np.uint64(32)
+                known, mine = np.sort(np.array(found, np.int64)), h.view(np.int64)
                 hit = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
-                for p, x, to in zip(at[hit].tolist(), h[hit].tolist(), _dealt(h[hit], places).tolist(), strict=True):
-                    a, z = max(0, p - (least - GRAM)), min(len(raw), p + least)
-                    rows.setdefault(to, []).append((x, doc, a, raw[a:z]))
-            keys = sorted(rows)
-            column = lambda f: pa.array([f(rows[k]) for k in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), column(lambda r: np.array([x for x, *_ in r], np.uint64).tobytes()), column(lambda r: np.array([d for _, d, *_ in r], np.int64).tobytes()), column(lambda r: np.array([a for _, _, a, _ in r], np.int64).tobytes()), column(lambda r: np.array([len(w) for *_, w in r], np.int64).tobytes()), column(lambda r: b"".join(w for *_, w in r))],
-                ["place", "hashes", "docs", "starts", "sizes", "bytes"],
-            )
+                for p, x in zip(at[hit].tolist(), mine[hit].tolist(), strict=True):
+                    a = max(0, p - (least - GRAM))
+                    window = raw[a : p + least]
+                    rows.append((x, hashlib.blake2b(x.to_bytes(8, "big", signed=True) + window, digest_size=16).digest(), doc, a, window))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["anchor", "key", "doc_id", "start", "bytes"])
 
 
 def _covered(pdf, least: int):
-    """Of one place: the starts that each document loses."""
+    """Of one place's distinct windows: the smallest id that has the string at each of their starts, where a document loses any."""
     import pandas as pd
 
-    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
-    h, docs, starts, sizes = join("hashes", np.uint64), join("docs", np.int64), join("starts", np.int64), join("sizes", np.int64)
-    raw = b"".join(pdf["bytes"])
-    at = np.cumsum(sizes) - sizes
-    wide = 2 * least - GRAM
-    low = np.zeros((len(h), wide), np.uint8)
-    flat = np.frombuffer(raw, np.uint8)
-    inside = np.arange(wide) < sizes[:, None]
-    low[inside] = flat
-    packed = np.concatenate([h.byteswap().view(np.uint8).reshape(-1, 8), sizes.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 7:], low], 1)
-    _, chosen, which = np.unique(np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    least_doc = np.full(len(chosen), np.iinfo(np.int64).max)
-    np.minimum.at(least_doc, which, docs)
-    # distinct windows in the order of their anchors, cut into places between anchors
-    hash_of, size_of = h[chosen], sizes[chosen]
-    slots = wide - least + 1
-    best = np.full((len(chosen), slots), np.iinfo(np.int64).max)
-    total = np.cumsum(size_of + 1)
-    fresh = np.concatenate([[True], hash_of[1:] != hash_of[:-1]])
+    pdf = pdf.sort_values("anchor", kind="stable")
+    windows, anchor = pdf["bytes"].tolist(), pdf["anchor"].to_numpy()
+    least_doc, most_doc = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
+    sizes = np.array([len(w) for w in windows])
+    slots = least - GRAM + 1
+    best = np.full((len(windows), slots), np.iinfo(np.int64).max)
+    # cut between anchors into texts to transform
+    total = np.cumsum(sizes + 1)
+    borders = np.append(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])), len(windows))
     begin = 0
-    borders = np.append(np.flatnonzero(fresh), len(chosen))
     for b in range(1, len(borders)):
         end = borders[b]
         if b + 1 < len(borders) and total[borders[b + 1] - 1] - (total[begin - 1] if begin else 0) <= PLACE_BYTES:
             continue
         ids = np.arange(begin, end)
-        text = np.frombuffer(b"".join(raw[at[chosen[i]] : at[chosen[i]] + size_of[i]] + b"\0" for i in ids), np.uint8)
-        offsets = np.cumsum(size_of[ids] + 1) - size_of[ids] - 1
+        text = np.frombuffer(b"".join(w + b"\0" for w in windows[begin:end]), np.uint8)
+        offsets = np.cumsum(sizes[ids] + 1) - sizes[ids] - 1
         order, run = runs_of(text, least)
         run_at = np.empty(len(text), np.int64)
         run_at[order] = run
-        owner, slot = np.nonzero(np.arange(slots) <= (size_of[ids] - least)[:, None])
+        owner, slot = np.nonzero(np.arange(slots) <= (sizes[ids] - least)[:, None])
         runs = run_at[offsets[owner] + slot]
         lowest = np.full(int(run.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(lowest, runs, least_doc[ids[owner]])
         best[ids[owner], slot] = lowest[runs]
         begin = end
-    row, slot = np.nonzero(best[which] < docs[:, None])
-    out_doc, out_start = docs[row], starts[row] + slot
-    order = np.lexsort((out_start, out_doc))
-    out_doc, out_start = out_doc[order], out_start[order]
-    cut, ends = _cuts(out_doc)
-    return pd.DataFrame({"doc_id": out_doc[cut], "gone": [np.unique(out_start[a:z]).astype(np.uint32).tobytes() for a, z in zip(cut, ends, strict=True)]})
+    lost = np.flatnonzero((best < most_doc[:, None]).any(1))
+    return pd.DataFrame({"key": pdf["key"].to_numpy()[lost], "lows": [best[i, : sizes[i] - least + 1] for i in lost]})
+
+
+def _by_strings(windows: DataFrame, least: int) -> DataFrame:
+    """The same as ``_covered``, of any number of windows: their strings are grouped one by one."""
+    start = F.explode(F.sequence(F.lit(0), F.length("bytes") - least))
+    strings = windows.select("key", "lo", "hi", "bytes", start.alias("slot")).select("key", "lo", "hi", "slot", F.substring("bytes", F.col("slot") + 1, F.lit(least)).alias("string"))
+    # written, so that both sides of the join are plain exchanges and a common string is split
+    lowest = saved(strings.groupBy("string").agg(F.min("lo").alias("low")), "strings")
+    rows = strings.join(lowest, "string").groupBy("key", "hi").agg(F.sort_array(F.collect_list(F.struct("slot", "low"))).alias("lows"))
+    return rows.select("key", "hi", F.col("lows.low").alias("lows")).where(F.array_min("lows") < F.col("hi")).select("key", "lows")
+
+
+def _lost(batches: Iterator[pa.RecordBatch]):
+    """Bit i of ``lost``: the document loses the string that begins i bytes after the window's start."""
+    for batch in batches:
+        docs, starts, lows = (batch.column(k) for k in range(3))
+        docs = docs.to_numpy()
+        sizes = np.diff(lows.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(docs)), sizes)
+        slot = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        gone = lows.flatten().to_numpy() < docs[owner]
+        bits = np.zeros(len(docs), np.int64)
+        np.add.at(bits, owner[gone], np.int64(1) << slot[gone])
+        yield pa.RecordBatch.from_arrays([pa.array(docs), starts, pa.array(bits)], ["doc_id", "start", "lost"]).filter(pa.array(bits != 0))
 
 
 def _result(batches: Iterator[pa.RecordBatch], least: int):
     for batch in batches:
         rows = []
-        for doc, raw, gone in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        gone = batch.column(2)
+        sizes = np.diff(gone.offsets.to_numpy()) * gone.is_valid().to_numpy(zero_copy_only=False)
+        start, lost = (gone.flatten().field(k).to_numpy().astype(np.int64) for k in range(2))
+        ends = np.cumsum(sizes)
+        for doc, raw, a, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends - sizes, ends, strict=True):
             edge = np.zeros(len(raw) + 1, np.int64)
-            for g in gone or ():
-                s = np.frombuffer(g, np.uint32)
-                np.add.at(edge, s, 1)
-                np.add.at(edge, s.astype(np.int64) + least, -1)
+            row, slot = np.nonzero(lost[a:z, None] >> np.arange(least - GRAM + 1) & 1)
+            s = np.unique(start[a:z][row] + slot)
+            edge[s] += 1
+            edge[s + least] -= 1
             cut = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~cut].tobytes()
             spans = int(np.count_nonzero(cut & ~np.concatenate([[False], cut[:-1]])[: len(cut)])) if len(cut) else 0
@@ -245,16 +222,20 @@ def remove_repeats(docs: DataFrame, least: int = 50, text_col: str = "text") ->
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
     if not GRAM < least <= 64:
         raise ValueError("least must be over 24 and at most 64")
-    spark = docs.sparkSession
-    places = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     texts = _docs(docs, text_col)
-    dealt = texts.mapInArrow(lambda it: _anchor_rows(it, least, places), "place long, docs binary, hashes binary")
-    found = saved(dealt.groupBy("place").applyInPandas(_repeated, "doc_id long, found binary"), "anchors")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    marked = texts.join(per_doc, "doc_id")
-    windows = marked.mapInArrow(lambda it: _window_rows(it, least, places), "place long, hashes binary, docs binary, starts binary, sizes binary, bytes binary")
-    gone = saved(windows.groupBy("place").applyInPandas(lambda pdf: _covered(pdf, least), "doc_id long, gone binary"), "repeats")
-    per_doc = gone.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
+    marks = texts.mapInArrow(lambda it: _anchor_rows(it, least), "anchor long, doc_id long")
+    # each side of a join on a common value is written before, so that Spark can split the value's rows
+    common = saved(marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
+    per_doc = marks.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("found"))
+    windows = saved(texts.join(per_doc, "doc_id").mapInArrow(lambda it: _window_rows(it, least), "anchor long, key binary, doc_id long, start int, bytes binary"), "windows", compression="zstd")
+    distinct = saved(windows.groupBy("anchor", "key", "bytes").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "distinct", compression="zstd")
+    many = saved(distinct.groupBy("anchor").count().where(F.col("count") > MOST).select("anchor"), "many")
+    places = -(-distinct.count() * 2 * least // GROUP_BYTES) or 1
+    placed = distinct.join(many, "anchor", "left_anti").withColumn("place", F.pmod(F.xxhash64("anchor"), F.lit(places)))
+    few = placed.groupBy("place").applyInPandas(lambda pdf: _covered(pdf, least), "key binary, lows array<bigint>")
+    verdicts = saved(few.union(_by_strings(distinct.join(many, "anchor", "left_semi"), least)), "verdicts", compression="zstd")
+    lost = windows.select("key", "doc_id", "start").join(verdicts, "key").select("doc_id", "start", "lows").mapInArrow(_lost, "doc_id long, start int, lost long")
+    per_doc = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lost")).alias("gone"))
     return texts.join(per_doc, "doc_id", "left").mapInArrow(lambda it: _result(it, least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 
+from maintspark.llm import substring_dedup
 from maintspark.llm.common import read
 from maintspark.llm.substring_dedup import op5_substring_dedup, runs_of
 
@@ -51,3 +52,22 @@ def test_equals_brute_force(spark):
 def test_empty_and_repeated(spark):
     assert op5_substring_dedup(empty(spark)).collect() == []
     assert op5_substring_dedup(hard(spark).union(hard(spark))).count() == 2 * len(HARD)
+
+
+def test_common_line_is_not_gathered(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    line = " licensed to all who read it, without any warranty of any kind, under the terms that are given below. "
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    docs = clashing(hard(spark, [word(90) + line + word(90) for _ in range(600)]))
+    gather = substring_dedup._covered
+
+    def bounded(pdf, least):
+        size = sum(map(len, pdf["bytes"]))
+        if size > 20_000:
+            raise ValueError(f"{size} bytes gathered")
+        return gather(pdf, least)
+
+    monkeypatch.setattr(substring_dedup, "_covered", bounded)
+    monkeypatch.setattr(substring_dedup, "MOST", 50, raising=False)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
