@@ -66,20 +66,29 @@ def anchors(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in the order of their first 64 bytes."""
+    """Suffixes in the order of their first 64 letters, which are below 512."""
     n = len(text)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    bits, step = (8, 8) if int(text.max()) < 256 else (9, 7)
+    wide = np.concatenate([text, np.zeros(8, text.dtype)]).astype(np.uint64)
     key = wide[:n].copy()
-    for j in range(1, 8):
-        key = (key << np.uint64(8)) | wide[j : n + j]
-    for step in (8, 16, 32):
+    for j in range(1, step):
+        key = (key << np.uint64(bits)) | wide[j : n + j]
+    while step < 64:
         rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
         key = rank << np.uint64(32) | np.concatenate([rank[step:], np.zeros(min(step, n), np.uint64)])[:n]
+        step *= 2
     return np.argsort(key, kind="stable")
 
 
+def letters_of(windows: list[bytes]) -> np.ndarray:
+    """Each byte plus one, so that 0 ends a window and nothing else."""
+    text = np.frombuffer(b"".join(w + b"\0" for w in windows), np.uint8).astype(np.uint16) + np.uint16(1)
+    text[np.cumsum([len(w) + 1 for w in windows]) - 1] = 0
+    return text
+
+
 def runs_of(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, number of the run of each place in it): neighbours in one run share ``least`` bytes. Byte 0 ends a window."""
+    """(suffix order, number of the run of each place in it): neighbours in one run share ``least`` letters. Letter 0 ends a window."""
     order = suffix_order(text)
     n = len(text)
     letters, bwt = np.unique(text[order - 1], return_inverse=True)
@@ -158,7 +167,7 @@ def _covered(pdf, least: int):
         if b + 1 < len(borders) and total[borders[b + 1] - 1] - (total[begin - 1] if begin else 0) <= PLACE_BYTES:
             continue
         ids = np.arange(begin, end)
-        text = np.frombuffer(b"".join(w + b"\0" for w in windows[begin:end]), np.uint8)
+        text = letters_of(windows[begin:end])
         offsets = np.cumsum(sizes[ids] + 1) - sizes[ids] - 1
         order, run = runs_of(text, least)
         run_at = np.empty(len(text), np.int64)

@@ -71,3 +71,19 @@ def test_common_line_is_not_gathered(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MOST", 50, raising=False)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect()}
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_nul_is_a_byte_like_others(spark):
+    shared = "shared text of thirty-odd bytes before"
+    tails = ["then something else follows in this one, to the end", "but here it goes on in another way, for a while", "then something else follows in this one, and stops"]
+    docs = clashing(hard(spark, [a + shared + "\0" + t for a in ("", "x\0") for t in tails] + ["\0" * 120, "\0" * 60 + "y"]))
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect()} == want
+    every = [bytes(range(256)), bytes(range(100)) + bytes(range(255, 99, -1)), bytes(range(60))]
+    text = substring_dedup.letters_of(every)
+    order, run = runs_of(text, 50)
+    run_at, ends, seen = dict(zip(order.tolist(), run.tolist())), np.cumsum([len(w) + 1 for w in every]), {}
+    for w, end in zip(every, ends.tolist()):
+        for i in range(len(w) - 49):
+            assert seen.setdefault(w[i : i + 50], run_at[end - len(w) - 1 + i]) == run_at[end - len(w) - 1 + i]
+    assert len(set(seen.values())) == len(seen)
