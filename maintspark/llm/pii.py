@@ -21,13 +21,36 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "card_group", "ssn")
 
+#: The characters of an account number, by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK|FI|FK|FO|GL|NL|SD",
+    19: "MK|SI",
+    20: "AT|BA|EE|KZ|LT|LU|MN|XK",
+    21: "CH|CR|HR|LI|LV",
+    22: "BG|BH|DE|GB|GE|IE|ME|RS",
+    23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "AO|CV|GW|LY|MZ|PT|ST",
+    26: "DZ|IR|IS|TR",
+    27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+    28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG",
+    29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE",
+    31: "MT|SC",
+    33: "LC|RU",
+}
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # a whole chain of digits, of which the others can't pass
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # as long as its country's numbers are; countries without a known length up to the end of the run
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:"
+    + "|".join(f"(?:{codes})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}+" for n, codes in IBAN_LENGTHS.items())
+    + f"|(?!{'|'.join(IBAN_LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])",
     # groups of four inside a chain that is too long, or fails as a whole
     "card_group": r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",

@@ -75,6 +75,26 @@ def test_pii_adds_by_checksum_and_context(spark):
     assert not any(k == "ssn" for k, _ in rows[7])
 
 
+def test_accounts_before_capitals_and_numbers(spark):
+    texts = [
+        "IBAN DE89370400440532013000 Please pay",
+        "to GB82 WEST 1234 5698 7654 32 BIC COBADEFF or DE89 3704 0044 0532 0130 00 12 times",
+        "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32",
+        "NO9386011117947 I said, MT84MALT011000012345MTLCAST001S 7",
+        "DE893704004405320130001 DE89370400440532013000x DE8937040044053201300 DE89370400440532013001 A",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: [s.text for s in r.pii if s.kind == "iban"] for r in find_pii(docs).collect()}
+    assert rows == {
+        0: ["DE89370400440532013000"],
+        1: ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"],
+        2: ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"],
+        3: ["NO9386011117947", "MT84MALT011000012345MTLCAST001S"],
+        4: [],
+    }
+    assert {r.doc_id: r.text for r in redact(docs).collect()}[0] == "IBAN <IBAN> Please pay"
+
+
 def test_redact(spark):
     rows = {r.doc_id: r.text for r in redact(hard(spark)).collect()}
     assert rows[0] is None and rows[1] == ""
