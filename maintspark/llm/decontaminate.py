@@ -6,12 +6,14 @@ enough to hold any item whole, and every passage is a query. Retrieval is block-
 a passage is skipped when the sum of its terms' largest impacts can't reach the threshold,
 then blocks of items are skipped by the block maxima, and the rest is walked document at a
 time from pivot to pivot. All items above the threshold are retrieved, not the top ones.
-A candidate counts if enough of the item's word triples are in the document, of its
-question (all but the last sentence) and of its answer (the last sentence) alike; where an
-item has no own answer the whole item is both.
+A candidate counts if enough of the item's word triples are in one of the passages that
+retrieved it, of its question (all but the last sentence) and of its answer (the last
+sentence) alike; where an item has no own answer the whole item is both.
 
 The index is broadcast in slices of at most ``slice_chars`` characters of items, so it is
-bounded however large the benchmark; documents are scanned once a slice. Null and empty
+bounded however large the benchmark; documents are scanned once a slice. The number of items,
+their mean and largest length and the number of items with a word are those of the whole
+benchmark, counted by Spark, so that the slices don't change a result. Null and empty
 texts and items match nothing. Repeated rows are judged each by itself. Items with equal
 text are all reported. Other columns of the documents pass through untouched.
 """
@@ -19,13 +21,17 @@ text are all reported. Other columns of the documents pass through untouched.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 K1, B = 1.2, 0.75
 #: Items in a block of the index: few, so that a block's bound is close to its items' scores.
 BLOCK = 4
@@ -52,13 +58,29 @@ def _sentences(text: str) -> list[str]:
     return [p for p in parts if words(p)]
 
 
+class Stats(NamedTuple):
+    """Of a whole benchmark; ``having``: items with a word, of a slice's words at least."""
+
+    n: int
+    mean: float
+    longest: int
+    having: dict[bytes, int]
+
+
+def stats_of(split: list[list[bytes]]) -> Stats:
+    split = [w for w in split if w]
+    sizes = [len(w) for w in split] or [1]
+    return Stats(len(split), sum(sizes) / len(sizes), max(sizes), Counter(x for w in split for x in set(w)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], stats: Stats | None = None):
         items = [(i, t, words(t)) for i, t in sorted(items, key=lambda x: (x[0], x[1] or ""))]
         items = [x for x in items if x[2]]
         self.ids = [i for i, _, _ in items]
         self.n = len(items)
-        self.longest = max((len(w) for _, _, w in items), default=1)
+        stats = stats or stats_of([w for _, _, w in items])
+        self.longest = stats.longest
         self.parts = []
         for _, t, w in items:
             s = _sentences(t)
@@ -72,8 +94,8 @@ class Index:
                 if t == len(postings):
                     postings.append([])
                 postings[t].append((k, w.count(word)))
-        mean = float(np.mean([len(w) for _, _, w in items])) if items else 1.0
-        idf = [np.log(1 + (self.n - len(p) + 0.5) / (len(p) + 0.5)) for p in postings]
+        mean = stats.mean
+        idf = [np.log(1 + (stats.n - stats.having[w] + 0.5) / (stats.having[w] + 0.5)) for w in self.vocabulary]
         own = np.zeros(self.n)
         impacts = []
         for t, p in enumerate(postings):
@@ -146,44 +168,60 @@ class Index:
             if not keep.any():
                 continue
             starts, ends = starts[keep], ends[keep]
-            best: dict[int, float] = {}
-            grams: set[bytes] | None = None
+            best: dict[int, tuple[float, float, float]] = {}
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 own = np.unique(t[a:b])
                 # each term counts once: no block can reach the threshold in most passages
-                if self.block_most[own].sum(0).max() >= threshold - 1e-4:
-                    for item, score in self.wand([x for x in own.tolist() if x != none], threshold):
-                        best[item] = max(best.get(item, 0.0), score)
-            for item, score in sorted(best.items()):
-                question, answer, length = self.parts[item]
-                if grams is None:
-                    grams = _grams(w)
-                    short = {b" ".join(w[j : j + k]) for k in (1, 2) for j in range(len(w) - k + 1)}
-                have = grams if length >= GRAM else short
-                q, a = len(question & have) / len(question), len(answer & have) / len(answer)
-                if q >= overlap and a >= overlap:
-                    out[i].append((item, float(score), q, a))
+                if self.block_most[own].sum(0).max() < threshold - 1e-4:
+                    continue
+                passage, grams = w[a:b], None
+                for item, score in self.wand([x for x in own.tolist() if x != none], threshold):
+                    if grams is None:
+                        grams = _grams(passage)
+                        short = {b" ".join(passage[j : j + k]) for k in (1, 2) for j in range(len(passage) - k + 1)}
+                    question, answer, length = self.parts[item]
+                    have = grams if length >= GRAM else short
+                    found = score, len(question & have) / len(question), len(answer & have) / len(answer)
+                    if min(found[1:]) >= overlap:
+                        best[item] = max(best.get(item, found), found)
+            out[i] = [(item, float(score), q, a) for item, (score, q, a) in sorted(best.items())]
         return out
 
 
-def _slices(benchmark: DataFrame, slice_chars: int) -> list[DataFrame]:
+def _indexes(benchmark: DataFrame, slice_chars: int) -> Iterator[Index]:
+    """An index for each slice, which is bounded, with the figures of the whole benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n = -(-size // slice_chars) or 1
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
+    if n == 1:
+        yield Index([(r.item_id, r.text) for r in items.collect()])
+        return
 
+    def count(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            split = [words(t) for t in batch.column(1).to_pylist()]
+            rows = [(k, x, len(w)) for k, w in zip(batch.column(0).to_pylist(), split, strict=True) if w for x in (None, *set(w))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.int64()], strict=True)], ["slice", "word", "size"])
 
-def _index(part: DataFrame) -> Index:
-    """Of one slice, which is bounded."""
-    return Index([(r.item_id, r.text) for r in part.collect()])
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    counted = saved(items.select("slice", "text").mapInArrow(count, "slice long, word binary, size long"), "words")
+    whole = counted.where("word is null").agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.max("size").alias("longest")).first()
+    having = saved(counted.where("word is not null").groupBy("word").agg(F.count("*").alias("having")), "having")
+    own = counted.where("word is not null").select("slice", "word").distinct()
+    having = saved(own.join(having, "word"), "slices")
+    for k in range(n):
+        part = {bytes(r.word): r.having for r in having.where(F.col("slice") == k).collect()}
+        stats = Stats(whole["n"], whole["mean"] or 1.0, whole["longest"] or 1, part)
+        yield Index([(r.item_id, r.text) for r in items.where(F.col("slice") == k).collect()], stats)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, slice_chars: int = 300_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each item that a document contains."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
-    for part in _slices(benchmark, slice_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(part))
+    for index in _indexes(benchmark, slice_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared):
             index = shared.value
@@ -201,8 +239,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, slice_chars: int = 300_000) -> DataFrame:
     """The documents that contain no item, with their own columns. No shuffle."""
-    for part in _slices(benchmark, slice_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(part))
+    for index in _indexes(benchmark, slice_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared):
             for batch in batches:

@@ -59,3 +59,25 @@ def test_hard_rows(spark):
     assert find_matches(empty(spark), items).collect() == []
     assert find_matches(docs, items.where("false")).collect() == []
     assert drop_contaminated(docs, items.where("false")).count() == docs.count()
+
+
+def test_slices_change_nothing(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(4, 30))) for _ in range(60)] + [" ".join(rng.choice(vocabulary, 300))]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    cut = [t.split()[: len(t.split()) * rng.integers(4, 9) // 10] for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(["aside"] * 5 + w + ["beside"] * 9)) for i, w in enumerate(cut)], "doc_id long, text string")
+    rows = lambda n: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in find_matches(docs, items, slice_chars=n).collect())
+    whole = rows(10**6)
+    assert 10 < len(whole) and rows(1000) == whole and rows(300) == whole
+
+
+def test_overlap_is_counted_in_one_passage():
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    w = item.split()
+    index = Index([(1, item), (2, "one two three four")])
+    words_only = " ".join(w[::2] + w[1::2])  # each word, no triple
+    pieces = " ".join(" ".join(w[i : i + 4]) + " filler" * 60 for i in range(0, 12, 2))
+    assert index.search([words_only + " filler" * 60 + " " + pieces, "filler " * 60 + item], 0.5, 0.5)[0] == []
+    assert [x[0] for x in index.search(["filler " * 60 + item + " filler" * 60], 0.5, 0.5)[0]] == [0]
