@@ -31,7 +31,7 @@ def keyword_boost(query: Column, doc: Column) -> Column:
     """What keywords add to or take from a document's score."""
     q, d = F.lower(query), F.lower(doc)
     has = lambda c, *words: F.greatest(*[F.contains(c, F.lit(w)) for w in (*words, words[0])])
-    start_words = ("start", "crank", "ignition", "engine start", "starter", "not starting")
+    start_words = ("start", "starting", "does not start", "will not start", "not starting", "wont start")
     asks = has(q, *start_words)
     heat = ("gen hot", "overheat", "temperature")
     wiring = has(d, "awdp", "wiring diagram", "wiring data")
@@ -45,7 +45,7 @@ def keyword_boost(query: Column, doc: Column) -> Column:
         (asks & has(d, *heat) & ~has(q, "hot", "overheat", "temperature"), -0.12),
         (has(d, "fault isolation") & has(q, "start") & has(d, "start", "crank"), 0.10),
         (has(d, "fault isolation") & has(q, "hot") & has(d, "hot"), 0.10),
-        (wiring & has(q, "generator", "starter", "electrical", "wiring", "connector", "power"), 0.12),
+        (wiring & has(q, "electrical", "wiring", "wire", "connector", "pin", "circuit"), 0.12),
         (wiring & has(q, "generator", "starter"), 0.08),
         (wiring & has(q, "fault", "does not", "not working"), 0.06),
     ]
@@ -60,11 +60,12 @@ def gate(score: Column, threshold: int = 95) -> Column:
 
 
 def ata_chapter(text: Column) -> Column:
-    """ATA xx-yy or ATA xx, from the first that is named; else ''."""
-    pair = F.regexp_extract(text, r"(?i)\bATA[ -]?([0-9]{2})[-. ]([0-9]{2})\b", 0)
-    one = F.regexp_extract(text, r"(?i)\b(?:ATA|chapter)[ -]?([0-9]{2})\b", 1)
-    a, b = (F.regexp_extract(text, r"(?i)\bATA[ -]?([0-9]{2})[-. ]([0-9]{2})\b", k) for k in (1, 2))
-    return F.when(pair != "", F.concat(F.lit("ATA "), a, F.lit("-"), b)).when(one != "", F.concat(F.lit("ATA "), one)).otherwise("")
+    """ATA xx-yy of the first pair that is named; else ATA xx of the first chapter, then of the first number; else ''."""
+    pair = r"(?iU)ATA[:\s]*(\d{2})[-\s](\d{2})"
+    a, b = (F.regexp_extract(text, pair, k) for k in (1, 2))
+    chapter, number = F.regexp_extract(text, r"(?iU)ATA Chapter[:\s]*(\d{2})", 1), F.regexp_extract(text, r"(?iU)ATA[:\s]*(\d{2})\b", 1)
+    one = F.when(chapter != "", chapter).otherwise(number)
+    return F.when(a != "", F.concat(F.lit("ATA "), a, F.lit("-"), b)).when(one != "", F.concat(F.lit("ATA "), one)).otherwise("")
 
 
 def first_distinct(*arrays: Column, most: int) -> Column:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Quantities that count as evidence.
+#: Quantities that count as evidence (letters and word ends as Unicode has them).
 UNITS = {
-    "torque": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:nm|ft-lb|in-lb)\b",
-    "pressure": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:psi|bar|kpa)\b",
-    "voltage": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:v|vdc|vac|volts?)\b",
-    "current": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:a|ma|amps?|amperes?)\b",
-    "temperature": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:°\s*)?(?:c|f|celsius|fahrenheit)\b",
-    "dimension": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:mm|cm|inch|inches)\b",
-    "resistance": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:ohms?|kohms?|megohms?)\b",
+    "torque": r"(?iU)\b\d+\.?\d*\s*(?:N\s*m|Nm|lbf?\s*in|lb-in|ft-lb|lb-ft)\b",
+    "pressure": r"(?iU)\b\d+\.?\d*\s*(?:psi|bar|kPa|MPa)\b",
+    "voltage": r"(?iU)\b\d+\.?\d*\s*(?:V|mV|kV|VDC)\b",
+    "current": r"(?iU)\b\d+\.?\d*\s*(?:A|mA)\b",
+    "temperature": r"(?iU)\b-?\d+\.?\d*\s*°?(?:C|F)\b",
+    "dimension": r"(?iU)\b\d+\.?\d*\s*(?:mm|cm|m|in|ft)\b",
+    "resistance": r"(?iU)\b\d+\.?\d*\s*(?:ohm|Ω|kohm|MΩ)\b",
 }
 
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words that say nothing about a fault.
+STOP_WORDS = tuple(
+    "the with that this from have been will would could should which when where what about into there their they them then than also just only some such very"
+    " after before during while show shows showing shown aircraft helicopter ground total display displayed indication".split()
+)
+
 
 def cleaned(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9 \t\n\x0B\f\r]", " ")
 
 
-def keywords(text: Column, n: int = 8, stop_words: tuple[str, ...] = ()) -> Column:
+def keywords(text: Column, n: int = 8, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """The first n words of more than three letters that aren't stop words; repeats stay."""
     words = F.filter(F.split(cleaned(text), r"[ \t\n\x0B\f\r]+"), lambda w: (F.length(w) > 3) & ~w.isin(*stop_words) if stop_words else F.length(w) > 3)
     return F.slice(words, 1, n)
@@ -53,7 +59,7 @@ def with_replacements(history: DataFrame, replacements: DataFrame) -> DataFrame:
     return joined.withColumn("replaced_parts", F.coalesce("replaced_parts", F.array().cast("array<struct<id:bigint,part_off_pn:string,part_on_pn:string,quantity:int>>")))
 
 
-def similar_cases(problems: DataFrame, history: DataFrame, k: int = 3, least: int = 2, recent_limit: int | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def similar_cases(problems: DataFrame, history: DataFrame, k: int = 3, least: int = 2, recent_limit: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """query_id, id, score, rank: the k resolved cases of the same system that contain most of a problem's keywords.
 
     A keyword counts as a substring, repeats twice; the same aircraft adds one. A problem

@@ -107,17 +107,26 @@ _add("code_stats", _on(eff.code_stats, "part_codes", "part_code_ranges"), "selec
 _add("search_codes", _on(lambda c: eff.search_codes(c, "e001"), "part_codes"), "select * from part_codes where contains(upper(code), 'E001') or contains(upper(description), 'E001')")
 _CLEAN = r"regexp_replace(lower(coalesce(problem,'')), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g')"
 _WORDS = f"list_filter(string_split_regex({_CLEAN}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 3)[1:8]"
-_add("keywords", _on(lambda p: p.select("query_id", F.array_join(history.keywords(F.col("problem")), " ").alias("words")), "problems"), f"select query_id, array_to_string({_WORDS}, ' ') as words from problems")
+_add("keywords", _on(lambda p: p.select("query_id", F.array_join(history.keywords(F.col("problem"), stop_words=()), " ").alias("words")), "problems"), f"select query_id, array_to_string({_WORDS}, ' ') as words from problems")
 _add("issue_signature", _on(lambda h: h.select("id", history.issue_signature(F.col("ata"), F.col("problem")).alias("signature")), "history"), "select id, concat(ata, ':', substr(regexp_replace(lower(problem), '[^a-z0-9]', '', 'g'), 1, 50)) as signature from history")
 _add("status_counts", _on(history.status_counts, "history"), "select count(*) as total, count(*) filter (where solution_status='resolved') as resolved, count(*) filter (where solution_status is distinct from 'resolved') as pending from history")
 _add("recent", _on(lambda x: history.recent(x, "user_id", "diagnosis_started_at", 3).select("user_id", "id", "rank"), "downtime"), "select user_id, id, rk as rank from (select *, row_number() over (partition by user_id order by diagnosis_started_at desc, id) as rk from downtime) where rk <= 3")
 _add("facet_filter", _on(lambda h: history.facet_filter(h, "The", "24", "pending").select("id"), "history"), "select id from history where contains(lower(problem), 'the') and ata='24' and solution_status is distinct from 'resolved'")
 _add(
-    "similar_cases", _on(history.similar_cases, "problems", "history"),
+    "similar_cases", _on(lambda p, h: history.similar_cases(p, h, stop_words=()), "problems", "history"),
     f"""select query_id, id, score, rk as rank from (select query_id, id, score, row_number() over (partition by query_id order by score desc, resolved_seq desc, id) as rk from (
     select query_id, id, resolved_seq, hits, hits + case when serial_number=aircraft_serial then 1 else 0 end as score from (select q.query_id, h.id, h.resolved_seq, serial_number, aircraft_serial, len(list_filter(words, lambda w: contains(clean, w))) as hits
     from (select query_id, ata, serial_number, {_WORDS} as words from problems) q join (select id, ata, aircraft_serial, resolved_seq, {_CLEAN} as clean from history where solution_status='resolved') h on q.ata is null or q.ata=h.ata) where hits >= 2)) where rk <= 3""",
 )
+# the same with the reference's stop words
+_TELLING = _WORDS.replace("length(w) > 3", f"length(w) > 3 and w not in {history.STOP_WORDS}")
+_add("telling_keywords", _on(lambda p: p.select("query_id", F.array_join(history.keywords(F.col("problem")), " ").alias("words")), "problems"), f"select query_id, array_to_string({_TELLING}, ' ') as words from problems")
+_add(
+    "telling_cases", _on(history.similar_cases, "problems", "history"),
+    f"""select query_id, id, score, rk as rank from (select query_id, id, score, row_number() over (partition by query_id order by score desc, resolved_seq desc, id) as rk from (
+    select query_id, id, resolved_seq, hits, hits + case when serial_number=aircraft_serial then 1 else 0 end as score from (select q.query_id, h.id, h.resolved_seq, serial_number, aircraft_serial, len(list_filter(words, lambda w: contains(clean, w))) as hits
+    from (select query_id, ata, serial_number, {_TELLING} as words from problems) q join (select id, ata, aircraft_serial, resolved_seq, {_CLEAN} as clean from history where solution_status='resolved') h on q.ata is null or q.ata=h.ata) where hits >= 2)) where rk <= 3""",
+)
 _add("index_stats", _on(retrieval.index_stats, "corpus"), "select count(*) as documents, count(*) filter (where len(embedding) > 0) as with_embedding, count(*) filter (where length(doc_path) > 0) as with_path from corpus")
 _add("document_ids", _on(lambda c: c.select("doc_id", retrieval.document_id(F.col("doc_path")).alias("document_id")), "corpus"), "select doc_id, replace(replace(replace(string_split(doc_path, '/')[-1], 'dmc-', ''), '.xml', ''), '.pdf', '') as document_id from corpus")
 _COS = "round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6)"
