@@ -167,3 +167,30 @@ _add(
     _on(lambda x: records.selftest_summary(x.selectExpr("tsn / 10.0D relevance", "tsn % 9 chunks", "id % 2 = 0 has_references")), "maintenance_logs"),
     "select count(*) as tests_run, avg(tsn / 10.0) as avg_relevance, avg(tsn % 9) as avg_chunks, case when bool_or(tsn % 9 = 0) then 'FAIL' else 'PASS' end as rag, case when bool_or(id % 2 = 0) then 'PASS' else 'FAIL' end as crew from maintenance_logs",
 )
+# The whole tables, where the queries of like names above read a part of them.
+_add(
+    "upsert_from_all_replacements", _on(fleet.upsert_from_replacements, "parts", "replacements"),
+    "select coalesce(p.part_number, r.part_on_pn) as part_number, coalesce(description, concat('Part ', r.part_on_pn)) as description, coalesce(p.ata_code, r.ata_code) as ata_code, coalesce(times_replaced,0)+coalesce(n,0) as times_replaced, coalesce(failure_rate,0) as failure_rate from parts p full join (select part_on_pn, min(ata_code) as ata_code, count(*) as n from replacements group by 1) r on r.part_on_pn=p.part_number",
+)
+_add("codes_without_any_range", _on(lambda c, r: records.codes_without_ranges(c, r).select("code"), "part_codes", "part_code_ranges"), "select code from part_codes where code not in (select code from part_code_ranges)")
+_add(
+    "apply_all_solutions",
+    _on(lambda h, p: records.apply_solutions(h, p.selectExpr("query_id history_id", "problem solution", "query_id submitted_at")).select("id", "solution_status", "solution"), "history", "problems"),
+    "select id, case when s.problem is not null then 'resolved' else solution_status end as solution_status, s.problem as solution from history left join problems s on s.query_id = id",
+)
+_add("whole_maintenance_log", _on(lambda x: x.select("id", "ata", "tsn"), "maintenance_logs"), "select id, ata, tsn from maintenance_logs")
+
+
+def _merge_all(problems, corpus):
+    """Each system's own documents, then the rest of the corpus."""
+    systems = problems.where("ata is not null").selectExpr("ata query_id").distinct()
+    every = systems.crossJoin(corpus.select("doc_path", "doc_id"))
+    own = every.where(F.contains("doc_path", F.concat(F.lit("-A-"), "query_id", F.lit("-"))))
+    return records.merge_unique(own, every)
+
+
+_EVERY = "(select query_id, doc_path, doc_id, contains(doc_path, concat('-A-', query_id, '-')) as own from (select distinct ata as query_id from problems where ata is not null) cross join corpus)"
+_add(
+    "merge_all_unique", _on(_merge_all, "problems", "corpus"),
+    f"select query_id, doc_path, doc_id from {_EVERY} where own union all select query_id, doc_path, doc_id from {_EVERY} e where not own and not exists (select 1 from {_EVERY} o where o.own and o.query_id = e.query_id and o.doc_path = e.doc_path)",
+)
