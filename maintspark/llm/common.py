@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,7 +34,27 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that are broadcast at most: 16 MB, or 32 with two to a key.
+MOST_KEYS = 1_000_000
+
+
+def only(df: DataFrame, keys: DataFrame, name: str, key: Column | None = None, anti: bool = False) -> DataFrame:
+    """The rows whose key is (or, with ``anti``, isn't) in a written table: broadcast if it is small, which is checked, else by a shuffle."""
+    small = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    other = keys.select(F.col(name).alias("_only_key"))
+    return df.join(F.broadcast(other) if small else other, (F.col(name) if key is None else key) == F.col("_only_key"), "left_anti" if anti else "left_semi")
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -7,34 +7,45 @@ rarest shingles (a set that can link needs one of its first n - ceil(t n) + 1 in
 rarity by a fixed-size counting sketch over all documents). The boundary is the size up to
 which the subsets of all sets cost less than their lists would, from a histogram of sizes.
 
-A list isn't expanded into all pairs: it is compared with its first member, links are
-united, and only what isn't in one component afterwards is compared again, until nothing
-is left. So every link is found or lies inside a component that is known; none is lost, and
-lists of copies cost as many comparisons as they have members. A pair counts when
-100 |A & B| >= 100 t |A | B|, on whole sets of 64-bit hashes.
+An entry of a list holds the set's size and its ``room``: the most that two sets can share
+if this is the first shingle that they share. Two entries meet only if both rooms reach the
+overlap that their sizes need. A list isn't expanded into all pairs:
+
+1. Each entry meets the list's head, the set whose shingles are most common (the likeliest
+   origin of copies). The links found are united to components.
+2. Entries outside of the head's component meet the entries of other components, if there
+   are at most ``FEW`` of them in the list: so pairs per list stay in proportion to it.
+3. Longer lists of strangers are split by the next shingle that two sets would share. Their
+   parts go through 1 and 2 once more, however many entries are left; what meets there shares
+   two of its rarest shingles.
+
+So every link is found or lies inside a known component; none is lost. A pair counts when
+100 |A & B| >= 100 t |A | B|, on whole sets of 64-bit hashes of shingles (two different
+shingles of equal hash would count as one).
 
 Null, empty and white texts have no shingles and link with nothing. Fewer words than a
-shingle make one shorter shingle. Rows with the same doc_id must have the same text (they
-get the same result); null ids count as -1. Extra columns are ignored.
+shingle make one shorter shingle. Rows with one doc_id and different texts are judged each
+by itself; null ids count as -1. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved
+from .common import discard, mix64, only, saved
 
 SKETCH = 1 << 20
 CHUNK = 1 << 14
-#: A list that needs more comparisons than this is compared by its first member only in each round.
-MOST_WORK = 500_000
+#: Entries of a list outside of the head's component that meet all others; a list with more is split.
+FEW = 16
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -109,93 +120,166 @@ def boundary(sizes: list[tuple[int, int]], percent: int, scan: float = 12.0) ->
     return at
 
 
-def _batches(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def _digest(h: np.ndarray) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
+def _name(digest: bytes) -> int:
+    """The first half of a digest: with the document's id it names a set."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
 
-def _set_rows(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, digest of each document's set."""
+def _measured(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_key, n, digest of each document's set; and, with ``piece``, each task's counts of shingles by their hash."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
+        counts = np.zeros(SKETCH, dtype=np.uint32)
         for b in batches:
-            sets = [shingles(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], ["doc_id", "n", "digest"])
-
-    return _batches(texts, rows, "doc_id long, n long, digest binary")
+            sizes, digests = [], []
+            for t in b.column(2).to_pylist():
+                s = shingles(t, size)
+                counts[(s % np.uint64(SKETCH)).astype(np.int64)] += 1
+                sizes.append(len(s))
+                digests.append(_digest(s))
+            none = pa.nulls(len(sizes))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        used = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
+        none = pa.nulls(len(used))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i for i, _ in used], pa.int32()), pa.array([c for _, c in used], pa.binary())], names)
 
+    names = ["doc_id", "text_key", "n", "digest", "piece", "counts"]
+    return texts.mapInArrow(rows, "doc_id long, text_key long, n long, digest binary, piece int, counts binary")
 
-def _sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """Counts of shingles by their hash, in a table of a fixed size; added up by Spark in pieces."""
 
-    def rows(batches: Iterator[pa.RecordBatch]):
-        counts = np.zeros(SKETCH, dtype=np.uint32)
-        for b in batches:
-            for t in b.column(1).to_pylist():
-                counts[(shingles(t, size) % np.uint64(SKETCH)).astype(np.int64)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH // CHUNK), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(-1, CHUNK)], pa.binary())], ["piece", "counts"])
+def _sketch(measured: DataFrame) -> np.ndarray:
+    """The tasks' counts, added up by Spark in pieces; a table of a fixed size."""
 
     def add(batches: Iterator[pa.RecordBatch]):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[k] = held.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+                held[k] = held.get(k, 0) + np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
         for k, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["piece", "counts"])
 
-    schema = "piece int, counts binary"
     total = np.zeros((SKETCH // CHUNK, CHUNK), dtype=np.uint32)
-    for r in texts.mapInArrow(rows, schema).repartition("piece").mapInArrow(add, schema).collect():  # 4 MB in all
-        total[r["piece"]] += np.frombuffer(r["counts"], np.uint32)
+    pieces = measured.where("piece is not null").select("piece", "counts")
+    for r in pieces.repartition("piece").mapInArrow(add, "piece int, counts binary").collect():  # 4 MB in all
+        total[r["piece"]] = np.frombuffer(r["counts"], np.uint32)
     return total.ravel()
 
 
+def _ranked(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the set from its rarest shingle to its most common, 1000 times the mean logarithm of the counts)."""
+    counts = common[(s % np.uint64(SKETCH)).astype(np.int64)]
+    return s[np.lexsort((s, counts))], int(1000 * np.log2(counts + np.float64(1)).mean())
+
+
+POSTING = "key long, id long, set long, n int, room int, central int, light boolean"
+
+
 def _postings(texts: DataFrame, size: int, percent: int, counts, border: int) -> DataFrame:
-    """key, doc_id, n: subsets of light sets, rarest shingles of heavy sets and of those that heavy sets can reach."""
+    """Subsets of light sets, rarest shingles of heavy sets and of those that heavy sets can reach."""
     reach = _range(border + 1, percent)[0]
 
     def rows(batches: Iterator[pa.RecordBatch]):
         common = counts.value
-        for b in batches:
-            keys, owners, sizes = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t, size)
-                n = len(s)
-                if not n:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                keys, rooms, each = [], [], []
+                for d, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    s = shingles(t, size)
+                    n = len(s)
+                    if not n:
+                        continue
+                    ranked, central = _ranked(s, common)
+                    owner = d, _name(_digest(s)), n, central
+                    if n <= border:
+                        for c in _overlaps(n, percent):
+                            picks = np.array(list(combinations(range(n), c)), dtype=np.int64)
+                            h = np.full(len(picks), np.uint64(c))
+                            for j in range(c):
+                                h = mix64(h + s[picks[:, j]])
+                            keys.append(h)
+                            rooms.append(np.full(len(h), c))
+                            each.append((*owner, True, len(h)))
+                    if n >= reach:
+                        p = prefix_of(n, percent)
+                        keys.append(mix64(ranked[:p] ^ np.uint64(0x5851F42D4C957F2D)))
+                        rooms.append(n - np.arange(p))
+                        each.append((*owner, False, p))
+                if not keys:
                     continue
-                got = []
-                if n <= border:
-                    for c in _overlaps(n, percent):
-                        picks = np.array(list(combinations(range(n), c)), dtype=np.int64)
-                        h = np.full(len(picks), np.uint64(c))
-                        for j in range(c):
-                            h = mix64(h + s[picks[:, j]])
-                        got.append(h)
-                if n >= reach:
-                    order = np.lexsort((s, common[(s % np.uint64(SKETCH)).astype(np.int64)]))
-                    got.append(mix64(s[order[: prefix_of(n, percent)]] ^ np.uint64(0x5851F42D4C957F2D)))
-                h = np.concatenate(got)
-                keys.append(h.view(np.int64))
-                owners.append(np.full(len(h), d))
-                sizes.append(np.full(len(h), n))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, sizes)], ["key", "doc_id", "n"])
-
-    return texts.mapInArrow(rows, "key long, doc_id long, n long")
+                doc, name, n, central, light, times = zip(*each, strict=True)
+                own = [np.repeat(np.array(x), times) for x in (doc, name, n, central, light)]
+                columns = [np.concatenate(keys).view(np.int64), own[0], own[1], own[2], np.concatenate(rooms), own[3], own[4]]
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], ["key", "id", "set", "n", "room", "central", "light"])
+
+    return texts.mapInArrow(rows, POSTING)
+
+
+def _longer(entries: DataFrame, sets: DataFrame, level: int, percent: int) -> DataFrame:
+    """Entries of the lists of ``level`` shingles, split by the next one that two sets would share."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, at = r["n"], level + r["n"] - r["room"]  # the first place after the last shared shingle
+                if percent * n <= 100 * level:  # so small that who shares as much links: a light list, whole
+                    light = [mix64(np.array([r["key"]], np.int64).view(np.uint64)).view(np.int64), *([r[c]] for c in ("id", "set", "n")), [level], [r["central"]], [True]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(light, kinds, strict=True)], names)
+                stop = level + n - (-(-percent * n // 100)) + 1
+                s = np.frombuffer(r["hashes"], np.uint64)[at:stop]
+                keys = mix64((np.uint64(r["key"] & (1 << 64) - 1) ^ np.uint64(0x2545F4914F6CDD1D)) + mix64(s)).view(np.int64)
+                m = len(keys)
+                columns = [keys, *(np.full(m, r[c]) for c in ("id", "set", "n")), level + n - np.arange(at, at + m), np.full(m, r["central"]), np.zeros(m, bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    names = ["key", "id", "set", "n", "room", "central", "light"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_()]
+    return entries.join(sets, NODE).select("key", "id", "set", "n", "room", "central", "hashes").mapInArrow(rows, POSTING)
+
+
+NODE = ["id", "set"]
+
+
+def _lists(postings: DataFrame, percent: int) -> DataFrame:
+    """The entries of lists in which two sets could meet; a set once in a list, with its smallest id."""
+    index = F.col("room") * (100 + percent) >= 2 * percent * F.col("n")  # the smaller of two sets needs such an entry
+    several = postings.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.max(index).alias("index")).where("low < high and index").select("key")
+    several = saved(several, "several")  # so that both sides of the join are plain exchanges, which Spark can split
+    both = saved(postings.join(several, "key"), "entries")
+    once = both.groupBy("key", "set").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "room", "central", "light")))
+    out = saved(once.select("key", "id", "set", "n", "room", "central", "light"), "lists")
+    discard(several, both)
+    return out
+
+
+def _meet(percent: int, head: str = "head") -> Column:
+    """Whether an entry and another, in a struct column, can link."""
+    n, m = F.col("n"), F.col(f"{head}.n")
+    need = percent * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least("room", F.col(f"{head}.room")) * (100 + percent) >= need)
+
+
+def _node(prefix: str = "") -> Column:
+    return F.struct(F.col(f"{prefix}id").alias("id"), F.col(f"{prefix}set").alias("set"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    left = sets.select(_node().alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(_node().alias("b"), F.col("hashes").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -204,80 +288,109 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(rows, pairs.schema)
 
-    return both.mapInArrow(rows, "a long, b long")
 
+def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """node, root: the smallest node reachable, for every node that has an edge. Labels spread and jump until nothing changes.
 
-def components(edges: DataFrame) -> DataFrame:
-    """doc_id, root: the smallest id reachable, for every id that has an edge. Labels spread and jump until nothing changes."""
+    ``start``: roots of some of the edges, from which to go on.
+    """
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    label = saved(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    if start is not None:
+        old = start.select("node", F.col("root").alias("old"))
+        label = label.join(old, "node", "left").select("node", F.least("root", F.coalesce("old", "root")).alias("root"))
+    label = saved(label, "labels")
     while True:
-        near = both.join(label.select(F.col("doc_id").alias("b"), "root"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("root").alias("near"))
-        new = label.join(near, "doc_id").select("doc_id", "root", F.least("root", "near").alias("new"))
-        jump = label.select(F.col("doc_id").alias("new"), F.col("root").alias("far"))
-        new = saved(new.join(jump, "new", "left").select("doc_id", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")), "labels")
-        label = new.select("doc_id", "root")
+        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        new = label.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        jump = label.select(F.col("node").alias("new"), F.col("root").alias("far"))
+        new = saved(new.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")), "labels")
+        discard(label)
+        label = new
         if new.where("old <> root").isEmpty():
-            return label
+            discard(both)
+            return label.select("node", "root")
 
 
-def link_groups(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with an equal set), component_id; a row for each distinct doc_id."""
-    spark = docs.sparkSession
-    texts = _texts(docs, text_col)
-    sized = saved(_set_rows(texts, size).distinct(), "sets")
-    lead = sized.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classes = saved(sized.join(lead, "digest", "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
-    histogram = [(r["n"], r["count"]) for r in classes.where("doc_id = class_id and n > 0 and n <= 64").groupBy("n").count().collect()]  # 64 rows at most
-    border = boundary(histogram, percent)
-    firsts = texts.join(classes.where("doc_id = class_id and n > 0").select("doc_id"), "doc_id", "left_semi")
-    counts = spark.sparkContext.broadcast(_sketch(texts, size))  # of a fixed size
-    postings = _postings(firsts, size, percent, counts, border)
-    several = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    lists = saved(postings.join(several, "key", "left_semi").distinct(), "lists")
+def _linked(texts: DataFrame, measured: DataFrame, size: int, percent: int, repeated: bool) -> DataFrame | None:
+    """node, root of the sets that link with others."""
+    spark = texts.sparkSession
+    histogram = [(r["n"], r["count"]) for r in measured.where("n > 0 and n <= 64").groupBy("n").count().collect()]  # 64 rows at most
+    counts = spark.sparkContext.broadcast(_sketch(measured))  # of a fixed size
+    postings = saved(_postings(texts, size, percent, counts, boundary(histogram, percent)), "postings")
+    lists = _lists(postings, percent)
+    discard(postings)
 
     def set_rows(batches: Iterator[pa.RecordBatch]):
+        common = counts.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "hashes"])
-
-    wanted = firsts.join(lists.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = saved(wanted.mapInArrow(set_rows, "doc_id long, hashes binary"), "hashes")
-    links = seen = roots = None
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                found = [shingles(t, size) for t in part.column(2).to_pylist()]
+                names = [_name(_digest(s)) for s in found]
+                ranked = [_ranked(s, common)[0].tobytes() if len(s) else b"" for s in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(ranked, pa.binary())], ["id", "set", "hashes"])
+
+    ids = saved(lists.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    sets = only(texts, ids, "doc_id").mapInArrow(set_rows, "id long, set long, hashes binary")
+    sets = saved(sets.dropDuplicates(NODE) if repeated else sets, "hashes")
+    roots = links = None
+    level = 1
+    entry = ["id", "set", "n", "room", "central"]
     while True:
-        state = lists.withColumn("root", F.col("doc_id")) if roots is None else lists.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        state = saved(state.select("key", "doc_id", "n", "root"), "state")
-        heads = state.groupBy("key").agg(F.min(F.struct("doc_id", "n", "root")).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), F.mode("root", True).alias("main")).where("r0 < r1")
-        heads = saved(heads.select("key", F.col("head.doc_id").alias("a"), F.col("head.n").alias("m"), F.col("head.root").alias("head_root"), "members", "main"), "heads")
-        if heads.isEmpty():
-            break
-        open_lists = state.join(heads, "key")
-        pairs = open_lists.where(f"doc_id > a and root <> head_root and {fits}").select("a", F.col("doc_id").alias("b"))
-        rest = open_lists.where("doc_id > a").select("key", "doc_id", "n")
-        if roots is not None:
-            # lists are settled at once in which few members are outside of the largest component: those meet all others
-            odd = open_lists.where("root <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("root").alias("x_root"), "members")
-            settled = odd.groupBy("key").agg((F.count("*") * F.max("members")).alias("work")).where(F.col("work") <= MOST_WORK).select("key")
-            settled = saved(settled, "settled")
-            cross = odd.join(settled, "key", "left_semi").drop("members").join(state, "key").where(f"x_root <> root and {fits}")
-            pairs = pairs.union(cross.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")))
-            rest = rest.join(settled, "key", "left_anti")
-        pairs = pairs.distinct()
-        pairs = saved(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
+        state = lists.withColumn("root", _node()) if roots is None else lists.withColumn("node", _node()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+        # of light lists a head for each size: who can meet there links, so the heads join all of them
+        heads = state.groupBy("key", F.when(F.col("light"), F.col("n")).otherwise(0).alias("class")).agg(F.max(F.struct("central", "n", "room", *NODE, "root")).alias("head"))
+        heads = saved(heads, "heads")
+        star = state.join(heads, "key").where((F.col("root") != F.col("head.root")) & _meet(percent)).select(_node().alias("x"), _node("head.").alias("y"))
+        pairs = saved(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         found = saved(_verified(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
-        # a list goes on without its first member, which has now met all others
-        lists = saved(rest, "lists")
-        roots = components(links)
-    out = classes
-    if roots is not None:
-        out = classes.join(roots.select(F.col("doc_id").alias("class_id"), "root"), "class_id", "left")
-    else:
-        out = classes.withColumn("root", F.lit(None).cast("long"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
+        roots = components(links, roots)
+        state = saved(lists.where("not light").withColumn("node", _node()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "state")
+        mains = heads.where("class = 0").select("key", _node("head.").alias("node")).join(roots, "node", "left").select("key", F.col("node").alias("head"), F.coalesce("root", "node").alias("main"))
+        mains = saved(mains, "mains")
+        odd = saved(state.join(mains, "key").where(F.col("root") != F.col("main")), "odd")
+        strange = saved(odd.groupBy("key").agg(F.count("*").alias("size")), "strange")
+        few = (odd.join(strange.where(F.col("size") <= FEW).select("key"), "key") if level == 1 else odd).select("key", "head", F.struct(*entry, "root").alias("other"))
+        cross = state.join(few, "key").where((F.col("root") != F.col("other.root")) & (_node() != F.col("head")) & _meet(percent, "other")).select(_node().alias("x"), _node("other.").alias("y"))
+        pairs = saved(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        found = saved(_verified(pairs, sets, percent), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links, roots)
+        if level == 2:
+            break
+        many = state.join(strange.where(F.col("size") > FEW).select("key"), "key").select("key", *entry)
+        if many.isEmpty():
+            break
+        lists = _lists(saved(_longer(many, sets, level, percent), "postings"), percent)
+        level += 1
+    discard(sets)
+    return roots
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc_id, text_key, n_shingles, class_id, component_id of each distinct row, whether rows repeat)."""
+    texts = _texts(docs, text_col)
+    measured = saved(_measured(texts, size), "sets")
+    sized = saved(measured.where("piece is null").drop("piece", "counts").distinct(), "sized")
+    repeated = sized.count() < measured.where("piece is null").count()
+    roots = _linked(texts, measured, size, percent, repeated)
+    lead = saved(sized.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("docs")).where("docs > 1").select("digest", "lead"), "leads")
+    classes = sized.join(lead, "digest", "left").select("doc_id", "text_key", "n", F.coalesce("lead", "doc_id").alias("class_id"), F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("set"))
+    classes = classes.withColumn("node", F.struct(F.col("class_id").alias("id"), "set"))
+    out = classes.join(roots, "node", "left")
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root.id", "class_id").alias("component_id")), repeated
+
+
+def link_groups(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with an equal set), component_id; a row for each distinct doc_id and text."""
+    return _grouped(docs, size, percent, text_col)[0].drop("text_key")
 
 
 def op6_jaccard_join(docs: DataFrame) -> DataFrame:
@@ -285,6 +398,10 @@ def op6_jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group (the one with the smallest doc_id), with the documents' own columns."""
-    groups = link_groups(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(groups, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_gone"), "left_anti")
+    """One document of each group (the one with the smallest doc_id), with the documents' own columns; of equal rows one."""
+    groups, repeated = _grouped(docs, size, percent, "text")
+    gone = saved(groups.where("doc_id <> component_id").select("doc_id", "text_key"), "gone")
+    if repeated:
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    own = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    return only(docs, gone.select(F.struct("doc_id", "text_key").alias("gone")), "gone", own, anti=True)

@@ -73,5 +73,36 @@ def test_keep_one_and_empty(spark):
     assert op6_jaccard_join(hard(spark).union(hard(spark))).count() == len(HARD)
 
 
+def test_strangers_in_one_list_and_many_copies(spark):
+    """Texts that share a phrase and nothing else; all pairs of a few lines, which are split by the next shingle; copies of one text with an edit each."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    phrase = " ".join(word() for _ in range(30))
+    lines = [" ".join(word() for _ in range(12)) for _ in range(9)]
+    base = [word() for _ in range(200)]
+    texts = [f"{phrase} {word()} {word()} {word()}" for _ in range(60)]
+    texts += [" ".join(rng.sample(lines, 6)) for _ in range(150)]
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    docs = hard(spark, texts)
+    assert rows(op6_jaccard_join(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr("maintspark.llm.jaccard_join.FEW", 0)
+    monkeypatch.setattr("maintspark.llm.jaccard_join._ranked", lambda s, common: (s, 0))  # any order of shingles, any head
+    test_short_and_edited_texts(spark, 2, 80)
+
+
+def test_ids_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(2, a), (1, a + " x"), (2, b), (3, b + " y"), (3, b + " y"), (None, "q")], "doc_id long, text string")
+    assert rows(op6_jaccard_join(docs)) == {(2, 27, 1), (1, 28, 1), (2, 27, 2), (3, 28, 2), (-1, 1, -1)}
+    assert sorted((r.doc_id or -1, r.text) for r in keep_one(docs).collect()) == sorted([(1, a + " x"), (2, b), (-1, "q")])
+
+
 def test_boundary_follows_cost():
     assert boundary([(5, 10), (12, 10), (40, 10)], 85) >= 12 and boundary([(60, 10)], 85) == 0
