@@ -255,7 +255,10 @@ NODE = ["id", "set"]
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
     """The entries of lists in which two sets could meet; a set once in a list, with its smallest id."""
     index = F.col("room") * (100 + percent) >= 2 * percent * F.col("n")  # the smaller of two sets needs such an entry
-    several = postings.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.max(index).alias("index")).where("low < high and index").select("key")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("set", "n", "room") for f in (F.min, F.max)]
+    meet = f"100 * min_n >= {percent} * max_n and min_room * {100 + percent} >= {percent} * (min_n + max_n)"
+    # of a list of two it is known here whether they can meet
+    several = postings.groupBy("key").agg(*ends, F.max(index).alias("index"), F.count("*").alias("entries")).where(f"min_set < max_set and index and (entries > 2 or {meet})").select("key")
     several = saved(several, "several")  # so that both sides of the join are plain exchanges, which Spark can split
     both = saved(postings.join(several, "key"), "entries")
     once = both.groupBy("key", "set").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "room", "central", "light")))
@@ -335,9 +338,19 @@ def _linked(texts: DataFrame, measured: DataFrame, size: int, percent: int, repe
                 ranked = [_ranked(s, common)[0].tobytes() if len(s) else b"" for s in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(ranked, pa.binary())], ["id", "set", "hashes"])
 
-    ids = saved(lists.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    sets = only(texts, ids, "doc_id").mapInArrow(set_rows, "id long, set long, hashes binary")
-    sets = saved(sets.dropDuplicates(NODE) if repeated else sets, "hashes")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """id, set, hashes (rarest first) of the documents that have one of these sets."""
+        ids = saved(nodes.select(F.col("id").alias("doc_id")).distinct(), "ids")
+        sets = only(texts, ids, "doc_id").mapInArrow(set_rows, "id long, set long, hashes binary")
+        return saved(sets.dropDuplicates(NODE) if repeated else sets, "hashes")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = saved(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        sets = sets_of(pairs.select("a.id").union(pairs.select("b.id")))
+        found = saved(_verified(pairs, sets, percent), "links")
+        discard(pairs, sets)
+        return found
+
     roots = links = None
     level = 1
     entry = ["id", "set", "n", "room", "central"]
@@ -347,8 +360,7 @@ def _linked(texts: DataFrame, measured: DataFrame, size: int, percent: int, repe
         heads = state.groupBy("key", F.when(F.col("light"), F.col("n")).otherwise(0).alias("class")).agg(F.max(F.struct("central", "n", "room", *NODE, "root")).alias("head"))
         heads = saved(heads, "heads")
         star = state.join(heads, "key").where((F.col("root") != F.col("head.root")) & _meet(percent)).select(_node().alias("x"), _node("head.").alias("y"))
-        pairs = saved(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        found = saved(_verified(pairs, sets, percent), "links")
+        found = linked(star)
         links = found if links is None else links.union(found)
         roots = components(links, roots)
         state = saved(lists.where("not light").withColumn("node", _node()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "state")
@@ -358,8 +370,7 @@ def _linked(texts: DataFrame, measured: DataFrame, size: int, percent: int, repe
         strange = saved(odd.groupBy("key").agg(F.count("*").alias("size")), "strange")
         few = (odd.join(strange.where(F.col("size") <= FEW).select("key"), "key") if level == 1 else odd).select("key", "head", F.struct(*entry, "root").alias("other"))
         cross = state.join(few, "key").where((F.col("root") != F.col("other.root")) & (_node() != F.col("head")) & _meet(percent, "other")).select(_node().alias("x"), _node("other.").alias("y"))
-        pairs = saved(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        found = saved(_verified(pairs, sets, percent), "links")
+        found = linked(cross)
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links, roots)
@@ -368,9 +379,8 @@ def _linked(texts: DataFrame, measured: DataFrame, size: int, percent: int, repe
         many = state.join(strange.where(F.col("size") > FEW).select("key"), "key").select("key", *entry)
         if many.isEmpty():
             break
-        lists = _lists(saved(_longer(many, sets, level, percent), "postings"), percent)
+        lists = _lists(saved(_longer(many, sets_of(many), level, percent), "postings"), percent)
         level += 1
-    discard(sets)
     return roots
 
 
