@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,11 @@ def _byte_names() -> dict[int, int]:
 
 
 _BYTE_NAMES = _byte_names()
+SPACE_NAME = chr(_BYTE_NAMES[0x20])
+#: Letters below this are letters to the tokenizer and to Python alike.
+LAST_PLAIN = "\u0180"
+#: Marks after a word that are a piece by themselves.
+ENDINGS = frozenset(".,;:!?")
 
 #: Bytes of each of the four values of a control byte.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
@@ -81,18 +87,31 @@ class Encoder:
         if not text:
             return []
         single = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or text[0].isspace() or text[-1].isspace())
-        # as many words as single spaces and line ends make: then there is no other white space
-        if single and len(text.split()) == text.count(" ") + text.count("\n") + 1:
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if single:
+            words, gaps = text.split(), text.count(" ") + text.count("\n")
+            # as many words as single spaces and line ends make, and no other white space
+            if len(words) == gaps + 1 and len(text) == len("".join(words)) + gaps:
+                return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return _GAP.split(text)
 
     def _ids(self, chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk, 1 if chunk[0] == " " else 0) or any(s in chunk for s in self.special):
+        space = chunk[0] == " "
+        word = chunk[1:] if space else chunk
+        if word.isalpha() and max(word) < LAST_PLAIN:  # most are one run of letters
+            return self._piece(chunk)
+        if word[-1:] in ENDINGS and word[:-1].isalpha():
+            return self.cache[chunk[:-1]] + self.cache[word[-1]]
+        if not _PLAIN.fullmatch(word) or any(s in chunk for s in self.special):
             return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = _PIECE.findall(chunk)
-        if len(pieces) > 1:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        named = chunk.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return b"".join(map(self.cache.__getitem__, pieces)) if len(pieces) > 1 else self._piece(chunk)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece, by the tokenizer's model."""
+        if piece.isascii():
+            named = SPACE_NAME + piece[1:] if piece[0] == " " else piece
+        else:
+            named = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
         return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -103,6 +122,12 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, self.chunks(t))), dtype="<u4") for t in texts]
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One of a worker's lifetime: it keeps its ids from task to task."""
+    return Encoder(path)
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(table, control, data) of one block of ids; ids of equal frequency rank by number."""
     counts = np.bincount(ids)
@@ -139,7 +164,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int)
     from pyspark import TaskContext
 
     shard = TaskContext.get().partitionId()
-    encoder, end = Encoder(tokenizer_path), np.array([end_id], dtype="<u4")
+    encoder, end = _encoder(tokenizer_path), np.array([end_id], dtype="<u4")
     docs: list[int] = []
     parts: list[np.ndarray] = []
     start, held = 0, 0

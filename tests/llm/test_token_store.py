@@ -5,7 +5,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from maintspark.llm.common import read, shared_path
-from maintspark.llm.token_store import op2_token_store, pack, read_tokens, unpack, write_tokens
+from maintspark.llm.token_store import Encoder, op2_token_store, pack, read_tokens, unpack, write_tokens
 
 from .cases import clashing, empty, hard
 
@@ -48,3 +48,20 @@ def test_pack_takes_every_length():
     for n, top in ((0, 1), (1, 5), (7, 300), (200_001, 90_000)):
         ids = rng.integers(0, top, n).astype(np.uint32)
         assert (unpack(n, *pack(ids)) == ids).all()
+
+
+def test_ids_equal_the_tokenizers():
+    """Strings of letters, marks and all kinds of white space."""
+    import random
+
+    import public_tokenizers
+
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    letters = ["a", "the", "B", "é", "ß", "ł", "ª", "µ", "日本", "1", "23", ".", ",", "'s", "'", "!", "<", "<|endoftext|>", "-", "\u0301", "\x1c", "x" * 30, "🙂"]
+    spaces = [" ", " ", " ", "\n", "\n", "\t", "\u00a0", "\u3000", "\r", "\x1f", "\u2028", ""]
+    texts = ["a\n\u00a0\u00a0b", "word.", " word.", "é.", ".", " ."]
+    texts += ["".join(rng.choice(letters) + rng.choice(spaces) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(letters[:6]) + rng.choice(spaces[:5]) for _ in range(rng.randint(1, 9))) for _ in range(5_000)]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
