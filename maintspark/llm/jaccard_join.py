@@ -260,7 +260,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     # of a list of two it is known here whether they can meet
     several = postings.groupBy("key").agg(*ends, F.max(index).alias("index"), F.count("*").alias("entries")).where(f"min_set < max_set and index and (entries > 2 or {meet})").select("key")
     several = saved(several, "several")  # so that both sides of the join are plain exchanges, which Spark can split
-    both = saved(postings.join(several, "key"), "entries")
+    both = saved(only(postings, several, "key"), "entries")
     once = both.groupBy("key", "set").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "room", "central", "light")))
     out = saved(once.select("key", "id", "set", "n", "room", "central", "light"), "lists")
     discard(several, both)
