@@ -68,6 +68,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def slices(batch, rows: int = 256):
+    """A record batch in parts, so that little of it is Python objects at once."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def fields(schema: str) -> list[str]:
     """The column names of a flat DDL string."""
     return [part.split()[0] for part in schema.split(", ")]

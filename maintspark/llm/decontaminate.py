@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices
 
 K1, B = 1.2, 0.75
 #: Items in a block of the index: few, so that a block's bound is close to its items' scores.
@@ -225,7 +225,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared):
             index = shared.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 ids = batch.column(0).to_pylist()
                 hits = index.search(batch.column(1).to_pylist(), threshold, overlap)
                 flat = [(d, index.ids[k], *rest) for d, h in zip(ids, hits, strict=True) for k, *rest in h]
@@ -243,7 +243,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 hits = shared.value.search(batch.column("text").to_pylist(), threshold, overlap)
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, only, saved
+from .common import discard, mix64, only, saved, slices
 
 SKETCH = 1 << 20
 CHUNK = 1 << 14
@@ -141,7 +141,7 @@ def _measured(texts: DataFrame, size: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]):
         counts = np.zeros(SKETCH, dtype=np.uint32)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             sizes, digests = [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, size)
@@ -192,8 +192,7 @@ def _postings(texts: DataFrame, size: int, percent: int, counts, border: int) ->
     def rows(batches: Iterator[pa.RecordBatch]):
         common = counts.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for part in slices(batch):
                 keys, rooms, each = [], [], []
                 for d, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
                     s = shingles(t, size)
@@ -331,8 +330,7 @@ def _linked(texts: DataFrame, measured: DataFrame, size: int, percent: int, repe
     def set_rows(batches: Iterator[pa.RecordBatch]):
         common = counts.value
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b):
                 found = [shingles(t, size) for t in part.column(2).to_pylist()]
                 names = [_name(_digest(s)) for s in found]
                 ranked = [_ranked(s, common)[0].tobytes() if len(s) else b"" for s in found]

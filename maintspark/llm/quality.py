@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 FEATURES = (
     "log_chars", "log_words", "word_length", "word_length_sd", "longest_word", "upper", "digits", "space", "punctuation", "symbols", "bars", "exclamations",
     "other_bytes", "line_length", "repeated_lines", "distinct_words", "top_word", "same_word_again", "distinct_triples", "sentence_ends", "capitalised", "all_caps", "squeezed",
@@ -139,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Trees:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most max_rows ids and labels
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_feature_rows, "label double, features array<double>").toPandas()
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of repeated ids one row
+    rows = once.select("label", "text").mapInArrow(_feature_rows, "label double, features array<double>").toPandas()
     x = np.array(rows["features"].tolist()).reshape(-1, len(FEATURES))
     y = rows["label"].to_numpy(float)
     order = np.lexsort([y, *x.T])
@@ -152,9 +155,7 @@ def score_documents(docs: DataFrame, model: Trees, text_col: str = "text", score
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def rows(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             x = np.array([features(t) for t in batch.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, score_col])
 
@@ -168,4 +169,7 @@ def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
-    return score_documents(docs, train(docs, labels), score_col="_quality_score").where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    name = "_quality_score"
+    while name in docs.columns:
+        name += "_"
+    return score_documents(docs, train(docs, labels), score_col=name).where(F.col(name) >= threshold).drop(name)

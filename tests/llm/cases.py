@@ -39,4 +39,4 @@ def empty(spark):
 
 def clashing(docs):
     """Extra columns whose names operators might use themselves."""
-    return docs.withColumns({n: F.lit("x") for n in ("base", "shard", "start", "score", "label", "key", "n", "secrets", "spans", "value", "weight", "_email", "bucket")})
+    return docs.withColumns({n: F.lit("x") for n in ("base", "shard", "start", "score", "label", "key", "n", "secrets", "spans", "value", "weight", "_email", "bucket", "_quality_score", "_source", "_lang", "_topic", "_tokens", "_probability", "_gone", "_only_key")})
