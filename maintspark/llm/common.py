@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,7 @@ def slices(batch, rows: int = 256):
     """A record batch in parts, so that little of it is Python objects at once."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def fields(schema: str) -> list[str]:
