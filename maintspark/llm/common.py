@@ -11,7 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: texts may be very long, and a batch is held whole by the JVM and by Python.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers, unless the session already says something else than Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -21,6 +33,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     The folder is the cluster's ``spark.checkpoint.dir``; only where it is unset
     (single-machine tests) a temporary one is made and set.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -45,7 +45,8 @@ from .common import discard, mix64, only, saved, slices
 SKETCH = 1 << 20
 CHUNK = 1 << 14
 #: Entries of a list outside of the head's component that meet all others; a list with more is split.
-FEW = 16
+#: About as many as splitting makes of one entry, so that it is never the dearer way.
+FEW = 128
 
 
 _SPACE = np.zeros(256, dtype=bool)
