@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
 
-#: SQL can't express the classifier; tests hold each stage against its operator's brute-force version.
+#: SQL can't express the classifier; the stages' operators have brute-force, round-trip or accuracy tests of their own.
 ORACLE_SQL = None
 
 
