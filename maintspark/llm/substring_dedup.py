@@ -1,11 +1,12 @@
 """Removes text that a document repeats from documents with smaller ids: byte strings of at least ``least`` bytes.
 
 1. Anchors: in each ``least`` bytes of a document the gram with the smallest hash (the first
-   of equals) is an anchor, so equal strings have equal anchors. Only those of two documents
+   of equals) is an anchor, so equal strings have equal anchors. Only those of two rows
    or more go on; this is a filter, never a decision.
 2. Windows: the bytes around each such anchor that any string with it can cover. Equal
    windows become one, with the smallest and the largest id, before anything is gathered.
-3. Distinct windows are dealt by their anchor into groups whose number grows with them. A
+3. Distinct windows are dealt by their anchor into groups whose number grows with them. An
+   anchor with one distinct window is settled: its strings have that window's ids. Of others a
    Burrows-Wheeler transform of them is extended backward, breadth first: the intervals of
    level l give the borders where neighbours share exactly l bytes. The search stops at
    ``least``; neighbours without a border share that many. The smallest id of a run is what
@@ -143,16 +144,22 @@ def _window_rows(batches: Iterator[pa.RecordBatch], least: int):
                 for p, x in zip(at[hit].tolist(), mine[hit].tolist(), strict=True):
                     a = max(0, p - (least - GRAM))
                     window = raw[a : p + least]
-                    rows.append((x, hashlib.blake2b(x.to_bytes(8, "big", signed=True) + window, digest_size=16).digest(), doc, a, window))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["anchor", "key", "doc_id", "start", "bytes"])
+                    rows.append((x, hashlib.blake2b(x.to_bytes(8, "big", signed=True) + window, digest_size=16).digest(), doc, a, len(window) - least + 1, window))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["anchor", "key", "doc_id", "start", "n", "bytes"])
 
 
 def _covered(pdf, least: int):
-    """Of one place's distinct windows: the smallest id that has the string at each of their starts, where a document loses any."""
+    """Of one place's distinct windows: the smallest id that has the string at each of their starts, where a document loses any; one id if they agree."""
     import pandas as pd
 
-    pdf = pdf.sort_values("anchor", kind="stable")
+    # an anchor that always has the same bytes around it: whoever has one of its strings has them all
+    alone = ~pdf["anchor"].duplicated(keep=False).to_numpy()
+    same = pdf[alone & (pdf["lo"] < pdf["hi"]).to_numpy()]
+    same = pd.DataFrame({"key": same["key"].to_numpy(), "lows": pd.Series([[low] for low in same["lo"].tolist()], dtype=object)})
+    pdf = pdf[~alone].sort_values("anchor", kind="stable")
+    if pdf.empty:
+        return same
     windows, anchor = pdf["bytes"].tolist(), pdf["anchor"].to_numpy()
     least_doc, most_doc = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
     sizes = np.array([len(w) for w in windows])
@@ -179,7 +186,10 @@ def _covered(pdf, least: int):
         best[ids[owner], slot] = lowest[runs]
         begin = end
     lost = np.flatnonzero((best < most_doc[:, None]).any(1))
-    return pd.DataFrame({"key": pdf["key"].to_numpy()[lost], "lows": [best[i, : sizes[i] - least + 1] for i in lost]})
+    slots_of = sizes[lost] - least + 1
+    constant = np.where(np.arange(slots) < slots_of[:, None], best[lost] == best[lost, :1], True).all(1)
+    lows = [best[i, : 1 if one else n] for i, n, one in zip(lost.tolist(), slots_of.tolist(), constant.tolist(), strict=True)]
+    return pd.concat([same, pd.DataFrame({"key": pdf["key"].to_numpy()[lost], "lows": lows})])
 
 
 def _by_strings(windows: DataFrame, least: int) -> DataFrame:
@@ -195,12 +205,13 @@ def _by_strings(windows: DataFrame, least: int) -> DataFrame:
 def _lost(batches: Iterator[pa.RecordBatch]):
     """Bit i of ``lost``: the document loses the string that begins i bytes after the window's start."""
     for batch in batches:
-        docs, starts, lows = (batch.column(k) for k in range(3))
-        docs = docs.to_numpy()
+        docs, starts, n, lows = (batch.column(k) for k in range(4))
+        docs, n = docs.to_numpy(), n.to_numpy()
         sizes = np.diff(lows.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        slot = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        gone = lows.flatten().to_numpy() < docs[owner]
+        first = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(docs)), n)
+        slot = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        gone = lows.flatten().to_numpy()[first[owner] + np.where(sizes[owner] > 1, slot, 0)] < docs[owner]
         bits = np.zeros(len(docs), np.int64)
         np.add.at(bits, owner[gone], np.int64(1) << slot[gone])
         yield pa.RecordBatch.from_arrays([pa.array(docs), starts, pa.array(bits)], ["doc_id", "start", "lost"]).filter(pa.array(bits != 0))
@@ -234,16 +245,16 @@ def remove_repeats(docs: DataFrame, least: int = 50, text_col: str = "text") ->
     texts = _docs(docs, text_col)
     marks = texts.mapInArrow(lambda it: _anchor_rows(it, least), "anchor long, doc_id long")
     # each side of a join on a common value is written before, so that Spark can split the value's rows
-    common = saved(marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
+    common = saved(marks.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     per_doc = marks.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("found"))
-    windows = saved(texts.join(per_doc, "doc_id").mapInArrow(lambda it: _window_rows(it, least), "anchor long, key binary, doc_id long, start int, bytes binary"), "windows", compression="zstd")
+    windows = saved(texts.join(per_doc, "doc_id").mapInArrow(lambda it: _window_rows(it, least), "anchor long, key binary, doc_id long, start int, n int, bytes binary"), "windows", compression="zstd")
     distinct = saved(windows.groupBy("anchor", "key", "bytes").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "distinct", compression="zstd")
     many = saved(distinct.groupBy("anchor").count().where(F.col("count") > MOST).select("anchor"), "many")
     places = -(-distinct.count() * 2 * least // GROUP_BYTES) or 1
     placed = distinct.join(many, "anchor", "left_anti").withColumn("place", F.pmod(F.xxhash64("anchor"), F.lit(places)))
     few = placed.groupBy("place").applyInPandas(lambda pdf: _covered(pdf, least), "key binary, lows array<bigint>")
     verdicts = saved(few.union(_by_strings(distinct.join(many, "anchor", "left_semi"), least)), "verdicts", compression="zstd")
-    lost = windows.select("key", "doc_id", "start").join(verdicts, "key").select("doc_id", "start", "lows").mapInArrow(_lost, "doc_id long, start int, lost long")
+    lost = windows.select("key", "doc_id", "start", "n").join(verdicts, "key").select("doc_id", "start", "n", "lows").mapInArrow(_lost, "doc_id long, start int, lost long")
     per_doc = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lost")).alias("gone"))
     return texts.join(per_doc, "doc_id", "left").mapInArrow(lambda it: _result(it, least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
