@@ -59,24 +59,34 @@ def with_replacements(history: DataFrame, replacements: DataFrame) -> DataFrame:
     return joined.withColumn("replaced_parts", F.coalesce("replaced_parts", F.array().cast("array<struct<id:bigint,part_off_pn:string,part_on_pn:string,quantity:int>>")))
 
 
+def _words_within(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """token, word: each distinct word with the tokens that contain it, found by the word's first four letters."""
+    starts = words.select("word").distinct().withColumn("gram", F.substring("word", 1, 4))
+    places = F.sequence(F.lit(1), F.length("token") - 3)
+    grams = tokens.select("token").distinct().where(F.length("token") > 3).select("token", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("token"), i, F.lit(4))))).alias("gram"))
+    return grams.join(starts, "gram").where(F.contains("token", "word")).select("token", "word")
+
+
 def similar_cases(problems: DataFrame, history: DataFrame, k: int = 3, least: int = 2, recent_limit: int | None = None, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """query_id, id, score, rank: the k resolved cases of the same system that contain most of a problem's keywords.
 
     A keyword counts as a substring, repeats twice; the same aircraft adds one. A problem
     without a system is compared with all. Ties: the latest resolved, then the smallest id.
-    Texts are cleaned once, before the join; only narrow columns go through it.
+    A keyword has no white space, so it lies within one token of a case: the vocabulary is
+    matched with the keywords once, and cases meet problems only by a keyword they contain.
+    Equal rows of a case count once.
     """
     solved = history.where(F.col("solution_status") == "resolved")
     if recent_limit:
         solved = solved.orderBy(F.desc("resolved_seq"), "id").limit(recent_limit)
-    cases = solved.select("id", "ata", "aircraft_serial", "resolved_seq", cleaned(F.col("problem")).alias("clean"))
-    asked = problems.select("query_id", F.col("ata").alias("q_ata"), "serial_number", keywords(F.col("problem"), stop_words=stop_words).alias("words"))
-    systems = cases.select(F.col("ata").alias("q")).distinct()
-    # a problem without a system takes part once for each system: then all is one equi-join
-    spread = asked.where("q_ata is not null").withColumn("q", F.col("q_ata")).unionByName(asked.where("q_ata is null").crossJoin(systems))
-    pairs = spread.join(cases, F.col("q") == F.col("ata"))
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("clean"), w)))
-    scored = pairs.select("query_id", "id", "resolved_seq", hits.alias("hits"), (F.coalesce(F.col("serial_number") == F.col("aircraft_serial"), F.lit(False))).cast("int").alias("same")).where(F.col("hits") >= least)
-    scored = scored.select("query_id", "id", "resolved_seq", (F.col("hits") + F.col("same")).alias("score"))
+    case = ["id", "ata", "aircraft_serial", "resolved_seq"]
+    tokens = solved.select(*case, F.explode(F.array_distinct(F.split(cleaned(F.col("problem")), r"[ \t\n\x0B\f\r]+"))).alias("token"))
+    asked = problems.select("query_id", F.col("ata").alias("q_ata"), "serial_number", F.explode(keywords(F.col("problem"), stop_words=stop_words)).alias("word"))
+    asked = asked.groupBy("query_id", "q_ata", "serial_number", "word").agg(F.count("*").alias("times"))
+    found = tokens.join(_words_within(tokens, asked), "token").select(*case, "word").distinct()
+    pairs = found.join(asked, "word").where(F.col("q_ata").isNull() | (F.col("q_ata") == F.col("ata")))
+    same = F.coalesce(F.col("serial_number") == F.col("aircraft_serial"), F.lit(False)).cast("int")
+    scored = pairs.groupBy("query_id", "id", "resolved_seq", same.alias("same")).agg(F.sum("times").alias("hits")).where(F.col("hits") >= least)
+    scored = scored.select("query_id", "id", "resolved_seq", (F.col("hits") + F.col("same")).cast("int").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("resolved_seq"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")

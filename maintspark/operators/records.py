@@ -22,11 +22,30 @@ def match_connector(tools: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def apply_solutions(history: DataFrame, solutions: DataFrame) -> DataFrame:
-    """Each row with its latest solution, which makes it resolved; solutions of unknown rows change nothing."""
-    order = Window.partitionBy("history_id").orderBy(F.desc("submitted_at"))
-    last = solutions.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("history_id", F.col("solution").alias("_solution"))
-    joined = history.join(last, F.col("id") == F.col("history_id"), "left").drop("history_id")
-    return joined.withColumn("solution_status", F.when(F.col("_solution").isNotNull(), "resolved").otherwise(F.col("solution_status"))).withColumnRenamed("_solution", "solution")
+    """Each row with its latest solution, which makes it resolved; solutions of unknown rows change nothing.
+
+    Sets solution, solution_status, resolved_at and, where the solutions have it, technician_name;
+    rows without a solution keep what they have. Ties: the last text. The parts are in ``solution_parts``.
+    """
+    last = latest_solutions(solutions)
+    new = {"solution": "solution", "resolved_at": "submitted_at"} | ({"technician_name": "technician_name"} if "technician_name" in solutions.columns else {})
+    joined = history.join(last.select(F.col("history_id").alias("_of"), *(F.col(c).alias(f"_new_{c}") for c in new.values())), F.col("id") == F.col("_of"), "left")
+    solved = F.col("_new_solution").isNotNull()
+    old = lambda c: F.col(c) if c in history.columns else F.lit(None)
+    values = {c: F.when(solved, F.col(f"_new_{source}")).otherwise(old(c)) for c, source in new.items()}
+    values["solution_status"] = F.when(solved, "resolved").otherwise(F.col("solution_status"))
+    return joined.withColumns(values).drop("_of", *(f"_new_{c}" for c in new.values()))
+
+
+def latest_solutions(solutions: DataFrame) -> DataFrame:
+    order = Window.partitionBy("history_id").orderBy(F.desc("submitted_at"), F.desc("solution"))
+    return solutions.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
+def solution_parts(history: DataFrame, solutions: DataFrame) -> DataFrame:
+    """A replacement row for each part (``replaced_parts``) of the solutions that ``apply_solutions`` takes."""
+    known = latest_solutions(solutions).join(history.select(F.col("id").alias("history_id")), "history_id", "left_semi")
+    return known.select(F.col("history_id").alias("troubleshooting_id"), F.col("submitted_at").alias("replaced_at"), F.inline("replaced_parts"))
 
 
 def rejected_solutions(history: DataFrame, solutions: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def ata_report(occurrences: DataFrame, parts: DataFrame, as_of: Column) -> DataF
 
 
 def rolling_recurrence(occurrences: DataFrame, days: int = 90) -> DataFrame:
-    """For each fault, the faults of its system in the days up to and including its moment."""
-    span = Window.partitionBy("ata_code").orderBy("_at").rangeBetween(-days * 86400, 0)
-    return occurrences.withColumn("_at", F.unix_seconds(F.col("occurrence_date").cast("timestamp"))).withColumn("rolling", F.count("*").over(span)).drop("_at")
+    """For each fault, the faults of its system in the days up to and including its moment.
+
+    Faults are counted by system and moment first, so the window holds a row a moment, not a row a fault.
+    """
+    span = Window.partitionBy("_ata").orderBy("_moment").rangeBetween(-days * 86400, 0)
+    at = F.unix_seconds(F.col("occurrence_date").cast("timestamp"))
+    counts = occurrences.groupBy(F.col("ata_code").alias("_ata"), at.alias("_moment")).agg(F.count("*").alias("_n"))
+    rolling = counts.select("_ata", "_moment", F.sum("_n").over(span).alias("rolling"))
+    same = F.col("ata_code").eqNullSafe(F.col("_ata")) & at.eqNullSafe(F.col("_moment"))
+    return occurrences.join(rolling, same, "left").drop("_ata", "_moment")

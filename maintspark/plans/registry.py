@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maintspark.operators import effectivity as eff
+from maintspark.functions import text
 from maintspark.operators import assessment, extract, findings, fleet, history, lookups, manuals, records, reliability, retrieval
 
 from .views import duck, view
@@ -178,6 +179,18 @@ _add(
     _on(lambda h, p: records.apply_solutions(h, p.selectExpr("query_id history_id", "problem solution", "query_id submitted_at")).select("id", "solution_status", "solution"), "history", "problems"),
     "select id, case when s.problem is not null then 'resolved' else solution_status end as solution_status, s.problem as solution from history left join problems s on s.query_id = id",
 )
+_add(
+    "certainty_gates", _on(lambda m: m.select("id", text.gate(F.col("tsn") % 101).alias("gate"), extract.connector_gate(F.col("tsn") % 101 / 100, F.col("type"))["expert_required"].alias("expert_required")), "maintenance_logs"),
+    "select id, case when tsn % 101 >= 95 then 'SAFE_TO_PROCEED' else 'REQUIRE_EXPERT' end as gate, (tsn % 101) / 100 < 0.95 as expert_required from maintenance_logs",
+)
+_add(
+    "history_with_parts", _on(lambda h, r: history.with_replacements(h, r).select("id", F.size("replaced_parts").alias("n_parts"), F.coalesce(F.array_join(F.transform("replaced_parts", lambda p: p["part_on_pn"]), ","), F.lit("")).alias("parts")), "history", "replacements"),
+    "select h.id, coalesce(n, 0) as n_parts, coalesce(p, '') as parts from history h left join (select troubleshooting_id, count(*) as n, string_agg(part_on_pn, ',' order by id, part_off_pn, part_on_pn) as p from replacements group by 1) r on r.troubleshooting_id = h.id",
+)
+_add(
+    "wiring_documents", _on(lambda c: c.select("doc_id", text.is_wiring_doc(F.col("doc_path"), F.col("text")).alias("wiring"), text.truncated(F.col("text"), F.col("doc_path"), 40).alias("start")), "corpus"),
+    "select doc_id, contains(lower(doc_path), '39-a-awdp') or contains(lower(substr(text, 1, 1000)), '39-a-awdp') or contains(lower(substr(text, 1, 1000)), 'wiring diagram') as wiring, case when length(coalesce(text, '')) < 20 then '[FALLBACK] ' || doc_path else substr(text, 1, 40) end as start from corpus",
+)
 _add("whole_maintenance_log", _on(lambda x: x.select("id", "ata", "tsn"), "maintenance_logs"), "select id, ata, tsn from maintenance_logs")
 
 
