@@ -60,6 +60,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished queries: it does so when the driver's JVM collects them."""
+    spark._jvm.java.lang.System.gc()
+
+
 #: Keys that are broadcast at most: 16 MB, or 32 with two to a key.
 MOST_KEYS = 1_000_000
 

@@ -3,18 +3,19 @@
 1. Anchors: in each ``least`` bytes of a document the gram with the smallest hash (the first
    of equals) is an anchor, so equal strings have equal anchors. Only those of two rows
    or more go on; this is a filter, never a decision.
-2. Windows: the bytes around each such anchor that any string with it can cover. Equal
-   windows become one, with the smallest and the largest id, before anything is gathered.
-3. Distinct windows are dealt by their anchor into groups whose number grows with them. An
-   anchor with one distinct window is settled: its strings have that window's ids. Of others a
+2. Windows: the bytes around each such anchor that any string with it can cover, known by
+   their anchor and a hash, 128 bits together. An anchor whose windows are all equal is
+   settled: its strings have the windows' ids. Of the others, equal windows become one, with
+   the smallest and the largest id, before anything is gathered.
+3. Distinct windows are dealt by their anchor into groups whose number grows with them. A
    Burrows-Wheeler transform of them is extended backward, breadth first: the intervals of
    level l give the borders where neighbours share exactly l bytes. The search stops at
    ``least``; neighbours without a border share that many. The smallest id of a run is what
    each of its strings gets. An anchor with more than ``MOST`` distinct windows isn't
    gathered: Spark groups the strings of its windows.
-4. The verdicts return to the windows' occurrences by a digest of 128 bits, and a string is
-   removed where its smallest id is below the document's own. The removed starts return to
-   their documents, where they are united.
+4. The verdicts return to the windows' occurrences, and a string is removed where its
+   smallest id is below the document's own. The removed starts return to their documents,
+   where they are united.
 
 Null and empty texts lose nothing. Rows with the same id don't remove each other's text.
 Null ids count as -1. Extra columns are ignored. Every text is read whole.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved
+from .common import discard, free_shuffles, mix64, only, saved
 
 GRAM = 24
 #: Bytes of windows that are transformed together (the windows of one anchor always are).
@@ -144,22 +145,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch], least: int):
                 for p, x in zip(at[hit].tolist(), mine[hit].tolist(), strict=True):
                     a = max(0, p - (least - GRAM))
                     window = raw[a : p + least]
-                    rows.append((x, hashlib.blake2b(x.to_bytes(8, "big", signed=True) + window, digest_size=16).digest(), doc, a, len(window) - least + 1, window))
+                    rows.append((x, int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True), doc, a, len(window) - least + 1, window))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["anchor", "key", "doc_id", "start", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["anchor", "key", "doc_id", "start", "n", "bytes"])
 
 
 def _covered(pdf, least: int):
     """Of one place's distinct windows: the smallest id that has the string at each of their starts, where a document loses any; one id if they agree."""
     import pandas as pd
 
-    # an anchor that always has the same bytes around it: whoever has one of its strings has them all
-    alone = ~pdf["anchor"].duplicated(keep=False).to_numpy()
-    same = pdf[alone & (pdf["lo"] < pdf["hi"]).to_numpy()]
-    same = pd.DataFrame({"key": same["key"].to_numpy(), "lows": pd.Series([[low] for low in same["lo"].tolist()], dtype=object)})
-    pdf = pdf[~alone].sort_values("anchor", kind="stable")
-    if pdf.empty:
-        return same
+    pdf = pdf.sort_values("anchor", kind="stable")
     windows, anchor = pdf["bytes"].tolist(), pdf["anchor"].to_numpy()
     least_doc, most_doc = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
     sizes = np.array([len(w) for w in windows])
@@ -189,17 +184,17 @@ def _covered(pdf, least: int):
     slots_of = sizes[lost] - least + 1
     constant = np.where(np.arange(slots) < slots_of[:, None], best[lost] == best[lost, :1], True).all(1)
     lows = [best[i, : 1 if one else n] for i, n, one in zip(lost.tolist(), slots_of.tolist(), constant.tolist(), strict=True)]
-    return pd.concat([same, pd.DataFrame({"key": pdf["key"].to_numpy()[lost], "lows": lows})])
+    return pd.DataFrame({"anchor": anchor[lost], "key": pdf["key"].to_numpy()[lost], "lows": pd.Series(lows, dtype=object)})
 
 
 def _by_strings(windows: DataFrame, least: int) -> DataFrame:
     """The same as ``_covered``, of any number of windows: their strings are grouped one by one."""
     start = F.explode(F.sequence(F.lit(0), F.length("bytes") - least))
-    strings = windows.select("key", "lo", "hi", "bytes", start.alias("slot")).select("key", "lo", "hi", "slot", F.substring("bytes", F.col("slot") + 1, F.lit(least)).alias("string"))
+    strings = windows.select("anchor", "key", "lo", "hi", "bytes", start.alias("slot")).select("anchor", "key", "lo", "hi", "slot", F.substring("bytes", F.col("slot") + 1, F.lit(least)).alias("string"))
     # written, so that both sides of the join are plain exchanges and a common string is split
     lowest = saved(strings.groupBy("string").agg(F.min("lo").alias("low")), "strings")
-    rows = strings.join(lowest, "string").groupBy("key", "hi").agg(F.sort_array(F.collect_list(F.struct("slot", "low"))).alias("lows"))
-    return rows.select("key", "hi", F.col("lows.low").alias("lows")).where(F.array_min("lows") < F.col("hi")).select("key", "lows")
+    rows = strings.join(lowest, "string").groupBy("anchor", "key", "hi").agg(F.sort_array(F.collect_list(F.struct("slot", "low"))).alias("lows"))
+    return rows.select("anchor", "key", "hi", F.col("lows.low").alias("lows")).where(F.array_min("lows") < F.col("hi")).select("anchor", "key", "lows")
 
 
 def _lost(batches: Iterator[pa.RecordBatch]):
@@ -246,15 +241,27 @@ def remove_repeats(docs: DataFrame, least: int = 50, text_col: str = "text") ->
     marks = texts.mapInArrow(lambda it: _anchor_rows(it, least), "anchor long, doc_id long")
     # each side of a join on a common value is written before, so that Spark can split the value's rows
     common = saved(marks.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    free_shuffles(docs.sparkSession)
     per_doc = marks.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("found"))
-    windows = saved(texts.join(per_doc, "doc_id").mapInArrow(lambda it: _window_rows(it, least), "anchor long, key binary, doc_id long, start int, n int, bytes binary"), "windows", compression="zstd")
-    distinct = saved(windows.groupBy("anchor", "key", "bytes").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "distinct", compression="zstd")
+    windows = saved(texts.join(per_doc, "doc_id").mapInArrow(lambda it: _window_rows(it, least), "anchor long, key long, doc_id long, start int, n int, bytes binary"), "windows", compression="zstd")
+    discard(common)
+    free_shuffles(docs.sparkSession)
+    ids = (F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    # no bytes are shuffled for anchors whose windows are all equal
+    found = windows.groupBy("anchor").agg(F.min("key").alias("key"), F.max("key").alias("last"), *ids).where("lo < hi")
+    found = saved(found.select("anchor", "key", (F.col("key") == F.col("last")).alias("one"), "lo"), "found", compression="zstd")
+    free_shuffles(docs.sparkSession)
+    distinct = saved(only(windows, found.where("not one"), "anchor").groupBy("anchor", "key", "bytes").agg(*ids), "distinct", compression="zstd")
     many = saved(distinct.groupBy("anchor").count().where(F.col("count") > MOST).select("anchor"), "many")
+    free_shuffles(docs.sparkSession)
     places = -(-distinct.count() * 2 * least // GROUP_BYTES) or 1
     placed = distinct.join(many, "anchor", "left_anti").withColumn("place", F.pmod(F.xxhash64("anchor"), F.lit(places)))
-    few = placed.groupBy("place").applyInPandas(lambda pdf: _covered(pdf, least), "key binary, lows array<bigint>")
-    verdicts = saved(few.union(_by_strings(distinct.join(many, "anchor", "left_semi"), least)), "verdicts", compression="zstd")
-    lost = windows.select("key", "doc_id", "start", "n").join(verdicts, "key").select("doc_id", "start", "n", "lows").mapInArrow(_lost, "doc_id long, start int, lost long")
+    few = placed.groupBy("place").applyInPandas(lambda pdf: _covered(pdf, least), "anchor long, key long, lows array<bigint>")
+    decided = saved(few.union(_by_strings(distinct.join(many, "anchor", "left_semi"), least)), "decided", compression="zstd")
+    discard(distinct, many)
+    free_shuffles(docs.sparkSession)
+    verdicts = found.where("one").select("anchor", "key", F.array("lo").alias("lows")).union(decided)
+    lost = windows.select("anchor", "key", "doc_id", "start", "n").join(verdicts, ["anchor", "key"]).select("doc_id", "start", "n", "lows").mapInArrow(_lost, "doc_id long, start int, lost long")
     per_doc = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lost")).alias("gone"))
     return texts.join(per_doc, "doc_id", "left").mapInArrow(lambda it: _result(it, least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
