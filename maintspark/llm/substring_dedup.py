@@ -17,7 +17,8 @@
    smallest id is below the document's own. The removed starts return to their documents,
    where they are united.
 
-Null and empty texts lose nothing. Rows with the same id don't remove each other's text.
+Null and empty texts lose nothing. Rows with the same id don't remove each other's text;
+rows are told apart by their id and a hash of their text, so each of them loses its own.
 Null ids count as -1. Extra columns are ignored. Every text is read whole.
 """
 
@@ -121,7 +122,8 @@ def runs_of(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _docs(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "raw").alias("row"), "raw")
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int):
@@ -129,8 +131,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int):
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
             found = [np.unique(anchors(raw, least)[1]) for raw in part.column(1).to_pylist()]
-            docs = np.repeat(np.array(part.column(0).to_pylist(), dtype=np.int64), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(docs)], ["anchor", "doc_id"])
+            rows = np.repeat(np.array(part.column(0).to_pylist(), dtype=np.int64), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(rows)], ["anchor", "row"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], least: int):
@@ -138,16 +140,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch], least: int):
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
             rows = []
-            for doc, raw, found in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, row, raw, found in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
                 at, h = anchors(raw, least)
                 known, mine = np.sort(np.array(found, np.int64)), h.view(np.int64)
                 hit = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
                 for p, x in zip(at[hit].tolist(), mine[hit].tolist(), strict=True):
                     a = max(0, p - (least - GRAM))
                     window = raw[a : p + least]
-                    rows.append((x, int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True), doc, a, len(window) - least + 1, window))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["anchor", "key", "doc_id", "start", "n", "bytes"])
+                    rows.append((x, int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big", signed=True), doc, row, a, len(window) - least + 1, window))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()], strict=True)], ["anchor", "key", "doc_id", "row", "start", "n", "bytes"])
 
 
 def _covered(pdf, least: int):
@@ -200,7 +202,7 @@ def _by_strings(windows: DataFrame, least: int) -> DataFrame:
 def _lost(batches: Iterator[pa.RecordBatch]):
     """Bit i of ``lost``: the document loses the string that begins i bytes after the window's start."""
     for batch in batches:
-        docs, starts, n, lows = (batch.column(k) for k in range(4))
+        docs, rows, starts, n, lows = (batch.column(k) for k in range(5))
         docs, n = docs.to_numpy(), n.to_numpy()
         sizes = np.diff(lows.offsets.to_numpy())
         first = np.cumsum(sizes) - sizes
@@ -209,7 +211,7 @@ def _lost(batches: Iterator[pa.RecordBatch]):
         gone = lows.flatten().to_numpy()[first[owner] + np.where(sizes[owner] > 1, slot, 0)] < docs[owner]
         bits = np.zeros(len(docs), np.int64)
         np.add.at(bits, owner[gone], np.int64(1) << slot[gone])
-        yield pa.RecordBatch.from_arrays([pa.array(docs), starts, pa.array(bits)], ["doc_id", "start", "lost"]).filter(pa.array(bits != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(docs), rows, starts, pa.array(bits)], ["doc_id", "row", "start", "lost"]).filter(pa.array(bits != 0))
 
 
 def _result(batches: Iterator[pa.RecordBatch], least: int):
@@ -238,12 +240,13 @@ def remove_repeats(docs: DataFrame, least: int = 50, text_col: str = "text") ->
     if not GRAM < least <= 64:
         raise ValueError("least must be over 24 and at most 64")
     texts = _docs(docs, text_col)
-    marks = texts.mapInArrow(lambda it: _anchor_rows(it, least), "anchor long, doc_id long")
+    # a row hash that two rows share adds anchors to look for, which a row without them ignores
+    marks = texts.select("row", "raw").mapInArrow(lambda it: _anchor_rows(it, least), "anchor long, row long")
     # each side of a join on a common value is written before, so that Spark can split the value's rows
     common = saved(marks.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     free_shuffles(docs.sparkSession)
-    per_doc = marks.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("found"))
-    windows = saved(texts.join(per_doc, "doc_id").mapInArrow(lambda it: _window_rows(it, least), "anchor long, key long, doc_id long, start int, n int, bytes binary"), "windows", compression="zstd")
+    per_row = marks.join(common, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("found"))
+    windows = saved(texts.join(per_row, "row").select("doc_id", "row", "raw", "found").mapInArrow(lambda it: _window_rows(it, least), "anchor long, key long, doc_id long, row long, start int, n int, bytes binary"), "windows", compression="zstd")
     discard(common)
     free_shuffles(docs.sparkSession)
     ids = (F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -261,9 +264,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, text_col: str = "text") ->
     discard(distinct, many)
     free_shuffles(docs.sparkSession)
     verdicts = found.where("one").select("anchor", "key", F.array("lo").alias("lows")).union(decided)
-    lost = windows.select("anchor", "key", "doc_id", "start", "n").join(verdicts, ["anchor", "key"]).select("doc_id", "start", "n", "lows").mapInArrow(_lost, "doc_id long, start int, lost long")
-    per_doc = lost.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lost")).alias("gone"))
-    return texts.join(per_doc, "doc_id", "left").mapInArrow(lambda it: _result(it, least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    lost = windows.select("anchor", "key", "doc_id", "row", "start", "n").join(verdicts, ["anchor", "key"]).select("doc_id", "row", "start", "n", "lows").mapInArrow(_lost, "doc_id long, row long, start int, lost long")
+    per_row = lost.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "lost")).alias("gone"))
+    return texts.join(per_row, ["doc_id", "row"], "left").select("doc_id", "raw", "gone").mapInArrow(lambda it: _result(it, least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_substring_dedup(docs: DataFrame) -> DataFrame:

@@ -87,3 +87,21 @@ def test_nul_is_a_byte_like_others(spark):
         for i in range(len(w) - 49):
             assert seen.setdefault(w[i : i + 50], run_at[end - len(w) - 1 + i]) == run_at[end - len(w) - 1 + i]
     assert len(set(seen.values())) == len(seen)
+
+
+def test_one_id_with_different_texts(spark):
+    passage = "a passage of more than fifty bytes that comes back in another document, word by word"
+    rows = [(0, passage), (1, "some words before it: " + passage), (1, "short text"), (1, passage + " and an end"), (1, passage + " and an end"), (None, passage), (2, passage)]
+    docs = clashing(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], hard(spark).schema))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect())
+    ids = [(-1 if i is None else i, (t or "").encode()) for i, t in rows]
+    low = {}
+    for d, raw in sorted(ids):
+        for i in range(len(raw) - 49):
+            low.setdefault(raw[i : i + 50], d)
+    want = []
+    for d, raw in ids:
+        cut = {i + k for i in range(len(raw) - 49) if low[raw[i : i + 50]] < d for k in range(50)}
+        kept = bytes(b for i, b in enumerate(raw) if i not in cut)
+        want.append((d, len(raw), len(cut), sum(1 for i in cut if i - 1 not in cut), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want)
