@@ -68,7 +68,11 @@ CONTEXT = {
 #: Score of a confirmed span without context, and what context adds.
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "card_group": 0.6, "ssn": 0.3}
 CONTEXT_BONUS = 0.3
-SPAN = "array<struct<kind:int,start:int,end:int,text:string>>"
+SPAN = "array<struct<start:int,end:int,text:string,before:string>>"
+#: Characters before a span in which context words count.
+NEAR = 40
+#: Matches that are added up together: an array that grows is copied at each step, so it stays short.
+CHUNK = 256
 
 
 def _digits(text: Column) -> Column:
@@ -113,20 +117,43 @@ def _valid(kind: str, text: Column) -> Column:
     return mod97(text) if kind == "iban" else F.lit(True)
 
 
-def _spans(text: Column, kind: str, number: int) -> Column:
-    """The confirmed spans of one kind. The gaps between the matches give their places, in code points."""
-    pieces = F.zip_with(F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _spans(text: Column, kind: str) -> Column:
+    """The confirmed spans of one kind, each with the characters before it.
+
+    The gaps between the matches give their places, in code points. They are added up in
+    chunks, and the chunks' ends then shift what is in them, so the time grows with the text.
+    """
+    whole = F.zip_with(F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    none = F.array().cast(SPAN)
 
     def step(acc, piece):
-        start = acc["at"] + piece["gap"]
+        start = acc["at"] + F.length(piece["gap"])
         end = start + F.length(piece["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(number).alias("kind"), start.alias("start"), end.alias("end"), piece["hit"].alias("text")))).alias("out"))
-
-    found = F.aggregate(F.filter(pieces, lambda p: p["hit"].isNotNull()), zero, step)["out"]
+        before = F.right(F.concat(acc["near"], piece["gap"]), F.lit(NEAR))
+        span = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("text"), before.alias("before"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, piece["hit"]), F.lit(NEAR)).alias("near"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def chunk(pieces, first):
+        # each match has a character at least, so NEAR pieces hold all that is near
+        last = F.slice(pieces, F.greatest(first - NEAR, F.lit(0)) + 1, F.least(first, F.lit(NEAR)))
+        near = F.right(F.array_join(F.transform(last, lambda p: F.concat(p["gap"], p["hit"])), ""), F.lit(NEAR))
+        return F.aggregate(F.slice(pieces, first + 1, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), near.alias("near"), none.alias("out")), step)
+
+    def placed(chunks):
+        ends = F.aggregate(
+            chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )["out"]
+        moved = lambda c, by: F.transform(c["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["text"].alias("text"), s["before"].alias("before")))
+        return F.flatten(F.zip_with(chunks, ends, moved))
+
+    # an array of one element names a value that is used twice
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    in_chunks = lambda pieces: F.transform(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(CHUNK)), lambda first: chunk(pieces, first))
+    found = once(F.filter(whole, lambda p: p["hit"].isNotNull()), lambda pieces: once(in_chunks(pieces), placed))
     # a text without the character that every match has is left alone
     might = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.contains("."), "ssn": text.contains("-")}.get(kind, F.lit(True))
-    return F.when(might, F.filter(found, lambda s: _valid(kind, s["text"]))).otherwise(F.array().cast(SPAN))
+    return F.when(might, F.filter(found, lambda s: _valid(kind, s["text"]))).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -137,15 +164,14 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) ->
     only where no base card covers it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    raw = docs.withColumns({f"_{kind}": _spans(text, kind, i) for i, kind in enumerate((*BASE, *ADDED))})
+    raw = docs.withColumns({f"_{kind}": _spans(text, kind) for kind in (*BASE, *ADDED)})
 
     def scored(kind: str) -> Column:
-        before = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))))
         return F.transform(
             f"_{kind}",
             lambda s: F.struct(
                 F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
-                F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(before(s).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)).alias("score"),
+                F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(F.lower(s["before"]).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)).alias("score"),
             ),
         )
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from maintspark.llm.common import read
 from maintspark.llm.pii import find_pii, op1_pii, redact
@@ -66,6 +67,20 @@ def test_pii_empty_and_repeated(spark):
     assert len(twice) == 2 * len(HARD)
 
 
+def test_pii_many_hits_in_one_text(spark):
+    texts = {0: "x@y.zz " * 100_000, 1: "call " + "+49 30 1234567;" * 2000 + " tel +1 377 555 0271", 2: "a@b.c+" * 700 + " 1.2.3.4" * 600}
+    began = time.time()
+    check(op1_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts, base_pii, ("email", "ip", "card", "phone"))
+    assert time.time() - began < 60
+
+
+def test_pii_context_across_chunks(spark):
+    texts = {0: "ssn " + "123-45-6789 " * 600, 1: "123-45-6789 " * 256 + "ssn 123-45-6789"}
+    for r in find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        want = [m.start() for m in re.finditer(r"123-45-6789", texts[r.doc_id]) if "ssn" in texts[r.doc_id][max(0, m.start() - 40) : m.start()]]
+        assert [s.start for s in r.pii if s.kind == "ssn"] == want
+
+
 def test_pii_adds_by_checksum_and_context(spark):
     rows = {r.doc_id: [(s.kind, s.text) for s in r.pii] for r in find_pii(hard(spark)).collect()}
     assert ("iban", "DE89370400440532013000") in rows[10] and ("iban", "GB82 WEST 1234 5698 7654 32") in rows[10]
