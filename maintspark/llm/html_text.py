@@ -40,7 +40,12 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead select body article main section div".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([A-Za-z][^\s/>]*)[^>]*>""", re.DOTALL)
+#: Outermost ancestors that a block's features look at; deeper ones count for nesting only.
+DEEPEST = 100
+
+_MARK = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_COMMENT = re.compile(r"<(?:(!--)|(!\[CDATA\[))")
+_STOP = re.compile(r"""['">]""")
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 
@@ -52,84 +57,159 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class _Tags:
+    """The tags of a page, in time that grows with its length whatever the markup.
+
+    Each says (begin, end, name, is an end tag, attributes); comments and declarations have
+    no name. A quote in a tag that never ends counts as a character. A ``<`` that no ``>``
+    follows is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.open = set()  # quotes from which no tag ends
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at ``at``."""
+        page, seen, begin = self.page, [], at
+        while m := _STOP.search(page, at):
+            if m[0] == ">":
+                return m.end()
+            seen.append(m.start())
+            close = -1 if m.start() in self.open else page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.open.update(seen)
+        return page.index(">", begin) + 1
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        page = self.page
+        m = _MARK.search(page, at) if at <= self.last else None
+        if m is None or m.end() > self.last:
+            m = _COMMENT.search(page, at)  # all that needs no ``>``
+            if m is None:
+                return None
+        if m[1] or m[2]:
+            close = page.find("-->" if m[1] else "]]>", m.end())
+            return m.start(), len(page) if close < 0 else close + 3, None, False, ""
+        if m[4] is None:
+            return m.start(), page.index(">", m.end()) + 1, None, False, ""
+        end = self._end(m.end())
+        return m.start(), end, m[4].lower(), m[3] == "/", page[m.end() : end - 1]
+
+
+class _Stack:
+    """Open elements, with the places of each tag at hand."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, str]] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places of blocks
+        self._path: tuple | None = ()
+
+    def push(self, tag: str, names: str) -> None:
+        at = len(self.tags)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK_TAGS:
+            self.solid.append(at)
+        if at < DEEPEST:
+            self._path = None
+        self.tags.append((tag, names))
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of a tag, -1 if none is open."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def pop_to(self, k: int) -> None:
+        if k < DEEPEST:
+            self._path = None
+        while len(self.tags) > k:
+            self.places[self.tags.pop()[0]].pop()
+        while self.solid and self.solid[-1] >= k:
+            self.solid.pop()
+
+    def path(self) -> tuple:
+        if self._path is None:
+            self._path = tuple(self.tags[:DEEPEST])
+        return self._path
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with their ancestors as (tag, words of class and id)."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    tags, stack = _Tags(page), _Stack()
     pieces: list[str] = []
     linked = 0
-    links = 0  # open <a> tags
+    unclosed: set[str] = set()  # tags whose end isn't in the rest of the page
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(stack.path(), text, linked))
             pieces.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
     def add(text: str) -> None:
         nonlocal linked
         if text:
             text = entities.unescape(text) if "&" in text else text
             pieces.append(text)
-            if links:
+            if stack.last("a") >= 0:
                 linked += len(text)
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+    def content_end(tag: str, at: int) -> int:
+        """Where what isn't text ends: behind the end tag, or with the page."""
+        if tag in unclosed:
+            return at
+        close = re.compile(rf"</{re.escape(tag)}\s*+>", re.IGNORECASE).search(page, at)
+        if close is None and tag == "head":  # may be unclosed: then it ends where the body begins
+            close = re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at)
+            if close is None:
+                unclosed.add(tag)
+                return at
+        return close.end() if close else len(page)
+
+    at = 0
+    while at < len(page):
+        found = tags.next(at)
+        if found is None:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        begin, end, tag, ending, inside = found
+        add(page[at:begin])
+        at = end
         if tag is None:
             continue
-        tag, ending = tag.lower(), (m[1] or m[4]) == "/"
         if not ending and tag in RAW_TAGS:
-            if not (m[3] or "").endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                if tag == "head":  # may be unclosed: then it ends where the body begins
-                    close = close or re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at)
-                    at = close.end() if close else at
-                else:
-                    at = close.end() if close else n
+            if not inside.endswith("/"):
+                at = content_end(tag, at)
             continue
         if tag == "br":
             pieces.append(" ")
         elif ending:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            k = stack.last(tag)
             if tag in BLOCK_TAGS:
                 flush()
-            elif k is not None and any(t in BLOCK_TAGS for t, _ in stack[k:]):
-                k = None  # an inline end tag doesn't close blocks
-            if k is not None:
-                pop_to(k)
+            elif stack.solid and k < stack.solid[-1]:
+                k = -1  # an inline end tag doesn't close blocks
+            if k >= 0:
+                stack.pop_to(k)
         else:
             if tag in BLOCK_TAGS:
                 flush()
-                p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if p is not None:
-                    pop_to(p)
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ENDS.get(tag, ()):
-                        pop_to(i)
-                        break
-                    if stack[i][0] in LISTS:
-                        break
+                if stack.last("p") >= 0:
+                    stack.pop_to(stack.last("p"))
+                if tag in ENDS:
+                    k = max(map(stack.last, ENDS[tag]))
+                    if k > max(map(stack.last, LISTS)):
+                        stack.pop_to(k)
             if tag not in VOID_TAGS:
-                names = " ".join(w for x in _NAMED.findall(m[3] or "") for w in _WORD.findall(x.lower())) if m[3] else ""
-                stack.append((tag, names))
-                links += tag == "a"
+                stack.push(tag, " ".join(w for x in _NAMED.findall(inside) for w in _WORD.findall(x.lower())) if inside else "")
     flush()
     return out
 

@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 
@@ -65,6 +66,16 @@ def test_blocks_of_broken_markup():
     assert len(texts("<div>" * 3000 + "x")) == 1
 
 
+def test_hostile_markup_takes_time_with_its_length():
+    for part in ("<a ", '<p x="', "<head>", "<div>x", "<p '\">x", "<!", "<![CDATA[", "<script>", "<b><i>", "<b><div>x</b>", "<li>x", "</div>", "<a<", "&lt", "<head >x<"):
+        page = part * (1_000_000 // len(part))
+        began = time.time()
+        H.blocks(page)
+        assert time.time() - began < 4, part
+    assert sum(len(b.text) for b in H.blocks("<div>x" * 100_000)) == 100_000
+    assert [b.text for b in H.blocks("a <b c <p x='> d <!-- e > f --> g <h ")] == ["a", "d g <h"]
+
+
 def test_hard_rows(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "x"), (3, "u", "x"), (4, "u", "<article><p>" + "word " * 100_000 + "</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' text", "1 n_chars")
