@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import saved
+
 BLOCK = 576
 RATE = 8000
 PAD = 255
@@ -415,9 +417,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_media(docs: DataFrame) -> DataFrame:
-    """The digests of what is read back from the media column.
-
-    The stored form is the binary column: it goes from the encoder through Spark to the
-    decoder, which sees nothing but those bytes.
-    """
-    return store_media(docs).mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """The digests of what is read back from the written media column; only those bytes are decoded."""
+    return saved(store_media(docs), "media").mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
