@@ -74,8 +74,10 @@ MOST_KEYS = 1_000_000
 def only(df: DataFrame, keys: DataFrame, name: str, key: Column | None = None, anti: bool = False) -> DataFrame:
     """The rows whose key is (or, with ``anti``, isn't) in a written table: broadcast if it is small, which is checked, else by a shuffle."""
     small = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    other = keys.select(F.col(name).alias("_only_key"))
-    return df.join(F.broadcast(other) if small else other, (F.col(name) if key is None else key) == F.col("_only_key"), "left_anti" if anti else "left_semi")
+    taken = {c.lower() for c in df.columns}
+    fresh = next(n for n in (f"_only_key{i}" for i in range(len(taken) + 1)) if n not in taken)
+    other = keys.select(F.col(name).alias(fresh))
+    return df.join(F.broadcast(other) if small else other, (df[name] if key is None else key) == other[fresh], "left_anti" if anti else "left_semi")
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
