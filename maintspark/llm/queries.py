@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import divergence
 from .common import read
 from .decontaminate import op8_decontamination
 from .html_text import op3_html_text
@@ -11,8 +12,10 @@ from .mixing import op10_mixing
 from .pii import op1_pii
 from .quality import op9_quality
 from .secret_scan import op7_secret_scan
+from .sharding import op13_sharding
 from .substring_dedup import op5_substring_dedup
 from .token_store import op2_token_store
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_pii": lambda spark, d: op1_pii(read(spark, d, "documents")),
@@ -25,5 +28,8 @@ QUERIES = {
     "op9_quality": lambda spark, d: op9_quality(read(spark, d, "documents"), read(spark, d, "labels")),
     "op8_decontamination": lambda spark, d: op8_decontamination(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op10_mixing": lambda spark, d: op10_mixing(spark, read(spark, d, "documents")),
+    "op11_whitening": lambda spark, d: op11_whitening(read(spark, d, "embeddings")),
+    "op12_divergence": lambda spark, d: divergence.op12_divergence(read(spark, d, "documents")),
+    "op13_sharding": lambda spark, d: op13_sharding(read(spark, d, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_divergence": divergence.ORACLE}
