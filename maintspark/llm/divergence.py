@@ -166,7 +166,9 @@ def _compared(key: tuple, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataF
     # ids by falling count
     ids = terms.groupby("term", sort=True)["total"].first().sort_values(ascending=False, kind="stable")
     place = {t: i for i, t in enumerate(ids.index)}
-    counts = np.zeros((len(groups), len(ids)), np.int64)
+    # terms of the block that none of these sources has come last
+    width = int(groups["width"].iloc[0])
+    counts = np.zeros((len(groups), width), np.int64)
     if len(ids):
         counts[terms["source"].map(at).to_numpy(), terms["term"].map(place).to_numpy()] = terms["n"].to_numpy()
     forest = Forest(counts)
@@ -176,11 +178,11 @@ def _compared(key: tuple, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataF
         others = np.flatnonzero(tiles == (second if tiles[a] == first else first))
         others = others[others != a]
         if len(others):
-            values = forest.compare(a, divisors[a], others, [divisors[i] for i in others]) if len(ids) else np.zeros(len(others), np.int64)
+            values = forest.compare(a, divisors[a], others, [divisors[i] for i in others]) if width else np.zeros(len(others), np.int64)
             out["source"] += [sources[a]] * len(others)
             out["item"] += [sources[i] for i in others]
             out["value"] += values.tolist()
-    return pd.DataFrame({"lang": lang, **out}).astype({"value": "int64"})
+    return pd.DataFrame({"lang": [lang] * len(out["item"]), **out}, dtype=object).astype({"value": "int64"})
 
 
 def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, block: int = BLOCK, tile: int = TILE) -> DataFrame:
@@ -200,12 +202,14 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, block: int = BLO
     groups = groups.withColumns({"tiles": tiles, "blocks": F.greatest(F.lit(1), F.ceil(F.col("v") / block))})
     groups = saved(groups.withColumn("tile", F.pmod(F.xxhash64("source"), "tiles")), "groups")
 
-    rows = kept.join(groups, ["lang", "source"])
+    rows = kept.join(groups, ["lang", "source"]).withColumn("block", F.pmod(F.xxhash64("term"), "blocks"))
+    widths = rows.where("lead").groupBy("lang", "block").agg(F.count("*").alias("width"))
     # a tile meets every tile of its language once
     meets = lambda df: df.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumns({"first": F.least("tile", "with"), "second": F.greatest("tile", "with")})
     keys = ("lang", "block", "first", "second")
-    terms = meets(rows.select("lang", "source", "term", "n", "total", "tile", "tiles", F.pmod(F.xxhash64("term"), "blocks").alias("block"))).select(*keys, "source", "term", "n", "total")
-    present = meets(groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))).select(*keys, "source", "divisor", "tile")
+    terms = meets(rows.select("lang", "source", "term", "n", "total", "tile", "tiles", "block")).select(*keys, "source", "term", "n", "total")
+    blocks = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(widths, ["lang", "block"], "left")
+    present = meets(blocks).select(*keys, "source", "divisor", "tile", F.coalesce("width", F.lit(0)).alias("width"))
     values = terms.groupBy(*keys).cogroup(present.groupBy(*keys)).applyInPandas(_compared, "lang string, source string, item string, value long")
     pairs = values.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
