@@ -27,32 +27,66 @@ def truncated(text: Column, name: Column, n: int = 4000) -> Column:
     return F.when(F.length(F.coalesce(text, F.lit(""))) < 20, F.concat(F.lit("[FALLBACK] "), name)).otherwise(F.substring(text, 1, n))
 
 
+def _has(text: Column, *words: str) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
+_STARTING = ("start", "starting", "does not start", "will not start", "not starting", "wont start")
+_WIRING = ("awdp", "wiring diagram", "wiring data")
+#: The rules: what a question has, what a document has (both in small letters), and the points for both.
+BOOSTS = (
+    (lambda q: _has(q, "does not start"), lambda d: _has(d, "does not start"), 0.15),
+    (lambda q: _has(q, "not starting"), lambda d: _has(d, "not starting"), 0.15),
+    (lambda q: _has(q, "will not start"), lambda d: _has(d, "will not start", "does not start"), 0.15),
+    (lambda q: _has(q, *_STARTING), lambda d: _has(d, "start sequence", "start cycle", "starting system"), 0.12),
+    (lambda q: _has(q, *_STARTING) & _has(q, "start"), lambda d: _has(d, "starter generator"), 0.10),
+    (lambda q: _has(q, *_STARTING), lambda d: _has(d, "engine start"), 0.08),
+    (lambda q: _has(q, *_STARTING) & ~_has(q, "hot", "overheat", "temperature"), lambda d: _has(d, "gen hot", "overheat", "temperature"), -0.12),
+    (lambda q: _has(q, "start"), lambda d: _has(d, "fault isolation") & _has(d, "start", "crank"), 0.10),
+    (lambda q: _has(q, "hot"), lambda d: _has(d, "fault isolation") & _has(d, "hot"), 0.10),
+    (lambda q: _has(q, "electrical", "wiring", "wire", "connector", "pin", "circuit"), lambda d: _has(d, *_WIRING), 0.12),
+    (lambda q: _has(q, "generator", "starter"), lambda d: _has(d, *_WIRING), 0.08),
+    (lambda q: _has(q, "fault", "does not", "not working"), lambda d: _has(d, *_WIRING), 0.06),
+)
+BOOST_POINTS = tuple(points for _, _, points in BOOSTS)
+
+
+def _mask(low: Column, side: int) -> Column:
+    mask = F.lit(0)
+    for i, rule in enumerate(BOOSTS):
+        mask = mask + F.when(rule[side](low), 1 << i).otherwise(0)
+    return mask
+
+
+def question_mask(low: Column) -> Column:
+    """The rules whose conditions a question in small letters meets, as bits; 0 for null."""
+    return _mask(low, 0)
+
+
+def document_mask(low: Column) -> Column:
+    """The same for a document: its text is searched once, however many questions there are."""
+    return _mask(low, 1)
+
+
+def mask_boost(question: Column, document: Column) -> Column:
+    """The points of the rules that both masks have."""
+    both, total = question.bitwiseAND(document), F.lit(0.0)
+    for i, points in enumerate(BOOST_POINTS):
+        total = total + F.when(both.bitwiseAND(F.lit(1 << i)) != 0, points).otherwise(0.0)
+    return total
+
+
 def keyword_boost(query: Column, doc: Column) -> Column:
     """What keywords add to or take from a document's score."""
-    q, d = F.lower(query), F.lower(doc)
-    has = lambda c, *words: F.greatest(*[F.contains(c, F.lit(w)) for w in (*words, words[0])])
-    start_words = ("start", "starting", "does not start", "will not start", "not starting", "wont start")
-    asks = has(q, *start_words)
-    heat = ("gen hot", "overheat", "temperature")
-    wiring = has(d, "awdp", "wiring diagram", "wiring data")
-    rules = [
-        (has(q, "does not start") & has(d, "does not start"), 0.15),
-        (has(q, "not starting") & has(d, "not starting"), 0.15),
-        (has(q, "will not start") & has(d, "will not start", "does not start"), 0.15),
-        (asks & has(d, "start sequence", "start cycle", "starting system"), 0.12),
-        (asks & has(d, "starter generator") & has(q, "start"), 0.10),
-        (asks & has(d, "engine start"), 0.08),
-        (asks & has(d, *heat) & ~has(q, "hot", "overheat", "temperature"), -0.12),
-        (has(d, "fault isolation") & has(q, "start") & has(d, "start", "crank"), 0.10),
-        (has(d, "fault isolation") & has(q, "hot") & has(d, "hot"), 0.10),
-        (wiring & has(q, "electrical", "wiring", "wire", "connector", "pin", "circuit"), 0.12),
-        (wiring & has(q, "generator", "starter"), 0.08),
-        (wiring & has(q, "fault", "does not", "not working"), 0.06),
-    ]
-    total = F.lit(0.0)
-    for condition, points in rules:
-        total = total + F.when(condition, points).otherwise(0.0)
-    return total
+    return mask_boost(question_mask(F.lower(query)), document_mask(F.lower(doc)))
+
+
+def mask_bits(mask: Column) -> Column:
+    """The numbers of the rules in a mask."""
+    return F.filter(F.sequence(F.lit(0), F.lit(len(BOOSTS) - 1)), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
 
 
 def gate(score: Column, threshold: int = 95) -> Column:

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from maintspark.functions.text import is_wiring_doc, keyword_boost
+from maintspark.functions.text import BOOST_POINTS, document_mask, is_wiring_doc, mask_bits, question_mask
 
 from .findings import has_any
-from .retrieval import cosine, document_id
+from .ranking import best_documents, tag_bits
+from .retrieval import document_id
 
 #: Training materials with their names and the words of their documents.
 MATERIALS = {
@@ -51,59 +52,100 @@ def enhance_query(query: Column, chosen: Column) -> Column:
     return F.when(F.coalesce(chosen, F.lit("")) == "", query).otherwise(F.concat(F.coalesce(named, F.concat(F.lit("ATA "), chosen)), F.lit(": "), query))
 
 
-def _fallback(asked: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of the questions without a hit with all of ``docs``."""
-    return asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").join(docs.select("doc_id")).select("query_id", "doc_id")
+#: Numbers of tags: the materials, then these two, then numbers of systems of one and of two digits.
+FIRST_TEN, EVERY, ONE_DIGIT, TWO_DIGITS = len(MATERIALS), len(MATERIALS) + 1, len(MATERIALS) + 2, len(MATERIALS) + 12
 
 
-def training_filter(docs: DataFrame, queries: DataFrame, least: int = 10) -> DataFrame:
-    """(query_id, doc_id): documents with a word of the question's material in text or path; the first ten by path if there is none.
+def _number_tag(number: Column) -> Column:
+    return number.cast("int") + F.when(F.length(number) == 1, ONE_DIGIT).otherwise(TWO_DIGITS)
+
+
+def question_tags(chosen: Column) -> Column:
+    """(tag, other) of a filter: a material falls back to the first ten documents, a system to all, and nothing or another word is all."""
+    chosen = F.coalesce(chosen, F.lit(""))
+    plain = F.replace(chosen, F.lit("-"), F.lit(""))
+    digits = F.rlike(chosen, F.lit(r"^\d+$")) | ((F.length(chosen) == 2) & F.rlike(plain, F.lit(r"^\d+$")))
+    tag = F.when(digits, _number_tag(F.substring(plain, 1, 2)))
+    for i, name in enumerate(MATERIALS):
+        tag = F.when(chosen == name, i).otherwise(tag)
+    return F.struct(F.coalesce(tag, F.lit(EVERY)).alias("tag"), F.when(chosen.isin(*MATERIALS), FIRST_TEN).otherwise(EVERY).alias("other"))
+
+
+def document_tags(low_text: Column, path: Column, is_first: Column) -> Column:
+    """The tags of a document as an array of numbers, its text in small letters."""
+    low_path = F.lower(path)
+    of = [F.when(has_any(low_text, words) | has_any(low_path, words), i) for i, (_, words) in enumerate(MATERIALS.values())]
+    numbers = F.transform(F.regexp_extract_all(path, F.lit(r"-(?=(\d{1,2})-)"), F.lit(1)), _number_tag)
+    return F.array_distinct(F.concat(F.filter(F.array(*of, F.when(is_first, FIRST_TEN), F.lit(EVERY)), lambda t: t.isNotNull()), numbers))
+
+
+def tagged_documents(corpus: DataFrame, least: int = 10) -> DataFrame:
+    """The corpus with ``low`` (its text in small letters) and ``tag_list``. The first ten by path are found by paths alone."""
+    ten = corpus.select("doc_path", F.col("doc_id").alias("_first")).orderBy("doc_path", "_first").limit(least).select("_first").distinct()
+    known = corpus.join(F.broadcast(ten), F.col("doc_id") == F.col("_first"), "left").withColumn("low", F.lower(F.coalesce("text", F.lit(""))))
+    return known.withColumn("tag_list", document_tags(F.col("low"), F.coalesce("doc_path", F.lit("")), F.col("_first").isNotNull())).drop("_first")
 
-    Documents are matched to materials, of which there are three, not to questions.
-    """
-    text, path = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("doc_path", F.lit("")))
-    of = F.array(*(F.when(has_any(text, words) | has_any(path, words), F.lit(key)) for key, (_, words) in MATERIALS.items()))
-    tagged = docs.select("doc_id", F.explode(F.filter(of, lambda m: m.isNotNull())).alias("filter"))
-    asked = queries.where(F.col("filter").isin(*MATERIALS)).select("query_id", "filter")
-    hits = asked.join(tagged, "filter").select("query_id", "doc_id")
-    return hits.unionByName(_fallback(asked, hits, docs.orderBy("doc_path", "doc_id").limit(least)))
 
+def allowed_documents(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id): all documents that the question's filter leaves."""
+    tagged = tagged_documents(corpus).select("doc_id", F.explode("tag_list").alias("tag"))
+    there = tagged.select("tag").distinct().withColumn("there", F.lit(True))
+    asked = queries.select("query_id", question_tags(F.col("filter")).alias("t")).select("query_id", "t.tag", "t.other").join(there, "tag", "left")
+    return asked.select("query_id", F.when(F.col("there"), F.col("tag")).otherwise(F.col("other")).alias("tag")).join(tagged, "tag").select("query_id", "doc_id")
 
-def ata_path_filter(docs: DataFrame, queries: DataFrame) -> DataFrame:
+
+def training_filter(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents with a word of the question's material in text or path; the first ten by path if there is none."""
+    return allowed_documents(corpus, queries.where(F.col("filter").isin(*MATERIALS)))
+
+
+def ata_path_filter(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents with ``-NN-`` in the path; all documents for a filter that isn't a number, or that none has."""
-    asked = queries.where(~F.coalesce(F.col("filter"), F.lit("")).isin(*MATERIALS)).select("query_id", F.coalesce("filter", F.lit("")).alias("filter"))
-    digits = F.rlike("filter", F.lit(r"^\d+$")) | ((F.length("filter") == 2) & F.rlike(F.replace("filter", F.lit("-"), F.lit("")), F.lit(r"^\d+$")))
-    number = F.when(digits, F.substring(F.replace("filter", F.lit("-"), F.lit("")), 1, 2))
-    asked = asked.select("query_id", number.alias("number"))
-    tagged = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("doc_path", F.lit(r"-(?=(\d{1,2})-)"), F.lit(1)))).alias("number"))
-    hits = asked.join(tagged, "number").select("query_id", "doc_id")
-    return hits.unionByName(_fallback(asked, hits, docs))
+    return allowed_documents(corpus, queries.where(~F.coalesce(F.col("filter"), F.lit("")).isin(*MATERIALS)))
+
+
+def filter_counts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, n, ids (the sum of doc_id): how many documents a question's filter leaves. Documents are counted by tag before questions are joined."""
+    counts = tagged_documents(corpus).select("doc_id", F.explode("tag_list").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    asked = queries.select("query_id", question_tags(F.col("filter")).alias("t")).select("query_id", "t.tag", "t.other")
+    other = counts.select(F.col("tag").alias("other"), F.col("n").alias("other_n"), F.col("ids").alias("other_ids"))
+    both = asked.join(counts, "tag", "left").join(other, "other")
+    return both.select("query_id", F.coalesce("n", "other_n").alias("n"), F.when(F.col("n").isNotNull(), F.col("ids")).otherwise(F.col("other_ids")).alias("ids"))
+
+
+def boost_totals(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, n_rules, total: the rules whose conditions a question meets, and what keywords add over all documents. Documents are counted by rule before questions are joined."""
+    bits = corpus.select(F.lower("text").alias("low")).select(F.explode(mask_bits(document_mask(F.col("low")))).alias("bit")).groupBy("bit").agg(F.count("*").alias("docs"))
+    asked = queries.select("query_id", F.lower("query").alias("low")).select("query_id", F.explode_outer(mask_bits(question_mask(F.col("low")))).alias("bit"))
+    hundredths = F.element_at(F.array(*(F.lit(round(p * 100)).cast("long") for p in BOOST_POINTS)), F.col("bit") + 1)
+    total = F.coalesce(F.sum(hundredths * F.coalesce("docs", F.lit(0))), F.lit(0)) / 100
+    return asked.join(bits, "bit", "left").groupBy("query_id").agg(F.count("bit").alias("n_rules"), total.alias("total"))
 
 
-def inject_wiring(scored: DataFrame, top: DataFrame) -> DataFrame:
-    """``top`` and, for questions about wiring whose best documents have no wiring diagram, the best-ranked one of all that were scored."""
+def inject_wiring(found: DataFrame) -> DataFrame:
+    """Of ``best_documents``' rows with their question: the best ones and, for a question about wiring without a wiring diagram among them, the best diagram after them."""
+    one = Window.partitionBy("query_id")
+    has = F.coalesce(F.max(~F.col("extra") & F.col("flagged")).over(one), F.lit(False))
+    last = F.coalesce(F.max(F.when(~F.col("extra"), F.col("rank"))).over(one), F.lit(0))
     asks = has_any(F.lower(F.col("query")), NEEDS_WIRING)
-    need = top.where(asks).groupBy("query_id").agg(F.max("is_wiring").alias("has"), F.max("rank").alias("last")).where("not has")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_path", "doc_id")
-    best = scored.where("is_wiring").join(need.select("query_id", "last"), "query_id").withColumn("rn", F.row_number().over(order)).where("rn = 1")
-    return top.unionByName(best.withColumn("rank", F.col("last") + 1).select(*top.columns))
+    marked = found.withColumns({"_has": has, "_last": last}).where(~F.col("extra") | (asks & ~F.col("_has")))
+    return marked.withColumn("rank", F.when(F.col("extra"), F.col("_last") + 1).otherwise(F.col("rank"))).drop("_has", "_last", "extra")
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The best k documents of each question with a score above 0, a wiring diagram where it is needed, and what is shown of them.
 
-    The score is the cosine of the vectors and what keywords add. The pairs carry ids and
-    scores; texts are joined again for the k that are left.
+    The score is the cosine of the vectors and what keywords add, compared to 12 places. Each text is
+    searched once for all words; documents and questions then meet in blocks (``ranking``).
+    Texts are joined again for the few that are left.
     """
-    pairs = training_filter(corpus, queries).unionByName(ata_path_filter(corpus, queries))
-    asked = queries.select("query_id", "query", F.col("embedding").alias("q"))
-    docs = corpus.select("doc_id", "doc_path", "embedding", "text", is_wiring_doc(F.col("doc_path"), F.col("text")).alias("is_wiring"))
-    base = F.coalesce(cosine(F.col("q"), F.col("embedding")), F.lit(0.0))
-    both = pairs.join(asked, "query_id").join(docs, "doc_id")
-    scored = both.select("query_id", "query", "doc_id", "doc_path", F.coalesce("is_wiring", F.lit(False)).alias("is_wiring"), (base + F.coalesce(keyword_boost(F.col("query"), F.col("text")), F.lit(0.0))).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_path", "doc_id")
-    top = scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    shown = inject_wiring(scored, top).join(corpus.select("doc_id", "text"), "doc_id")
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    docs = tagged_documents(corpus).select(
+        "doc_id", F.coalesce("doc_path", F.lit("")).alias("key"), vector, document_mask(F.col("low")).alias("rules"), tag_bits(F.col("tag_list")).alias("tags"), is_wiring_doc(F.col("doc_path"), F.col("text")).alias("flagged")
+    )
+    asked = queries.select("query_id", vector, question_mask(F.lower("query")).alias("rules"), question_tags(F.col("filter")).alias("t")).select("query_id", "embedding", "rules", "t.tag", "t.other")
+    found = best_documents(docs, asked, k, BOOST_POINTS).join(queries.select("query_id", "query"), "query_id")
+    shown = inject_wiring(found).join(corpus.select("doc_id", "doc_path", "text"), "doc_id")
     ident = document_id(F.col("doc_path"))
     return shown.select(
         "query_id", "rank", "doc_id", "doc_path", F.round("score", 4).alias("similarity_score"), ident.alias("document_id"),

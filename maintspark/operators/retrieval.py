@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import best_documents
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.filter(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), lambda x: x.isNotNull()), F.lit(0.0), lambda acc, x: acc + x)
@@ -30,13 +32,12 @@ def top_k(scored: DataFrame, k: int = 5) -> DataFrame:
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """A stated set of queries against all documents. Norms are computed once a vector; the pairs keep only ids and scores."""
-    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    docs = corpus.select("doc_id", "embedding", norm("embedding").alias("n"))
-    asked = queries.select("query_id", F.col("embedding").alias("q"), norm("embedding").alias("m"))
-    pairs = docs.join(asked)
-    score = F.round(F.coalesce(F.when(F.col("n") * F.col("m") > 0, dot(F.col("q"), F.col("embedding")) / (F.col("n") * F.col("m"))), F.lit(0.0)), 6)
-    return top_k(pairs.select("query_id", "doc_id", score.alias("score")), k)
+    """query_id, doc_id, score, rank: the k best of all documents for each question, by blocks; scores are rounded to 6 places, ties go by document."""
+    zero, every = F.lit(0), F.struct(F.lit(1).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    docs = corpus.select("doc_id", F.lit("").alias("key"), vector, zero.alias("rules"), every.alias("tags"), F.lit(False).alias("flagged"))
+    asked = queries.select("query_id", vector, zero.alias("rules"), zero.alias("tag"), zero.alias("other"))
+    return best_documents(docs, asked, k, digits=6).where("not extra").select("query_id", "doc_id", "score", "rank")
 
 
 def index_stats(corpus: DataFrame) -> DataFrame:

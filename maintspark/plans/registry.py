@@ -229,15 +229,48 @@ _add(
 )
 _add("enhanced_queries", _on(lambda p: p.select("query_id", manuals.enhance_query(F.col("problem"), F.col("ata")).alias("query")), "problems"), "select query_id, case when ata is null then problem else 'ATA ' || ata || ': ' || problem end as query from problems")
 _add(
-    "ata_filtered", _on(lambda c, p: manuals.ata_path_filter(c, p.withColumnRenamed("ata", "filter")).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")), "corpus", "problems"),
+    "ata_filtered", _on(lambda c, p: manuals.filter_counts(c, p.withColumnRenamed("ata", "filter")), "corpus", "problems"),
     "with h as (select query_id, doc_id from problems join corpus on contains(doc_path, '-' || ata || '-')) select query_id, count(*) as n, sum(doc_id) as ids from (select * from h union all select query_id, doc_id from problems cross join corpus where query_id not in (select query_id from h)) group by query_id",
 )
 _add(
-    "training_filtered", _on(lambda c, p: manuals.training_filter(c, p.select("query_id", F.lit("PT6C_67CD").alias("filter"))).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")), "corpus", "problems"),
+    "training_filtered", _on(lambda c, p: manuals.filter_counts(c, p.select("query_id", F.lit("PT6C_67CD").alias("filter"))), "corpus", "problems"),
     f"""with h as (select query_id, doc_id from problems join corpus on {_sql_has("lower(text)", manuals.MATERIALS["PT6C_67CD"][1])} or {_sql_has("lower(doc_path)", manuals.MATERIALS["PT6C_67CD"][1])}),
     ten as (select doc_id from corpus order by doc_path, doc_id limit 10)
     select query_id, count(*) as n, sum(doc_id) as ids from (select * from h union all select query_id, doc_id from problems cross join ten where query_id not in (select query_id from h)) group by query_id""",
 )
+_MATERIALS = "(" + " union all ".join(f"select '{key}' as filter, doc_id from manuals where {_sql_has('lower(text)', words)} or {_sql_has('lower(doc_path)', words)}" for key, (_, words) in manuals.MATERIALS.items()) + ")"
+#: The documents that each question's filter leaves, pair by pair.
+_CANDIDATES = f"""asked as (select *, coalesce(filter, '') in ('PRIMUS_EPIC', 'PT6C_67CD', 'AW139_AIRFRAME') as material, regexp_matches(coalesce(filter, ''), '^[0-9]+$') as numbered from questions),
+    m as {_MATERIALS}, ten as (select doc_id from manuals order by doc_path, doc_id limit 10), hit as (select query_id, doc_id from asked join manuals on numbered and contains(doc_path, '-' || filter || '-')),
+    candidates as (select query_id, doc_id from asked join m on m.filter = asked.filter union all select query_id, doc_id from asked cross join ten where material and filter not in (select filter from m)
+    union all select * from hit union all select query_id, doc_id from asked cross join manuals where numbered and query_id not in (select query_id from hit) union all select query_id, doc_id from asked cross join manuals where not material and not numbered)"""
+_add(
+    "filtered_documents", _on(manuals.filter_counts, "manuals", "questions"),
+    f"with {_CANDIDATES} select query_id, count(*) as n, sum(doc_id)::bigint as ids from candidates group by query_id",
+)
+_STARTING = _sql_has("q", ("start", "wont start"))
+_AWDP = _sql_has("d", ("awdp", "wiring diagram", "wiring data"))
+_BOOST = f"""(case when contains(q, 'does not start') and contains(d, 'does not start') then 0.15e0 else 0e0 end + case when contains(q, 'not starting') and contains(d, 'not starting') then 0.15e0 else 0e0 end
+    + case when contains(q, 'will not start') and {_sql_has('d', ('will not start', 'does not start'))} then 0.15e0 else 0e0 end + case when {_STARTING} and {_sql_has('d', ('start sequence', 'start cycle', 'starting system'))} then 0.12e0 else 0e0 end
+    + case when contains(q, 'start') and contains(d, 'starter generator') then 0.1e0 else 0e0 end + case when {_STARTING} and contains(d, 'engine start') then 0.08e0 else 0e0 end
+    - case when {_STARTING} and {_sql_has('d', ('gen hot', 'overheat', 'temperature'))} and not {_sql_has('q', ('hot', 'overheat', 'temperature'))} then 0.12e0 else 0e0 end
+    + case when contains(d, 'fault isolation') and contains(q, 'start') and {_sql_has('d', ('start', 'crank'))} then 0.1e0 else 0e0 end + case when contains(d, 'fault isolation') and contains(q, 'hot') and contains(d, 'hot') then 0.1e0 else 0e0 end
+    + case when {_AWDP} and {_sql_has('q', ('electrical', 'wiring', 'wire', 'connector', 'pin', 'circuit'))} then 0.12e0 else 0e0 end + case when {_AWDP} and {_sql_has('q', ('generator', 'starter'))} then 0.08e0 else 0e0 end
+    + case when {_AWDP} and {_sql_has('q', ('fault', 'does not', 'not working'))} then 0.06e0 else 0e0 end)"""
+_add(
+    "keyword_boosts", _on(lambda c, q: manuals.boost_totals(c, q).select("query_id", "total"), "manuals", "questions"),
+    f"select query_id, sum(cast(round({_BOOST} * 100) as bigint)) / 100 as total from (select query_id, lower(query) as q from questions) cross join (select lower(text) as d from manuals) group by query_id",
+)
+_add(
+    "manual_search", _on(lambda c, q: manuals.search(c, q).drop("content", "snippet", "reference"), "manuals", "questions"),
+    f"""with {_CANDIDATES}, pairs as (select query_id, doc_id, doc_path, lower(query) as q, lower(text) as d, list_cosine_similarity(cast(asked.embedding as double[]), cast(manuals.embedding as double[])) as cos,
+    contains(lower(doc_path), '39-a-awdp') or contains(lower(substr(text, 1, 1000)), '39-a-awdp') or contains(lower(substr(text, 1, 1000)), 'wiring diagram') as wiring from candidates join asked using (query_id) join manuals using (doc_id)),
+    scored as (select query_id, doc_id, doc_path, wiring, {_sql_has('q', ('generator', 'starter', 'electrical', 'wiring', 'connector'))} as asks, round(cos + {_BOOST}, 12) as score from pairs),
+    top as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_path, doc_id) as rank from scored where score > 0) where rank <= 5),
+    best as (select *, row_number() over (partition by query_id order by score desc, doc_path, doc_id) as rn from scored where wiring and asks and query_id not in (select query_id from top where wiring)),
+    shown as (select query_id, rank, doc_id, doc_path, score from top union all select query_id, coalesce((select max(rank) from top where top.query_id = best.query_id), 0) + 1, doc_id, doc_path, score from best where rn = 1)
+    select query_id, rank, doc_id, doc_path, round(score, 4) as similarity_score, replace(replace(replace(string_split(doc_path, '/')[-1], 'dmc-', ''), '.xml', ''), '.pdf', '') as document_id from shown""",
+)
 _add(
     "manual_references", _on(lambda d: d.select("query_id", F.array_join(findings.references(F.col("diagnosis")), ",").alias("refs"), findings.verification(F.col("diagnosis")).alias("status")), "diagnoses"),
     "select query_id, case when query_id%2=0 then 'AMM-24-30-00' else '' end as refs, case when regexp_matches(diagnosis, '(?m)^\\s*\\d+\\.') then case when query_id%5=0 then 'VERIFIED - NO CORRECTIONS' else 'VERIFIED WITH IMPROVEMENTS' end else 'CRITICAL CORRECTION REQUIRED' end as status from diagnoses",
@@ -263,4 +296,3 @@ def _diagnosis_report(diagnoses):
 
 _add("certainty_report", _on(_certainty_report, "diagnoses", "corpus"))
 _add("diagnosis_report", _on(_diagnosis_report, "diagnoses"))
-_add("manual_search", _on(lambda c, p, e: manuals.search(c, p.select("query_id", F.col("problem").alias("query"), F.col("ata").alias("filter")).join(e.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id")).drop("content", "snippet", "reference"), "corpus", "problems", "corpus"))

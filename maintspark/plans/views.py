@@ -35,6 +35,8 @@ VIEWS = {
     "part_code_ranges": "select concat('E', lpad(cast(s_suppkey as varchar(10)),4,'0')) as code, 31000+(s_suppkey*997+k*4001)%30000 as serial_start, case when s_suppkey%20=0 and k=2 then 99999 else 31000+(s_suppkey*997+k*4001)%30000+(s_suppkey*31)%500 end as serial_end from {supplier} cross join (select 0 as k union all select 1 union all select 2) ks",
     "part_effectivity": f"select {part('p_partkey')} as part_number, c as configuration_code, case when (p_partkey+i)%3=0 then 0 else 1 end as is_applicable from {{part}} cross join (select 0 as i, 'SN' as c union all select 1, 'LN' union all select 2, 'ENH' union all select 3, 'PLUS') cs where (p_partkey+i)%4<>0",
     "corpus": f"select doc_id, concat('xml_data/dmc-39-A-', {ata('doc_id')}, '-', lpad(cast(doc_id%100 as varchar(10)),2,'0'), '-00-00A-', lpad(cast(doc_id%1000 as varchar(10)),3,'0'), 'A-A.xml') as doc_path, embedding, text from {{documents}} join {{embeddings}} on vec_id=doc_id",
+    "manuals": f"select doc_id, concat('xml_data/dmc-39-A-', case when doc_id%13=0 then 'AWDP' else {ata('doc_id')} end, '-0', cast(doc_id%10 as varchar(1)), '-00A-', lpad(cast(doc_id%1000 as varchar(10)),3,'0'), 'A-A.xml') as doc_path, embedding, concat(text, case doc_id%12 when 0 then ' The engine will not start. Start sequence of the starter generator before engine start.' when 1 then ' Fault isolation: does not start, crank the engine' when 2 then ' GEN HOT caution, temperature' when 3 then ' See the Wiring Diagram of the compressor' when 4 then ' Fault isolation of hot bleed air' when 5 then ' not starting: start cycle' when 6 then ' wiring data of the fuselage' when 7 then ' airframe structure' when 8 then ' airframe and cabin' else '' end) as text from {{documents}} join {{embeddings}} on vec_id=doc_id",
+    "questions": f"select item_id as query_id, concat(text, case item_id%11 when 0 then ' The engine does not start' when 1 then ' generator will not start' when 2 then ' starter not starting, overheat' when 3 then ' electrical fault of the connector' when 4 then ' hot start' when 5 then ' generator not working' when 6 then ' wiring pin' else '' end) as query, embedding, case item_id%9 when 0 then null when 1 then 'PT6C_67CD' when 2 then 'PRIMUS_EPIC' when 3 then 'AW139_AIRFRAME' when 4 then '88' when 5 then 'general' when 6 then '' else {ata('item_id')} end as filter from {{benchmark}} join {{embeddings}} on vec_id=item_id",
     "maintenance_logs": f"select o_orderkey as id, {serial('o_custkey')} as aircraft_serial, {ata('o_orderkey')} as ata, o_orderpriority as type, cast(o_orderdate as timestamp) as log_date, cast(floor(o_totalprice/10) as int) as tsn from {{orders}} where o_orderstatus='F'",
     "diagnoses": f"select doc_id as query_id, {ata('doc_id')} as ata, case when doc_id%6=0 then 'install_procedure' when doc_id%6=1 then 'other' else 'fault_isolation' end as task_type, case when doc_id%3=0 then 'generator does not start' when doc_id%3=1 then 'nose wheel steering stuck on ground' else 'how to replace the fuel pump' end as query, concat(substr(text,1,400), case when doc_id%2=0 then ' . Replace P/N 3G2400A00131 of the starter relay, see AMM 24-30-00' else '' end, case when doc_id%3=0 then ' . 45% worn brush of the starter' else '' end, case when doc_id%4=0 then ' . Measure 28 V at connector J12 because the contactor fails to close' else '' end, case when doc_id%5=0 then ' . ATA 24-30 and 39-A-24-30-00-00A-520A-A' else '' end, case when doc_id%7=0 then ' . First remove the panel, then check continuity of the wiring' else '' end, ' .') as diagnosis from {{documents}}",
 }
