@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import certainty
-from .extract import coverage, evidence_score, evidence_units
+from .extract import coverage, coverage_ladder, evidence_score, evidence_units
 from .findings import has_any, likely_causes
 
 #: Groups of tasks.
@@ -141,16 +141,13 @@ def evidence_count(diagnosis: Column, f: Column) -> Column:
     return total
 
 
-def deep(f: Column) -> Column:
-    return (f["ranking"] & f["signal_path"]) | (f["operation"] & f["ranking"]) | (f["signal_path"] & f["mechanism"])
-
-
 def system_analysis(f: Column, is_procedure: Column) -> Column:
     points = lambda table: sum((F.when(f[k], p).otherwise(0) for k, p in table.items()), F.lit(0))
     manual = f["dmc"] | f["full_dmc"]
     procedure = F.least(points(PROCEDURE_POINTS) + F.when(manual, 15).otherwise(0), F.when(f["steps"] | manual, 100).otherwise(30))
-    shallow = F.when(f["component"] | f["mechanism"] | deep(f), 100).otherwise(30)
-    other = F.least(points(OTHER_POINTS), shallow, F.when(f["causal"] | deep(f), 100).otherwise(50))
+    deep = certainty.deep_analysis(lambda name: f[name])
+    shallow = F.when(f["component"] | f["mechanism"] | deep, 100).otherwise(30)
+    other = F.least(points(OTHER_POINTS), shallow, F.when(f["causal"] | deep, 100).otherwise(50))
     return F.when(is_procedure, procedure).otherwise(other)
 
 
@@ -191,6 +188,41 @@ def task_caps(score: Column, task: Column, causes: Column, has_steps: Column) ->
     return F.least(score, fault, F.when(task.isin("remove_procedure", "install_procedure") & ~has_steps, 75).otherwise(100))
 
 
+#: Words of a document that fits a chosen training material.
+COVERED = {"PRIMUS_EPIC": ("primus", "epic", "avionics", "cmc", "fms"), "PT6C_67CD": ("pt6c", "67c", "engine", "turbine", "power plant"), "AW139_AIRFRAME": ("airframe", "structure", "fuselage", "cabin")}
+
+
+def chosen_tag(chosen: Column) -> Column:
+    """What a document must have to fit a choice: a material, or the first two characters of a system's number; '' fits all."""
+    code = F.trim(F.replace(_text(chosen), F.lit("ATA "), F.lit("")))
+    return F.when(_text(chosen).isin(*COVERED), chosen).otherwise(F.substring(code, 1, 2))
+
+
+def fitting_tags(path: Column, content: Column) -> Column:
+    """All tags that a document has: '', materials, and what stands between two dashes of its path."""
+    low_path, low = F.lower(_text(path)), F.lower(_text(content))
+    of = F.array(F.lit(""), *(F.when(has_any(low, words) | has_any(low_path, words), F.lit(name)) for name, words in COVERED.items()))
+    parts = [F.regexp_extract_all(low_path, F.lit(f"(?s)-(?=({any_of})-)"), F.lit(1)) for any_of in (".", "..")]
+    return F.array_distinct(F.concat(F.filter(of, lambda t: t.isNotNull()), *parts))
+
+
+def pooled_coverage(asked: DataFrame, docs: DataFrame, found: DataFrame, good: float = 0.7) -> DataFrame:
+    """query_id, docs, matched, high, coverage of questions that were given all documents of a pool.
+
+    asked: query_id, pool, chosen. docs: pool, doc_path, content. found: query_id, doc_path,
+    content, score, the few documents whose score is known. Documents are counted by pool and
+    tag before they meet questions, so a question meets two rows, whatever the pool's size.
+    """
+    counts = docs.select("pool", F.explode(fitting_tags(F.col("doc_path"), F.col("content"))).alias("tag")).groupBy("pool", "tag").agg(F.count("*").alias("n"))
+    tagged = asked.select("query_id", "pool", chosen_tag(F.col("chosen")).alias("tag"))
+    best = found.where(F.col("score") > good).select(F.col("query_id").alias("_of"), fitting_tags(F.col("doc_path"), F.col("content")).alias("_tags"))
+    high = best.join(tagged, F.col("_of") == F.col("query_id")).where(F.array_contains("_tags", F.col("tag"))).groupBy("query_id").agg(F.count("*").alias("high"))
+    whole = counts.where("tag = ''").select("pool", F.col("n").alias("docs"))
+    both = tagged.join(whole, "pool", "left").join(counts.withColumnRenamed("n", "matched"), ["pool", "tag"], "left").join(high, "query_id", "left")
+    numbers = both.select("query_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("docs", "matched", "high")))
+    return numbers.withColumn("coverage", coverage_ladder(F.col("matched"), F.col("docs"), F.col("high")))
+
+
 def report(diagnoses: DataFrame, query_docs: DataFrame, matches: Column | None = None, score_col: str | None = None, threshold: int = 95) -> DataFrame:
     """One row per diagnosis with its five parts, certainty and status.
 
@@ -198,10 +230,14 @@ def report(diagnoses: DataFrame, query_docs: DataFrame, matches: Column | None =
     retrieved document of a query; ``matches`` says which fit the chosen manual (all, if not
     given). Diagnoses without documents have a coverage of 0.
     """
-    task = F.coalesce("task_type", F.lit(""))
-    covered = coverage(query_docs, F.lit(True) if matches is None else matches, score_col).select("query_id", "coverage")
+    return assessed(diagnoses, coverage(query_docs, F.lit(True) if matches is None else matches, score_col), threshold)
+
+
+def assessed(diagnoses: DataFrame, covered: DataFrame, threshold: int = 95) -> DataFrame:
+    """The report with a given ``coverage`` per query_id."""
+    covered = covered.select("query_id", "coverage")
     base = diagnoses.withColumns({"flags": flags(F.col("diagnosis")), "subsystems": subsystems(F.col("query"), F.col("diagnosis"))}).join(covered, "query_id", "left")
-    f, wiring = F.col("flags"), F.coalesce("has_wiring", F.lit(False))
+    task, f, wiring = F.coalesce("task_type", F.lit("")), F.col("flags"), F.coalesce("has_wiring", F.lit(False))
     parts = base.withColumns(
         {
             "coverage": F.coalesce("coverage", F.lit(0)), "is_procedure": task.isin(*PROCEDURE_TASKS), "is_fault": task.isin(*FAULT_TASKS), "awdp_doc": wiring,

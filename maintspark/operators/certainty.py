@@ -22,8 +22,9 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
-def deep_analysis() -> Column:
-    return (_flag("ranking") & _flag("signal_path")) | (_flag("operation") & _flag("ranking")) | (_flag("signal_path") & _flag("mechanism"))
+def deep_analysis(flag=_flag) -> Column:
+    """Whether a diagnosis goes deep; ``flag`` gives the column of a flag's name."""
+    return (flag("ranking") & flag("signal_path")) | (flag("operation") & flag("ranking")) | (flag("signal_path") & flag("mechanism"))
 
 
 def raw_score() -> Column:
@@ -53,7 +54,8 @@ def caps() -> list[tuple[Column, int]]:
 def passes_gate() -> Column:
     """Whether a score of 95 and more is allowed."""
     f, manual = _flag, _flag("amp") | _flag("dmc") | _flag("awdp_ref")
-    procedure = (F.col("coverage") >= 80) & (F.col("system") >= 60) & (manual | f("full_dmc")) & (f("steps") | f("component")) & (F.col("alignment") >= 50)
+    own = f("amp") | f("dmc") | f("full_dmc")
+    procedure = (F.col("coverage") >= 80) & (F.col("system") >= 60) & own & (f("steps") | f("component")) & (F.col("alignment") >= 50)
     plain = (
         (F.col("system") >= 75) & (F.col("coverage") >= 85) & (F.col("evidence_count") >= 5) & (F.col("alignment") >= 70)
         & f("component") & f("causal") & ~f("missing_subsystem") & (~f("is_fault") | f("awdp_doc") | f("awdp_ref")) & manual

@@ -8,7 +8,7 @@ from maintspark.operators import effectivity as eff
 from maintspark.functions import text
 from maintspark.operators import assessment, extract, findings, fleet, history, lookups, manuals, records, reliability, retrieval
 
-from .views import duck, view
+from .views import ata, duck, view
 
 AS_OF = "timestamp '2001-06-30 00:00:00'"
 QUERIES: dict = {}
@@ -271,22 +271,84 @@ _add(
     shown as (select query_id, rank, doc_id, doc_path, score from top union all select query_id, coalesce((select max(rank) from top where top.query_id = best.query_id), 0) + 1, doc_id, doc_path, score from best where rn = 1)
     select query_id, rank, doc_id, doc_path, round(score, 4) as similarity_score, replace(replace(replace(string_split(doc_path, '/')[-1], 'dmc-', ''), '.xml', ''), '.pdf', '') as document_id from shown""",
 )
+#: DuckDB's expressions know no word characters beyond ASCII, so letters beyond it count as x there.
+_PLAIN = "regexp_replace(coalesce(diagnosis, ''), '[À-ÖØ-öø-ÿŒœſ]', 'x', 'g')"
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _matches(column: str, pattern: str, options: str = "") -> str:
+    return f"regexp_matches({column}, {_sql_text(pattern.replace('(?i)', ''))}, '{options}i')" if "i" in options or "(?i)" in pattern else f"regexp_matches({column}, {_sql_text(pattern)})"
+
+
+def _found(column: str, pattern: str, group: int) -> str:
+    return f"regexp_extract_all({column}, {_sql_text(pattern.replace('(?i)', ''))}, {group}, 'i')"
+
+
+_REFERENCES = "list_transform(" + "list_concat(" * (len(findings.REFERENCES) - 1) + _found("diagnosis", findings.REFERENCES[0], 1) + "".join(f", {_found('diagnosis', p, 1)})" for p in findings.REFERENCES[1:]) + ", lambda x: replace(upper(x), ' ', '-'))"
+_REFERENCES = f"list_filter({_REFERENCES}, lambda x, i: list_position({_REFERENCES}, x) = i)[1:15]"
+_STATUS = r"case when regexp_matches(diagnosis, '(?m)^\s*\d+\.') then case when regexp_matches(diagnosis, '\d{2}-[A-Z]-\d{2}-\d{2}', 'i') then 'VERIFIED - NO CORRECTIONS' else 'VERIFIED WITH IMPROVEMENTS' end else 'CRITICAL CORRECTION REQUIRED' end"
 _add(
     "manual_references", _on(lambda d: d.select("query_id", F.array_join(findings.references(F.col("diagnosis")), ",").alias("refs"), findings.verification(F.col("diagnosis")).alias("status")), "diagnoses"),
-    "select query_id, case when query_id%2=0 then 'AMM-24-30-00' else '' end as refs, case when regexp_matches(diagnosis, '(?m)^\\s*\\d+\\.') then case when query_id%5=0 then 'VERIFIED - NO CORRECTIONS' else 'VERIFIED WITH IMPROVEMENTS' end else 'CRITICAL CORRECTION REQUIRED' end as status from diagnoses",
+    f"select query_id, coalesce(array_to_string({_REFERENCES}, ','), '') as refs, {_STATUS} as status from (select query_id, coalesce(diagnosis, '') as diagnosis from diagnoses)",
 )
 _add(
     "simple_scores", _on(lambda d: d.select("query_id", findings.simple_score(F.size(findings.references(F.col("diagnosis"))), F.col("ata").isNotNull(), F.col("diagnosis")).alias("score")), "diagnoses"),
-    f"select query_id, least(100, 50 + case when query_id%2=0 then 8 else 0 end + 10 + case when length(diagnosis)>500 then 5 else 0 end + case when length(diagnosis)>1000 then 5 else 0 end + case when {_sql_has('lower(diagnosis)', ('amm', 'ietp', 'amp'))} then 5 else 0 end + case when {_sql_has('lower(diagnosis)', ('procedure', 'step'))} then 3 else 0 end) as score from diagnoses",
+    f"select query_id, least(100, 50 + least(30, 8 * len({_REFERENCES})) + 10 + case when length(diagnosis)>500 then 5 else 0 end + case when length(diagnosis)>1000 then 5 else 0 end + case when {_sql_has('lower(diagnosis)', ('amm', 'ietp', 'amp'))} then 5 else 0 end + case when {_sql_has('lower(diagnosis)', ('procedure', 'step'))} then 3 else 0 end) as score from (select query_id, coalesce(diagnosis, '') as diagnosis from diagnoses)",
 )
 
 
-def _certainty_report(diagnoses, corpus):
-    """Each diagnosis with the documents of its system."""
-    docs = corpus.select("doc_id", F.regexp_extract("doc_path", "-A-([0-9]{2})-", 1).alias("ata"))
-    asked = diagnoses.withColumn("has_wiring", F.contains(F.lower("diagnosis"), F.lit("wiring diagram")))
-    counts = asked.select("query_id", "ata").join(docs, "ata")
-    return assessment.report(asked, counts).drop("missing_subsystems")
+def _certainty_report(diagnoses, documents, retrieved):
+    """Each diagnosis with all documents of its pool, and the few that a search scored."""
+    docs = documents.select(F.expr(ata("doc_id")).alias("pool"), "doc_path", F.col("text").alias("content"))
+    covered = assessment.pooled_coverage(diagnoses, docs, retrieved)
+    return assessment.assessed(diagnoses, covered).drop("missing_subsystems", "evidence_count")
+
+
+_TAG = "case when chosen in ('PRIMUS_EPIC', 'PT6C_67CD', 'AW139_AIRFRAME') then chosen else substr(trim(replace(coalesce(chosen, ''), 'ATA ', '')), 1, 2) end"
+_FITS = "(tag = '' or case tag " + " ".join(f"when '{name}' then {_sql_has('p', words)} or {_sql_has('c', words)}" for name, words in assessment.COVERED.items()) + " else contains(p, '-' || tag || '-') end)"
+_COVERAGE = f"""q as (select query_id, pool, {_TAG} as tag from diagnoses), dd as (select {ata('doc_id')} as pool, lower(doc_path) as p, lower(text) as c from manuals), rr as (select query_id, score, lower(doc_path) as p, lower(content) as c from retrieved),
+    pools as (select distinct pool, tag from q), pc as (select pools.pool, tag, count(*) as docs, count(*) filter (where {_FITS}) as matched from pools join dd using (pool) group by pools.pool, tag),
+    hh as (select query_id, count(*) as high from q join rr using (query_id) where score > 0.7 and {_FITS} group by query_id),
+    covered as (select query_id, coalesce(docs, 0) as docs, coalesce(matched, 0) as matched, coalesce(high, 0) as high, case when coalesce(docs, 0) = 0 then 0 when matched / docs >= 0.8 and high >= 3 then 100 when matched / docs >= 0.8 then 85 when matched / docs >= 0.5 then 65 when matched / docs >= 0.2 then 40 else 15 end as coverage from q left join pc using (pool, tag) left join hh using (query_id))"""
+_add(
+    "pooled_coverage", _on(lambda d, m, r: assessment.pooled_coverage(d, m.select(F.expr(ata("doc_id")).alias("pool"), "doc_path", F.col("text").alias("content")), r), "diagnoses", "manuals", "retrieved"),
+    f"with {_COVERAGE} select query_id, docs, matched, high, coverage from covered",
+)
+_LOW = ", ".join(f"{_matches('low', p)} as f_{k}" for k, p in assessment.LOW_FLAGS.items())
+_ANY = ", ".join(f"{_matches('t', p, 'i')} as f_{k}" for k, p in assessment.FLAGS.items())
+_EVIDENCE = " + ".join(f"len(regexp_extract_all(t, {_sql_text(p.removeprefix('(?iU)'))}, 0, 'i'))" for p in extract.UNITS.values())
+_NEEDED = " + ".join(f"case when {_sql_has('q', asks)} and not {_sql_has('dl', needs)} then 1 else 0 end" for asks, needs in assessment.SUBSYSTEMS.values())
+_CAUSE_ROWS = [(_found("dg", r"(\d{1,3})\s*%[:\s]*([^.\n]+)", 1), _found("dg", r"(\d{1,3})\s*%[:\s]*([^.\n]+)", 2)), (_found("dg", r"([^.\n]+)\s*\((\d{1,3})\s*%\)", 2), _found("dg", r"([^.\n]+)\s*\((\d{1,3})\s*%\)", 1))]
+_CAUSES = " or ".join([f"len(list_filter(range(1, len({a}) + 1), lambda i: cast(({a})[i] as int) between 5 and 100 and length(trim(({b})[i])) > 10)) > 0" for a, b in _CAUSE_ROWS] + [_sql_has("dl", [w for w, *_ in findings.CAUSES])])
+_STOP = "(" + ", ".join(f"'{w}'" for w in assessment.STOP_WORDS) + ")"
+_add(
+    "certainty_report", _on(_certainty_report, "diagnoses", "manuals", "retrieved"),
+    f"""with {_COVERAGE},
+    a as (select query_id, coalesce(task_type, '') as task, coalesce(has_wiring, false) as wired, coalesce(diagnosis, '') as dg, lower(coalesce(diagnosis, '')) as dl, {_PLAIN} as t, lower({_PLAIN}) as low, lower(coalesce(query, '')) as q from diagnoses),
+    b as (select *, {_LOW}, {_ANY}, len(regexp_extract_all(t, '\\b\\d{{1,3}}\\s*%')) >= 2 as two, {_NEEDED} as missing, {_sql_has('dl', assessment.ELECTRICAL)} and {_sql_has('q', assessment.MECHANICAL)} as mismatch,
+        list_filter(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(q, '\\[.*?\\]', '', 'g'), 'ata\\s*\\d+', '', 'g'), 'aw139|s/n:?\\s*\\d+', '', 'g'), '\\b[a-z]{{4,}}\\b')), lambda w: w not in {_STOP}) as words from a),
+    c as (select *, f_likelihood or f_suspect or two as ranking, f_generic_check and not f_component and not f_mechanism as generic, task in {assessment.FAULT_TASKS} as is_fault, task in {assessment.PROCEDURE_TASKS} as is_proc, f_dmc or f_full_dmc as coded,
+        ((f_likelihood or f_suspect or two) and f_signal_path) or (f_operation and (f_likelihood or f_suspect or two)) or (f_signal_path and f_mechanism) as deep,
+        {_EVIDENCE} + case when f_dmc then 3 else 0 end + case when f_full_dmc then 2 else 0 end + case when f_amp then 2 else 0 end + case when f_awdp_ref then 2 else 0 end + case when f_part_number then 2 else 0 end + case when f_connector_pin then 1 else 0 end as n,
+        case when len(words) = 0 then null else len(list_filter(words, lambda w: contains(dl, w))) / len(words) end as share from b),
+    d as (select *, case when is_proc then least(20 * f_component::int + 25 * f_steps::int + 15 * f_tool::int + 15 * f_safety::int + 10 * f_order::int + 15 * coded::int, case when f_steps or coded then 100 else 30 end)
+        else least(20 * f_component::int + 20 * f_causal::int + 15 * f_mechanism::int + 10 * f_location::int + 10 * f_failure_mode::int + 10 * ranking::int + 10 * f_signal_path::int + 10 * f_operation::int, case when f_component or f_mechanism or deep then 100 else 30 end, case when f_causal or deep then 100 else 50 end) end as system,
+        case when n <= 0 then 0 when n <= 2 then 20 when n <= 4 then 40 when n <= 6 then 60 when n <= 9 then 80 else 100 end as evidence,
+        least(case when share is null then 50 when share >= 0.6 then 100 when share >= 0.4 then 70 when share >= 0.2 then 45 else 20 end, case when missing > 0 then 25 else 100 end, case when generic then 35 else 100 end, case when mismatch and not f_mechanism then 40 else 100 end) as alignment,
+        case when is_fault then case when wired and f_awdp_ref then 100 when wired then 70 when f_awdp_ref then 60 else 20 end when is_proc then case when f_amp or f_dmc then 100 else 40 end when f_amp or f_dmc or f_awdp_ref then 100 else 50 end as diagram from c),
+    e as (select *, least(coverage * 0.25e0 + system * 0.25e0 + evidence * 0.2e0 + alignment * 0.2e0 + diagram * 0.1e0,
+        case when is_proc and not (f_amp or f_dmc or f_awdp_ref or f_full_dmc) then 88 else 100 end, case when is_proc and not f_steps and not f_component then 82 else 100 end,
+        case when not is_proc and is_fault and not (wired or f_awdp_ref) and not deep then 85 else 100 end, case when not is_proc and generic and not deep then 80 else 100 end, case when not is_proc and not (f_amp or f_dmc or f_awdp_ref) and not deep then 85 else 100 end,
+        case when not is_proc and not f_component and not f_part_number then 82 else 100 end, case when not is_proc and is_fault and not f_causal and not deep then 80 else 100 end, case when not is_proc and missing > 0 and not deep then 75 else 100 end, case when not is_proc and mismatch and not f_mechanism then 78 else 100 end) as capped,
+        case when is_proc then coverage >= 80 and system >= 60 and (f_amp or f_dmc or f_full_dmc) and (f_steps or f_component) and alignment >= 50
+        else (system >= 75 and coverage >= 85 and n >= 5 and alignment >= 70 and f_component and f_causal and missing = 0 and (not is_fault or wired or f_awdp_ref) and (f_amp or f_dmc or f_awdp_ref)) or (system >= 70 and coverage >= 65 and n >= 3 and alignment >= 60 and f_component and deep and ranking) end as passes from d join covered using (query_id)),
+    f as (select *, greatest(40, least(100, cast(round_even(case when capped >= 95 and not passes then 94 else capped end, 0) as int))) as score from e),
+    g as (select *, least(score, case when task = 'fault_isolation' and not ({_CAUSES}) then 80 else 100 end, case when task in ('remove_procedure', 'install_procedure') and not regexp_matches(dg, '(?m)^\\s*\\d+\\.') then 75 else 100 end) as certainty from f)
+    select query_id, task as task_type, coverage, system, evidence, alignment, diagram, certainty, case when certainty >= 95 then 'SAFE_TO_PROCEED' else 'REQUIRE_EXPERT' end as certainty_status from g""",
+)
 
 
 def _diagnosis_report(diagnoses):
@@ -294,5 +356,4 @@ def _diagnosis_report(diagnoses):
     return r.select("query_id", "ata_chapter", F.size("affected_parts").alias("n_parts"), F.size("references").alias("n_references"), F.size("recommended_tests").alias("n_tests"), "verification_status")
 
 
-_add("certainty_report", _on(_certainty_report, "diagnoses", "corpus"))
 _add("diagnosis_report", _on(_diagnosis_report, "diagnoses"))
