@@ -172,8 +172,11 @@ def references(text: Column, k: int = 15) -> Column:
 def likely_causes(text: Column, k: int = 5) -> Column:
     """(cause, probability): "45% worn seal" and "worn seal (45%)" of 5 to 100 and over 10 characters, else up to three by words; likeliest first, then as they stand."""
     pair = lambda cause, p: F.struct(F.substring(stripped(cause), 1, 100).alias("cause"), p.cast("int").alias("probability"), F.length(stripped(cause)).alias("size"))
-    first, second = r"(\d{1,3})\s*%[:\s]*([^.\n]+)", r"([^.\n]+)\s*\((\d{1,3})\s*%\)"
-    rows = F.concat(F.zip_with(_all(text, first, 2), _all(text, first, 1), pair), F.zip_with(_all(text, second, 1), _all(text, second, 2), pair))
+    # no match has a point in it, so only the pieces between points that have a share are read; a cause before its share begins a line or follows another match
+    first, second = r"(\d{1,3})\s*%[:\s]*([^.\n]+)", r"(?:\G|(?<=\n))([^.\n]+)\s*\((\d{1,3})\s*%\)"
+    pieces = F.split(_text(text), "[.]", -1)
+    found = lambda sign, pattern, cause, share: F.flatten(F.transform(F.filter(pieces, lambda t: F.contains(t, F.lit(sign))), lambda t: F.zip_with(_all(t, pattern, cause), _all(t, pattern, share), pair)))
+    rows = F.concat(found("%", first, 2, 1), found("%)", second, 1, 2))
     rows = F.filter(rows, lambda r: r["probability"].between(5, 100) & (r["size"] > 10))
     low = F.lower(_text(text))
     plain = F.array(*(F.when(F.contains(low, F.lit(w)), F.struct(F.lit(c).alias("cause"), F.lit(p).alias("probability"), F.lit(0).alias("size"))) for w, c, p in CAUSES))

@@ -8,7 +8,7 @@ from maintspark.operators import effectivity as eff
 from maintspark.functions import text
 from maintspark.operators import assessment, extract, findings, fleet, history, lookups, manuals, records, reliability, retrieval
 
-from .views import ata, duck, view
+from .views import ata, duck, spread, view
 
 AS_OF = "timestamp '2001-06-30 00:00:00'"
 QUERIES: dict = {}
@@ -304,7 +304,7 @@ def _certainty_report(diagnoses, documents, retrieved):
     """Each diagnosis with all documents of its pool, and the few that a search scored."""
     docs = documents.select(F.expr(ata("doc_id")).alias("pool"), "doc_path", F.col("text").alias("content"))
     covered = assessment.pooled_coverage(diagnoses, docs, retrieved)
-    return assessment.assessed(diagnoses, covered).drop("missing_subsystems", "evidence_count")
+    return assessment.assessed(spread(diagnoses), covered).drop("missing_subsystems", "evidence_count")
 
 
 _TAG = "case when chosen in ('PRIMUS_EPIC', 'PT6C_67CD', 'AW139_AIRFRAME') then chosen else substr(trim(replace(coalesce(chosen, ''), 'ATA ', '')), 1, 2) end"
@@ -351,9 +351,25 @@ _add(
 )
 
 
-def _diagnosis_report(diagnoses):
-    r = findings.diagnosis_report(diagnoses.withColumns({"retrieved_refs": F.array().cast("array<string>"), "doc_texts": F.array().cast("array<string>")}))
-    return r.select("query_id", "ata_chapter", F.size("affected_parts").alias("n_parts"), F.size("references").alias("n_references"), F.size("recommended_tests").alias("n_tests"), "verification_status")
+def _diagnosis_report(diagnoses, retrieved):
+    """With what was retrieved for each diagnosis: its references stand in where the text has none, and its texts may have wiring."""
+    each = retrieved.where("score > 0.3").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("k", "doc_path", "content"))).alias("docs"))
+    path = lambda d: F.regexp_replace(F.upper(F.element_at(F.split(d["doc_path"], "/"), -1)), r"\.XML$", "")
+    known = spread(diagnoses).join(each.select("query_id", F.transform("docs", path).alias("retrieved_refs"), F.transform("docs", lambda d: F.concat(d["doc_path"], F.lit(" "), d["content"])).alias("doc_texts")), "query_id", "left")
+    r = findings.diagnosis_report(known)
+    return r.select("query_id", "ata_chapter", F.size("affected_parts").alias("n_parts"), F.array_join("references", ",").alias("refs"), F.size("recommended_tests").alias("n_tests"), "wiring.has_wiring", "verification_status")
 
 
-_add("diagnosis_report", _on(_diagnosis_report, "diagnoses"))
+_CHAPTER = r"""case when regexp_matches(diagnosis, 'ATA[:\s]*\d{2}[-\s]\d{2}', 'i') then 'ATA ' || regexp_extract(diagnosis, 'ATA[:\s]*(\d{2})[-\s](\d{2})', 1, 'i') || '-' || regexp_extract(diagnosis, 'ATA[:\s]*(\d{2})[-\s](\d{2})', 2, 'i')
+    when regexp_matches(diagnosis, 'ATA Chapter[:\s]*\d{2}', 'i') then 'ATA ' || regexp_extract(diagnosis, 'ATA Chapter[:\s]*(\d{2})', 1, 'i') when regexp_matches(diagnosis, 'ATA[:\s]*\d{2}\b', 'i') then 'ATA ' || regexp_extract(diagnosis, 'ATA[:\s]*(\d{2})\b', 1, 'i') else '' end"""
+_PARTS = " union ".join(f"select query_id, unnest(regexp_extract_all(diagnosis, {_sql_text(p.replace('(?i)', ''))}, 1{', ' + repr('i') if '(?i)' in p else ''})) as pn from x" for p, _ in findings.PARTS)
+_SENTENCES = f"len(list_filter(list_transform(string_split_regex(diagnosis, '[.!?]'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 20 and {_sql_has('lower(s)', findings.TEST_WORDS)}))"
+_CODES = " or ".join(_matches("diagnosis", p) for p in findings.WIRING_CODES)
+_add(
+    "diagnosis_report", _on(_diagnosis_report, "diagnoses", "retrieved"),
+    f"""with x as (select query_id, coalesce(diagnosis, '') as diagnosis from diagnoses), y as (select query_id, string_agg(regexp_replace(upper(string_split(doc_path, '/')[-1]), '\\.XML$', ''), ',' order by k) as refs, bool_or({_sql_has("lower(doc_path || ' ' || content)", findings.WIRING_WORDS)}) as wired from retrieved where score > 0.3 group by query_id),
+    z as (select query_id, count(distinct upper(pn)) as n from ({_PARTS}) where length(pn) >= 6 group by query_id)
+    select query_id, {_CHAPTER} as ata_chapter, least(coalesce(n, 0), 10) as n_parts, case when len({_REFERENCES}) > 0 then array_to_string({_REFERENCES}, ',') else coalesce(refs, '') end as refs,
+    case when {_SENTENCES} = 0 then 3 else least({_SENTENCES}, 6) end as n_tests, coalesce(wired, false) or {_CODES} or {_sql_has('lower(diagnosis)', findings.WIRING_SAID)} as has_wiring, {_STATUS} as verification_status
+    from x left join y using (query_id) left join z using (query_id)""",
+)

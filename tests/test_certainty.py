@@ -16,3 +16,10 @@ def test_gate_caps_and_floor(spark):
     assert make(spark, is_procedure=True, component=False).certainty == 82
     assert make(spark, coverage=0, system=0, evidence=0, alignment=0, diagram=0).certainty == 40
     assert make(spark, coverage=80, system=80, evidence=80, alignment=80, diagram=85).certainty == 80
+
+
+def test_gate_of_procedures_takes_no_wiring_reference(spark):
+    base = {"is_procedure": True, "is_fault": False, "amp": False, "steps": True, "causal": False}
+    assert make(spark, **base, awdp_ref=True).certainty == 94
+    assert make(spark, **base, full_dmc=True).certainty == 100
+    assert make(spark, **base).certainty == 88

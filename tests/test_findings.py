@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from maintspark.operators import assessment, catalogue, extract, findings, manuals
@@ -30,6 +32,10 @@ def test_causes(spark):
     assert causes("20%: worn seal, of the pump.\n3% nothing at all here.\nBroken output shaft (60%)") == [("Broken output shaft", 60), ("worn seal, of the pump", 20)]
     assert causes("the wiring and a sensor, component, corrosion") == [("Component Failure", 35), ("Wiring Fault", 25), ("Corrosion", 15)]
     assert causes(None) == []
+    said = "first long cause (10%) second long cause (20%) third long cause\n(30%) and a fourth cause (40%). x 50 %: of\nsomething else (60 %) long enough here\n(70%)"
+    rows = [(c, int(p)) for p, c in re.findall(r"(\d{1,3})\s*%[:\s]*([^.\n]+)", said)] + [(c, int(p)) for c, p in re.findall(r"([^.\n]+)\s*\((\d{1,3})\s*%\)", said)]
+    assert causes(said) == sorted([(c.strip(), p) for c, p in rows if len(c.strip()) > 10], key=lambda r: -r[1])[:5]
+    assert causes("no share here " * 20000) == []
     assert [tuple(r) for r in one(spark, findings.causes_by_keyword(F.col("t")), t="worn, faulty, corroded, contaminated")] == [("Component Failure", 35), ("Wear and Degradation", 25), ("Corrosion", 15)]
     assert [tuple(r) for r in one(spark, findings.causes_by_keyword(F.col("t")), t=None)] == [("Further investigation required", 30)]
 
