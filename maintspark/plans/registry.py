@@ -8,6 +8,8 @@ from maintspark.operators import effectivity as eff
 from maintspark.functions import text
 from maintspark.operators import assessment, extract, findings, fleet, history, lookups, manuals, records, reliability, retrieval
 
+from maintspark.streaming import streams
+
 from .views import ata, duck, spread, view
 
 AS_OF = "timestamp '2001-06-30 00:00:00'"
@@ -373,3 +375,44 @@ _add(
     case when {_SENTENCES} = 0 then 3 else least({_SENTENCES}, 6) end as n_tests, coalesce(wired, false) or {_CODES} or {_sql_has('lower(diagnosis)', findings.WIRING_SAID)} as has_wiring, {_STATUS} as verification_status
     from x left join y using (query_id) left join z using (query_id)""",
 )
+
+
+def _stream(spark, d, table: str, shape):
+    """A given table as a stream of files, shaped by SQL expressions."""
+    schema = spark.read.parquet(f"{d}/{table}.parquet").schema
+    # a pattern, since a stream's path may be a folder or a pattern, but no file
+    return spark.readStream.schema(schema).parquet(f"{d}/{table}.parque[t]").selectExpr(*shape)
+
+
+#: Customers as records: opened a minute apart, resolved after up to 99 days, some by others, some not at all.
+_OPENED = ("c_custkey as record_id", "c_nationkey as user_id", "timestamp '2001-01-01 00:00:00' + make_dt_interval(0, 0, c_custkey) as started_at")
+_RESOLVED = ("c_custkey as record_id", "case when c_custkey % 7 = 0 then c_nationkey + 1 else c_nationkey end as user_id", "case when c_custkey % 5 <> 0 then timestamp '2001-01-01 00:00:00' + make_dt_interval(c_custkey % 100, 0, c_custkey + 10, 30) end as resolved_at")
+_AGAIN = ("c_custkey as record_id", "c_nationkey as user_id", "case when c_custkey % 11 = 0 then timestamp '2001-01-01 00:00:00' + make_dt_interval(100, 0, c_custkey) end as resolved_at")
+
+
+def _downtime_stream(spark, d):
+    resolves = _stream(spark, d, "customer", _RESOLVED).unionByName(_stream(spark, d, "customer", _AGAIN))
+    stream = streams.downtime(_stream(spark, d, "customer", _OPENED), resolves)
+    rows = streams.latest_downtime(streams.run_to_table(stream, streams.shared_folder(spark, "downtime"), "update"))
+    return rows.select("record_id", "user_id", "downtime_minutes")
+
+
+_add(
+    "downtime_stream", _downtime_stream,
+    """with r as (select c_custkey as k, c_nationkey as u, case when c_custkey % 11 = 0 then 100 * 1440 when c_custkey % 5 <> 0 and c_custkey % 7 <> 0 then (c_custkey % 100) * 1440 + 11 end as minutes from customer)
+    select k as record_id, u::bigint as user_id, minutes as downtime_minutes from r where minutes is not null""",
+)
+
+
+def _recurrence_stream(spark, d):
+    shape = (f"{ata('l_partkey')} as ata_code", "cast(l_shipdate as timestamp) as occurrence_date", "l_returnflag")
+    faults = _stream(spark, d, "lineitem", shape).where("l_returnflag = 'R'").drop("l_returnflag")
+    return streams.recurrence(streams.run_to_table(streams.daily_panes(faults), streams.shared_folder(spark, "panes")))
+
+
+_add(
+    "recurrence_stream", _recurrence_stream,
+    """with p as (select ata_code, cast(occurrence_date as date) as day, count(*) as n from occurrences where cast(occurrence_date as date) + 1 <= (select max(occurrence_date) - interval 1 day from occurrences) group by 1, 2)
+    select ata_code, day, (select sum(n) from p b where b.ata_code = p.ata_code and b.day > p.day - 30 and b.day <= p.day)::bigint as n30, (select sum(n) from p b where b.ata_code = p.ata_code and b.day > p.day - 60 and b.day <= p.day)::bigint as n60,
+    (select sum(n) from p b where b.ata_code = p.ata_code and b.day > p.day - 90 and b.day <= p.day)::bigint as n90 from p""",
+)

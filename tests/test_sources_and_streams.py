@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from maintspark.functions.text import ata_chapter, dmc_code, keyword_boost
+from maintspark.operators import reliability
 from maintspark.sources import tables
 from maintspark.streaming import streams
 
@@ -22,14 +23,17 @@ def test_append_new(spark, tmp_path):
 
 
 def test_recurrence_stream_equals_batch(spark, tmp_path):
-    rows = [(f"2{i % 3}", datetime(2024, 1, 1) + timedelta(days=i % 40)) for i in range(200)]
+    rows = [(f"2{i % 3}", datetime(2024, 1, 1) + timedelta(days=(i * i) % 140, hours=i % 24)) for i in range(300)]
     df = spark.createDataFrame(rows, "ata_code string, occurrence_date timestamp")
     df.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = streams.recurrence(stream).writeStream.format("memory").queryName("rec").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    key = lambda r: (str(r.window.start), r.ata_code, r.n)
-    assert sorted(map(key, spark.table("rec").collect())) == sorted(map(key, streams.recurrence(df).collect()))
+    got = streams.recurrence(streams.run_to_table(streams.daily_panes(stream), f"file://{tmp_path}/run")).collect()
+    last = max(t for _, t in rows) - timedelta(days=1)
+    assert {(r.ata_code, r.day) for r in got} == {(a, t.date()) for a, t in rows if datetime.combine(t.date(), datetime.min.time()) + timedelta(days=1) <= last}
+    for r in got[::7]:  # the report of the moment when the day ends
+        end = datetime.combine(r.day, datetime.min.time()) + timedelta(days=1)
+        one = reliability.recurrence(df.where((F.col("ata_code") == r.ata_code) & (F.col("occurrence_date") < F.lit(end))), F.lit(end)).first()
+        assert (r.n30, r.n60, r.n90) == (one.n30, one.n60, one.n90)
 
 
 def test_functions(spark):

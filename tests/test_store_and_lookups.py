@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -84,12 +84,18 @@ def test_ingest_stream_adds_once(spark, tmp_path):
     assert sorted(r.doc_path for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["both", "one", "two"]
 
 
-def test_downtime_stream_pairs_by_user(spark, tmp_path):
-    opened = spark.createDataFrame([(1, 7, datetime(2024, 1, 1)), (2, 7, datetime(2024, 1, 2))], "record_id int, user_id int, started_at timestamp")
-    closed = spark.createDataFrame([(1, 7, datetime(2024, 1, 1, 0, 2, 30)), (2, 8, datetime(2024, 1, 3))], "record_id int, user_id int, resolved_at timestamp")
-    for name, df in (("open", opened), ("close", closed)):
-        df.write.parquet(str(tmp_path / name))
-    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
-    q = streams.downtime(read("open", opened), read("close", closed)).writeStream.format("memory").queryName("down").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [(r.record_id, r.downtime_minutes) for r in spark.table("down").where("resolved_at is not null").collect()] == [(1, 3)]
+def test_downtime_stream_pairs_by_user_after_any_delay(spark, tmp_path):
+    opens, closes = "record_id int, user_id int, started_at timestamp", "record_id int, user_id int, resolved_at timestamp"
+    day = lambda n, minute=0, second=0: datetime(2024, 1, 1, 0, minute, second) + timedelta(days=n)
+    runs = [
+        ([(1, 7, day(0)), (2, 7, day(1)), (3, 7, day(1)), (4, None, day(1))], [(1, 7, day(0, 2, 30)), (2, 8, day(2)), (5, 7, day(3)), (5, 8, day(2))]),
+        ([(5, 8, day(0))], [(2, 7, day(62)), (1, 7, day(0, 1)), (1, 7, day(0, 4))]),
+        ([], [(3, 9, day(400))]),
+    ]
+    want = [{1: 3}, {1: 4, 2: 61 * 1440, 5: 2 * 1440}, {1: 4, 2: 61 * 1440, 5: 2 * 1440}]
+    for (one, two), expected in zip(runs, want, strict=True):
+        for name, rows, schema in (("open", one, opens), ("close", two, closes)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        read = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        rows = streams.run_to_table(streams.downtime(read("open", opens), read("close", closes)), f"file://{tmp_path}/run", "update")
+        assert {r.record_id: r.downtime_minutes for r in streams.latest_downtime(rows).collect()} == expected
