@@ -63,7 +63,7 @@ def _words_within(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """token, word: each distinct word with the tokens that contain it, found by the word's first four letters."""
     starts = words.select("word").distinct().withColumn("gram", F.substring("word", 1, 4))
     places = F.sequence(F.lit(1), F.length("token") - 3)
-    grams = tokens.select("token").distinct().where(F.length("token") > 3).select("token", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("token"), i, F.lit(4))))).alias("gram"))
+    grams = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("token"), i, F.lit(4))))).alias("gram"))
     return grams.join(starts, "gram").where(F.contains("token", "word")).select("token", "word")
 
 
@@ -73,20 +73,29 @@ def similar_cases(problems: DataFrame, history: DataFrame, k: int = 3, least: in
     A keyword counts as a substring, repeats twice; the same aircraft adds one. A problem
     without a system is compared with all. Ties: the latest resolved, then the smallest id.
     A keyword has no white space, so it lies within one token of a case: the vocabulary is
-    matched with the keywords once, and cases meet problems only by a keyword they contain.
-    Equal rows of a case count once.
+    matched with the keywords once. Of a problem's keywords, the commonest ones that alone
+    can't reach ``least`` hits never make candidates: a case must contain a rarer one. Only
+    for candidates the common ones are looked up. Equal rows of a case count once.
     """
     solved = history.where(F.col("solution_status") == "resolved")
     if recent_limit:
         solved = solved.orderBy(F.desc("resolved_seq"), "id").limit(recent_limit)
-    case = ["id", "ata", "aircraft_serial", "resolved_seq"]
-    tokens = solved.select(*case, F.explode(F.array_distinct(F.split(cleaned(F.col("problem")), r"[ \t\n\x0B\f\r]+"))).alias("token"))
-    asked = problems.select("query_id", F.col("ata").alias("q_ata"), "serial_number", F.explode(keywords(F.col("problem"), stop_words=stop_words)).alias("word"))
-    asked = asked.groupBy("query_id", "q_ata", "serial_number", "word").agg(F.count("*").alias("times"))
-    found = tokens.join(_words_within(tokens, asked), "token").select(*case, "word").distinct()
-    pairs = found.join(asked, "word").where(F.col("q_ata").isNull() | (F.col("q_ata") == F.col("ata")))
-    same = F.coalesce(F.col("serial_number") == F.col("aircraft_serial"), F.lit(False)).cast("int")
-    scored = pairs.groupBy("query_id", "id", "resolved_seq", same.alias("same")).agg(F.sum("times").alias("hits")).where(F.col("hits") >= least)
-    scored = scored.select("query_id", "id", "resolved_seq", (F.col("hits") + F.col("same")).cast("int").alias("score"))
+    case = F.struct("id", "ata", "aircraft_serial", "resolved_seq").alias("case")
+    # what is left of a text once it is cleaned and split at white space; shorter ones hold no keyword
+    said = F.array_distinct(F.split(F.lower(F.coalesce(F.col("problem"), F.lit(""))), "[^a-z0-9]+"))
+    tokens = solved.select(case, F.explode(F.filter(said, lambda t: F.length(t) > 3)).alias("token"))
+    asked = problems.select(F.struct("query_id", "serial_number").alias("question"), F.coalesce(F.concat(F.lit("="), "ata"), F.lit("*")).alias("place"), F.explode(keywords(F.col("problem"), stop_words=stop_words)).alias("word"))
+    asked = asked.groupBy("question", "place", "word").agg(F.count("*").alias("times"))
+    found = tokens.join(_words_within(tokens, asked), "token").select("case", "word").distinct()
+    # a case is met at its own system and by problems without one
+    placed = found.withColumn("place", F.explode(F.array_compact(F.array(F.concat(F.lit("="), "case.ata"), F.lit("*")))))
+    common = placed.groupBy("word", "place").agg(F.count("*").alias("cases"))
+    commonest = Window.partitionBy("question", "place").orderBy(F.desc("cases"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = asked.join(common, ["word", "place"]).withColumn("rare", F.sum("times").over(commonest) >= least).drop("cases")
+    first = placed.join(ranked.where("rare"), ["word", "place"]).select("question", "case", "times")
+    more = first.select("question", "case").distinct().join(ranked.where("not rare").select("question", "word", "times"), "question").join(found, ["case", "word"]).select("question", "case", "times")
+    same = F.coalesce(F.col("question.serial_number") == F.col("case.aircraft_serial"), F.lit(False)).cast("int")
+    scored = first.unionAll(more).groupBy("question", "case").agg(F.sum("times").alias("hits")).where(F.col("hits") >= least)
+    scored = scored.select("question.query_id", "case.id", "case.resolved_seq", (F.col("hits") + same).cast("int").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("resolved_seq"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")

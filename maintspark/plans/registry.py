@@ -116,7 +116,7 @@ _add("status_counts", _on(history.status_counts, "history"), "select count(*) as
 _add("recent", _on(lambda x: history.recent(x, "user_id", "diagnosis_started_at", 3).select("user_id", "id", "rank"), "downtime"), "select user_id, id, rk as rank from (select *, row_number() over (partition by user_id order by diagnosis_started_at desc, id) as rk from downtime) where rk <= 3")
 _add("facet_filter", _on(lambda h: history.facet_filter(h, "The", "24", "pending").select("id"), "history"), "select id from history where contains(lower(problem), 'the') and ata='24' and solution_status is distinct from 'resolved'")
 _add(
-    "similar_cases", _on(lambda p, h: history.similar_cases(p, h, stop_words=()), "problems", "history"),
+    "similar_cases", _on(lambda p, h: history.similar_cases(p, spread(h), stop_words=()), "problems", "history"),
     f"""select query_id, id, score, rk as rank from (select query_id, id, score, row_number() over (partition by query_id order by score desc, resolved_seq desc, id) as rk from (
     select query_id, id, resolved_seq, hits, hits + case when serial_number=aircraft_serial then 1 else 0 end as score from (select q.query_id, h.id, h.resolved_seq, serial_number, aircraft_serial, len(list_filter(words, lambda w: contains(clean, w))) as hits
     from (select query_id, ata, serial_number, {_WORDS} as words from problems) q join (select id, ata, aircraft_serial, resolved_seq, {_CLEAN} as clean from history where solution_status='resolved') h on q.ata is null or q.ata=h.ata) where hits >= 2)) where rk <= 3""",
@@ -125,7 +125,7 @@ _add(
 _TELLING = _WORDS.replace("length(w) > 3", f"length(w) > 3 and w not in {history.STOP_WORDS}")
 _add("telling_keywords", _on(lambda p: p.select("query_id", F.array_join(history.keywords(F.col("problem")), " ").alias("words")), "problems"), f"select query_id, array_to_string({_TELLING}, ' ') as words from problems")
 _add(
-    "telling_cases", _on(history.similar_cases, "problems", "history"),
+    "telling_cases", _on(lambda p, h: history.similar_cases(p, spread(h)), "problems", "history"),
     f"""select query_id, id, score, rk as rank from (select query_id, id, score, row_number() over (partition by query_id order by score desc, resolved_seq desc, id) as rk from (
     select query_id, id, resolved_seq, hits, hits + case when serial_number=aircraft_serial then 1 else 0 end as score from (select q.query_id, h.id, h.resolved_seq, serial_number, aircraft_serial, len(list_filter(words, lambda w: contains(clean, w))) as hits
     from (select query_id, ata, serial_number, {_TELLING} as words from problems) q join (select id, ata, aircraft_serial, resolved_seq, {_CLEAN} as clean from history where solution_status='resolved') h on q.ata is null or q.ata=h.ata) where hits >= 2)) where rk <= 3""",
