@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: The configurations.
 CONFIGURATIONS = {"SN": "Short Nose", "LN": "Long Nose", "ENH": "Enhanced", "PLUS": "Plus"}
-WIDTH = 1000
+#: Bits of a serial number, unless a highest one is given.
+BITS = 17
 
 
 def serial_digits(serial: Column) -> Column:
@@ -20,15 +21,42 @@ def serial_prefix(serial: Column) -> Column:
     return F.regexp_extract(serial, r"^\s*([0-9]+)", 1).try_cast("int")
 
 
-def interval_join(left: DataFrame, ranges: DataFrame, value: str, highest: int, how: str = "inner") -> DataFrame:
-    """left x ranges where serial_start <= value <= serial_end, by buckets of serials: an equi-join, whatever the sizes.
+def range_nodes(start: Column, end: Column, bits: int = BITS) -> Column:
+    """The fewest nodes of a binary tree over 0 .. 2**bits - 1 that cover a range: two a level at most. Nodes are numbered like a heap, the root is 1."""
+    one = F.lit(1).cast("long")
 
-    Ranges are cut at the highest value, so open ends don't fill buckets that nothing reaches.
+    def step(acc: Column, level: Column) -> Column:
+        a, b, there = acc["a"], acc["b"], acc["a"] <= acc["b"]
+        first = F.call_function("shiftleft", one, (F.lit(bits) - level).cast("int"))
+        # a right child at the left end, and a left child at the right end, stand for themselves
+        left, right = there & (a % 2 == 1), there & (b % 2 == 0)
+        ends = F.array_compact(F.array(F.when(left, first + a), F.when(right, first + b)))
+        a, b = F.when(left, a + 1).otherwise(a), F.when(right, b - 1).otherwise(b)
+        # an empty rest stays empty
+        return F.struct(F.when(a <= b, F.shiftright(a, 1)).otherwise(1 << 40).alias("a"), F.when(a <= b, F.shiftright(b, 1)).otherwise(-1).alias("b"), F.concat(acc["nodes"], ends).alias("nodes"))
+
+    begin = F.struct(F.greatest(start, F.lit(0)).cast("long").alias("a"), F.least(end, F.lit((1 << bits) - 1)).cast("long").alias("b"), F.array().cast("array<long>").alias("nodes"))
+    return F.when(start.isNotNull() & end.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(bits)), begin, step, lambda acc: acc["nodes"]))
+
+
+def value_nodes(value: Column, bits: int = BITS) -> Column:
+    """The nodes above a value, itself included: one a level."""
+    one, number = F.lit(1).cast("long"), value.cast("long")
+    path = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda level: F.call_function("shiftleft", one, (F.lit(bits) - level).cast("int")) + F.call_function("shiftright", number, level.cast("int")))
+    return F.when(value.between(0, (1 << bits) - 1), path)
+
+
+def interval_join(left: DataFrame, ranges: DataFrame, value: str, highest: int) -> DataFrame:
+    """left x ranges where serial_start <= value <= serial_end, by nodes of a binary tree: an equi-join, whatever the sizes.
+
+    A range becomes at most two nodes a level, open-ended ones as well, and a value meets exactly
+    one node of each range that holds it. Values above the highest or below 0 and nulls meet nothing.
     """
-    cut = ranges.withColumn("_end", F.least("serial_end", F.lit(highest))).where(F.col("serial_start") <= F.col("_end"))
-    cut = cut.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("serial_start") / WIDTH), F.floor(F.col("_end") / WIDTH)))).drop("_end")
-    keyed = left.withColumn("_bucket", F.floor(F.col(value) / WIDTH))
-    return keyed.join(cut, (keyed["_bucket"] == cut["_bucket"]) & F.col(value).between(F.col("serial_start"), F.col("serial_end")), how).drop("_bucket")
+    bits = max(1, highest.bit_length())
+    end = F.when(F.col("serial_end") > highest, highest).otherwise(F.col("serial_end"))
+    cut = ranges.withColumn("_node", F.explode(range_nodes(F.col("serial_start"), end, bits)))
+    keyed = left.where(F.col(value) <= highest).withColumn("_node", F.explode(value_nodes(F.col(value), bits)))
+    return keyed.join(cut, "_node").drop("_node")
 
 
 def resolve_configuration(aircraft: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -6,10 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def positions(df: DataFrame, order: tuple[str, ...] = ("id",), parts: int = 200) -> DataFrame:
+    """Adds _position (from 1) and _total: every row's place in the order, without a sort of all rows in one task.
+
+    A sample of the keys, ``parts`` of them at most, cuts the rows into ranges; it decides how even
+    the ranges are, not the result. Ranges are counted, the counts added up, and each range
+    numbers its own rows. The order should end with a unique column: equal keys lie in one range.
+    """
+    key = F.struct(*order)
+    kinds = dict(df.dtypes)
+    # the smallest hashes: a sample of bounded size that is the same on every run
+    sample = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(parts).orderBy("key").collect()
+    bounds = F.array(*(F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, r["key"], strict=True))) for r in sample))
+    dealt = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < key)) if sample else F.lit(0))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    every = Window.orderBy("_range")  # a row a range
+    before = counts.select("_range", (F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(before, "_range").withColumn("_position", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
+def pages(df: DataFrame, size: int = 20, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """All pages: every row with its 1-based ``page``."""
+    return positions(df, order).withColumn("page", F.ceil(F.col("_position") / size)).drop("_position", "_total")
+
+
 def page(df: DataFrame, number: int, size: int = 20, order: tuple[str, ...] = ("id",)) -> DataFrame:
-    """A 1-based page; beyond the last the last one, of no rows an empty one. Only the page's rows are sorted out."""
-    last = df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("pages")).first()["pages"]
-    return df.orderBy(*order).offset((min(max(number, 1), last) - 1) * size).limit(size)
+    """A 1-based page; beyond the last the last one, of no rows an empty one."""
+    last = F.ceil(F.col("_total") / size)
+    wanted = F.ceil(F.col("_position") / size) == F.least(F.lit(max(number, 1)).cast("long"), last)
+    return positions(df, order).where(wanted).orderBy(*order).drop("_position", "_total")
 
 
 def latest(df: DataFrame, at_col: str, n: int = 50, id_col: str = "id") -> DataFrame:

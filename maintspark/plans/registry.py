@@ -73,11 +73,6 @@ _add(
     "stock_alerts", _on(fleet.stock_alerts, "parts"),
     "select a.ata_code, critical, alert_parts from (select ata_code, bool_or(failure_rate > 20) as critical from parts group by 1) a left join (select ata_code, string_agg(part_number, ', ' order by rk) as alert_parts from (select *, row_number() over (partition by ata_code order by failure_rate desc, part_number) as rk from parts where failure_rate > 15) where rk <= 3 group by 1) b on a.ata_code=b.ata_code",
 )
-_add(
-    "upsert_from_replacements",
-    lambda spark, d: fleet.upsert_from_replacements(view(spark, d, "parts").where("failure_rate % 7 <> 0"), view(spark, d, "replacements")),
-    "select coalesce(p.part_number, r.part_on_pn) as part_number, coalesce(description, concat('Part ', r.part_on_pn)) as description, coalesce(p.ata_code, r.ata_code) as ata_code, coalesce(times_replaced,0)+coalesce(n,0) as times_replaced, coalesce(failure_rate,0) as failure_rate from (select * from parts where failure_rate % 7 <> 0) p full join (select part_on_pn, min(ata_code) as ata_code, count(*) as n from replacements group by 1) r on r.part_on_pn=p.part_number",
-)
 _add(
     "propagate_resolution",
     lambda spark, d: fleet.propagate_resolution(view(spark, d, "history").withColumn("diagnostic_query_id", F.col("id") * 2), view(spark, d, "downtime")).select("id", "solution_status"),
@@ -143,34 +138,19 @@ _add(
     lambda spark, d: extract.coverage(view(spark, d, "corpus").selectExpr("doc_id % 40 query_id", "doc_path"), F.contains("doc_path", F.lit("-24-"))),
     "select query_id, count(*) as docs, count(*) filter (where contains(doc_path, '-24-')) as matched, 0 as high, case when count(*) filter (where contains(doc_path, '-24-'))/count(*) >= 0.8 then 85 when count(*) filter (where contains(doc_path, '-24-'))/count(*) >= 0.5 then 65 when count(*) filter (where contains(doc_path, '-24-'))/count(*) >= 0.2 then 40 else 15 end as coverage from (select doc_id % 40 as query_id, doc_path from corpus) group by 1",
 )
-_add(
-    "maintenance_log", _on(lambda x: x.where("tsn >= 1000").select("id", "ata", "tsn"), "maintenance_logs"),
-    "select id, ata, tsn from maintenance_logs where tsn >= 1000",
-)
 _add(
     "escalation_gate",
     _on(lambda x: x.select("id", extract.evidence_score(F.col("downtime_minutes") % 12).alias("evidence")), "downtime"),
     "select id, case when m <= 0 then 0 when m <= 2 then 20 when m <= 4 then 40 when m <= 6 then 60 when m <= 9 then 80 else 100 end as evidence from (select id, downtime_minutes % 12 as m from downtime)",
 )
+_add("all_pages", _on(lambda h: records.pages(h.select("id", "ata")), "history"), "select id, ata, cast((row_number() over (order by id) - 1) // 20 + 1 as bigint) as page from history")
 _add("page", _on(lambda h: records.page(h.select("id", "ata"), 3), "history"), "select id, ata from history order by id limit 20 offset 40")
 _add("latest", _on(lambda x: records.latest(x.select("id", "aircraft_serial", "diagnosis_started_at"), "diagnosis_started_at").select("id", "aircraft_serial"), "downtime"), "select id, aircraft_serial from downtime order by diagnosis_started_at desc, id limit 50")
-_add("codes_without_ranges", _on(lambda c, r: records.codes_without_ranges(c, r.where("serial_start % 3 = 0")).select("code"), "part_codes", "part_code_ranges"), "select code from part_codes where code not in (select code from part_code_ranges where serial_start % 3 = 0)")
-_add(
-    "apply_solutions",
-    lambda spark, d: records.apply_solutions(view(spark, d, "history"), view(spark, d, "problems").selectExpr("query_id % 7 history_id", "cast(query_id as string) solution", "query_id submitted_at")).select("id", "solution_status", "solution"),
-    "select id, case when s.sol is not null then 'resolved' else solution_status end as solution_status, s.sol as solution from history left join (select query_id % 7 as hid, cast(max(query_id) as varchar) as sol from problems group by 1) s on s.hid = id",
-)
-_add(
-    "merge_unique",
-    _on(lambda c: records.merge_unique(c.where("doc_id % 3 = 0").selectExpr("1 query_id", "doc_path", "doc_id"), c.where("doc_id % 2 = 0").selectExpr("1 query_id", "doc_path", "doc_id")).select("doc_path", "doc_id"), "corpus"),
-    "select doc_path, doc_id from corpus where doc_id % 3 = 0 union all select doc_path, doc_id from corpus where doc_id % 2 = 0 and doc_path not in (select doc_path from corpus where doc_id % 3 = 0)",
-)
 _add(
     "selftest_summary",
     _on(lambda x: records.selftest_summary(x.selectExpr("tsn / 10.0D relevance", "tsn % 9 chunks", "id % 2 = 0 has_references")), "maintenance_logs"),
     "select count(*) as tests_run, avg(tsn / 10.0) as avg_relevance, avg(tsn % 9) as avg_chunks, case when bool_or(tsn % 9 = 0) then 'FAIL' else 'PASS' end as rag, case when bool_or(id % 2 = 0) then 'PASS' else 'FAIL' end as crew from maintenance_logs",
 )
-# The whole tables, where the queries of like names above read a part of them.
 _add(
     "upsert_from_all_replacements", _on(fleet.upsert_from_replacements, "parts", "replacements"),
     "select coalesce(p.part_number, r.part_on_pn) as part_number, coalesce(description, concat('Part ', r.part_on_pn)) as description, coalesce(p.ata_code, r.ata_code) as ata_code, coalesce(times_replaced,0)+coalesce(n,0) as times_replaced, coalesce(failure_rate,0) as failure_rate from parts p full join (select part_on_pn, min(ata_code) as ata_code, count(*) as n from replacements group by 1) r on r.part_on_pn=p.part_number",

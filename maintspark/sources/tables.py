@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -79,17 +80,44 @@ def new_documents(files: DataFrame, store: DataFrame) -> DataFrame:
     return files.join(store.select(F.col("doc_path").alias("_known")), F.col("path") == F.col("_known"), "left_anti")
 
 
-def append_new(spark: SparkSession, docs: DataFrame, path: str) -> None:
-    """Adds the documents whose paths the store doesn't have; of equal new paths the smallest row counts."""
+#: Buckets of a store.
+BUCKETS = 64
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a store, with their ``bucket``; only whole batches are there to be read."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
+def append_new(spark: SparkSession, docs: DataFrame, path: str, batch: str | int | None = None, buckets: int = BUCKETS) -> bool:
+    """Adds the documents whose paths the store doesn't have; of equal new paths the smallest row counts. False if the batch is there already.
+
+    A store is a folder a batch, in it a folder a bucket (by a hash of the path). Only buckets of
+    the new paths are read to find known ones. A batch is written beside the store and moved in
+    as a whole, so a batch that was cut off leaves nothing, and one with the same ``batch`` that
+    is run again writes nothing. The number of buckets of a store must stay the same.
+    """
+    batch = uuid.uuid4().hex if batch is None else batch
+    target, fs = _folder(spark, f"{path}/batch={batch}")
+    if fs.exists(target):
+        return False
     order = Window.partitionBy("doc_path").orderBy("text")
-    once = docs.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
-    try:
-        known = spark.read.parquet(path).select("doc_path")
-        once = once.join(known, "doc_path", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    once.write.mode("append").parquet(path)
+    once = docs.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn").withColumn("bucket", F.pmod(F.xxhash64("doc_path"), F.lit(buckets)).cast("int"))
+    if fs.globStatus(_folder(spark, f"{path}/batch=*")[0]):
+        touched = [r["bucket"] for r in docs.select(F.pmod(F.xxhash64("doc_path"), F.lit(buckets)).cast("int").alias("bucket")).distinct().collect()]  # ``buckets`` rows at most
+        known = read_store(spark, path).where(F.col("bucket").isin(touched)).select("bucket", "doc_path")
+        once = once.join(known, ["bucket", "doc_path"], "left_anti")
+    staged, _ = _folder(spark, f"{path}/_staged/{batch}")
+    once.write.mode("overwrite").partitionBy("bucket").parquet(staged.toString())
+    if not fs.rename(staged, target):
+        raise OSError(f"{staged.toString()} can't be moved to {target.toString()}")
+    return True
 
 
 def union_store(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -120,10 +120,11 @@ def recurrence(panes: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
 
 
 def ingest(files: DataFrame, path: str, checkpoint: str):
-    """Adds each batch's new documents to the store; the checkpoint resumes where the last run stopped."""
+    """Adds each batch's new documents to the store; the checkpoint resumes where the last run stopped, and a batch that is run again writes nothing."""
     from maintspark.sources.tables import append_new
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch.sparkSession, batch, path)
+    def write(batch: DataFrame, number: int) -> None:
+        # numbers of batches start anew with another checkpoint
+        append_new(batch.sparkSession, batch, path, f"{uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex}-{number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
