@@ -35,7 +35,7 @@ SCALE = 1_000_000_000
 #: Term ids of a block, about, and sources of a tile, about.
 BLOCK, TILE = 4096, 64
 #: Counts that a task holds before it hands them on.
-HELD = 300_000
+HELD = 600_000
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 20
 #: Letters in lower case and bytes above 127 stay; all else is a space.
@@ -53,15 +53,23 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+#: A document in a count: occurrences below, documents above.
+_DOC = 1 << 40
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, source, text (binary) to lang, source, term, n, docs; a null term for each group."""
     names = ["lang", "source", "term", "n", "docs"]
 
-    def out(groups: dict) -> pa.RecordBatch:
-        rows = [(*g, t, n[0], n[1]) for g, terms in groups.items() for t, n in terms.items()]
-        rows += [(*g, None, 0, 0) for g in groups]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names)
+    def out(groups: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in groups.items():
+            counts = np.fromiter(terms.values(), np.int64, len(terms))
+            rest = [pa.array(list(terms), pa.binary()), pa.array(counts % _DOC), pa.array(counts // _DOC)]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(counts)), pa.repeat(pa.scalar(source), len(counts)), *rest], names)
+        if groups:
+            langs, sources = (pa.array(c, pa.string()) for c in zip(*groups, strict=True))
+            zeros = pa.array(np.zeros(len(groups), np.int64))
+            yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(groups), pa.binary()), zeros, zeros], names)
 
     groups: dict = {}
     held = 0
@@ -72,18 +80,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts: Counter = Counter()
                 for words in words_of(text):
                     counts.update(words)
-                before = len(terms)
+                before, known = len(terms), terms.get
                 for t, n in counts.items():
-                    if (e := terms.get(t)) is None:
-                        terms[t] = [n, 1]
-                    else:
-                        e[0] += n
-                        e[1] += 1
+                    terms[t] = known(t, 0) + n + _DOC
                 held += len(terms) - before
                 if held > HELD:
-                    yield out(groups)
+                    yield from out(groups)
                     groups, held = {}, 0
-    yield out(groups)
+    yield from out(groups)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
