@@ -253,8 +253,8 @@ _add(
     shown as (select query_id, rank, doc_id, doc_path, score from top union all select query_id, coalesce((select max(rank) from top where top.query_id = best.query_id), 0) + 1, doc_id, doc_path, score from best where rn = 1)
     select query_id, rank, doc_id, doc_path, round(score, 4) as similarity_score, replace(replace(replace(string_split(doc_path, '/')[-1], 'dmc-', ''), '.xml', ''), '.pdf', '') as document_id from shown""",
 )
-#: DuckDB's expressions know no word characters beyond ASCII, so letters beyond it count as x there.
-_PLAIN = "regexp_replace(coalesce(diagnosis, ''), '[À-ÖØ-öø-ÿŒœſ]', 'x', 'g')"
+#: DuckDB's expressions know no word characters beyond ASCII, so letters beyond it count as _ there, which is one and in no pattern.
+_PLAIN = "regexp_replace(coalesce(diagnosis, ''), '[À-ÖØ-öø-ÿŒœſ]', '_', 'g')"
 
 
 def _sql_text(value: str) -> str:
