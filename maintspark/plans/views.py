@@ -32,7 +32,7 @@ VIEWS = {
     "problems": f"select item_id as query_id, text as problem, {serial('item_id')} as serial_number, case when item_id%5=0 then null else {ata('item_id')} end as ata from {{benchmark}}",
     "aircraft": f"select c_custkey as aircraft_id, case when c_custkey%97=0 then 'N/A' else concat('S/N ', {serial('c_custkey')}) end as serial_number from {{customer}}",
     "part_codes": "select concat('E', lpad(cast(s_suppkey as varchar(10)),4,'0')) as code, s_name as description, case when s_suppkey%50=7 then 1 else 0 end as is_deleted, case when s_suppkey%40=3 then 1 else 0 end as is_conditional from {supplier}",
-    "part_code_ranges": "select concat('E', lpad(cast(s_suppkey as varchar(10)),4,'0')) as code, 31000+(s_suppkey*997+k*4001)%30000 as serial_start, case when s_suppkey%20=0 and k=2 then 99999 else 31000+(s_suppkey*997+k*4001)%30000+(s_suppkey*31)%500 end as serial_end from {supplier} cross join (select 0 as k union all select 1 union all select 2) ks",
+    "part_code_ranges": "select concat('E', lpad(cast(s_suppkey as varchar(10)),4,'0')) as code, 31000+(s_suppkey*997+k*4001)%30000 as serial_start, case when s_suppkey%20=0 and k=2 then 99999 else 31000+(s_suppkey*997+k*4001)%30000+(s_suppkey*31)%500 end as serial_end from {supplier} cross join (select 0 as k union all select 1 union all select 2) ks where s_suppkey%25<>9",
     "part_effectivity": f"select {part('p_partkey')} as part_number, c as configuration_code, case when (p_partkey+i)%3=0 then 0 else 1 end as is_applicable from {{part}} cross join (select 0 as i, 'SN' as c union all select 1, 'LN' union all select 2, 'ENH' union all select 3, 'PLUS') cs where (p_partkey+i)%4<>0",
     "corpus": f"select doc_id, concat('xml_data/dmc-39-A-', {ata('doc_id')}, '-', lpad(cast(doc_id%100 as varchar(10)),2,'0'), '-00-00A-', lpad(cast(doc_id%1000 as varchar(10)),3,'0'), 'A-A.xml') as doc_path, embedding, text from {{documents}} join {{embeddings}} on vec_id=doc_id",
     "manuals": f"select doc_id, concat('xml_data/dmc-39-A-', case when doc_id%13=0 then 'AWDP' else {ata('doc_id')} end, '-0', cast(doc_id%10 as varchar(1)), '-00A-', lpad(cast(doc_id%1000 as varchar(10)),3,'0'), 'A-A.xml') as doc_path, embedding, concat(text, case doc_id%12 when 0 then ' The engine will not start. Start sequence of the starter generator before engine start.' when 1 then ' Fault isolation: does not start, crank the engine' when 2 then ' GEN HOT caution, temperature' when 3 then ' See the Wiring Diagram of the compressor' when 4 then ' Fault isolation of hot bleed air' when 5 then ' not starting: start cycle' when 6 then ' wiring data of the fuselage' when 7 then ' airframe structure' when 8 then ' airframe and cabin' when 10 then ' fuselage' when 11 then ' cabin door' else '' end) as text from {{documents}} join {{embeddings}} on vec_id=doc_id",
