@@ -7,7 +7,8 @@ header's CRC-8, each frame's CRC-16 and the stream's MD5, and decodes many frame
 the i-th residual of all of them at once.
 
 Null and empty payloads count as empty and are padded to one block. Equal payloads give
-equal streams. Rows don't depend on each other; repeated rows are kept. A stream that fails
+equal streams, which the query stores once. Repeated rows are kept; extra columns, whatever
+their names, are left out; an empty table gives an empty result. A stream that fails
 a check raises ``ValueError``.
 """
 
@@ -21,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import saved
+from .common import MOST_KEYS, saved
 
 BLOCK = 576
 RATE = 8000
@@ -361,16 +363,18 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator
         yield first, held
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches of an id or a key and a text: the same with n_bytes and the stream."""
+    for batch in batches:
+        for first, texts in _slices(batch, 1):
+            sized = [padded(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([n for n, _ in sized], pa.int64()), pa.array(encode([p for _, p in sized]), pa.binary())], [batch.schema.names[0], "n_bytes", "media"])
+
+
 def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and ``media``: each text's bytes as a FLAC stream in a binary column."""
 
-    def rows(batches):
-        for batch in batches:
-            for first, texts in _slices(batch, 1):
-                sized = [padded(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([n for n, _ in sized], pa.int64()), pa.array(encode([p for _, p in sized]), pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", f"`{text_col}` text").mapInArrow(rows, "doc_id long, n_bytes long, media binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", f"`{text_col}` text").mapInArrow(_coded, "doc_id long, n_bytes long, media binary")
 
 
 def read_blocks(media: DataFrame) -> DataFrame:
@@ -406,16 +410,45 @@ def features(payload: bytes) -> str:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Of batches of an id or a key, n_bytes and media."""
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
         for first, streams in _slices(batch, 2):
             got, n = decode(streams), len(streams)
             sha = lambda items: pa.array([hashlib.sha256(x).hexdigest() for x in items])
             columns = [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array([len(p) for p in got], pa.int64()), sha(got), pa.array([zlib.crc32(p[-32:]) for p in got], pa.int64())]
             columns += [pa.array([len(s) for s in streams], pa.int64()), sha(streams), pa.array([features(p) for p in got])]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], *names])
+
+
+#: Repeated texts whose digests are broadcast at most: about 300 bytes each.
+MOST_DIGESTS = 50_000
+
+
+def store_distinct(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables in the shared folder's terms: streams of texts that one row has (doc_id, n_bytes,
+    media), streams of texts that several have (key, n_bytes, media), and the rows of those (doc_id, key).
+
+    ``key`` is the text's SHA-256. A shared text is coded for the row with the smallest doc_id only;
+    repeated rows of one doc_id and text store it once each.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
+    keys = saved(whole.drop("text"), "media-keys")
+    again = saved(keys.groupBy("key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "media-repeated")
+    small = again.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    again = F.broadcast(again) if small else again
+    single = whole.join(again, "key", "left_anti").select("doc_id", "text")
+    firsts = whole.join(again, "key").where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("key", "text")
+    single = saved(single.mapInArrow(_coded, "doc_id long, n_bytes long, media binary"), "media")
+    shared = saved(firsts.mapInArrow(_coded, "key binary, n_bytes long, media binary"), "media-shared")
+    return single, shared, keys.join(again.select("key"), "key", "left_semi").select("doc_id", "key")
 
 
 def op4_media(docs: DataFrame) -> DataFrame:
-    """The digests of what is read back from the written media column; only those bytes are decoded."""
-    return saved(store_media(docs), "media").mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """The digests of what is read back from the written media column; only those bytes are decoded. Rows of one text share what is stored for it."""
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    single, shared, again = store_distinct(docs)
+    small = shared.select("key").limit(MOST_DIGESTS + 1).count() <= MOST_DIGESTS
+    digests = shared.mapInArrow(_digest, f"key binary, {schema}").dropDuplicates(["key"])
+    return single.mapInArrow(_digest, f"doc_id long, {schema}").unionByName(again.join(F.broadcast(digests) if small else digests, "key").drop("key"))

@@ -50,6 +50,19 @@ def test_digests_equal_brute_force(spark):
     assert media.op4_media(empty(spark)).collect() == []
 
 
+def test_copies_are_stored_once(spark):
+    docs = hard(spark, extra=["", "one", "one"])
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars").where("text = 'one' or length(text) = 70000"))
+    single, shared, again = media.store_distinct(docs)
+    texts = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    repeated = {t for _, t in texts if sum(u == t for _, u in texts) > 1}
+    assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, t in texts if t not in repeated)
+    assert again.count() == sum(t in repeated for _, t in texts) and {bytes(r.key) for r in shared.collect()} == {hashlib.sha256(t.encode()).digest() for t in repeated}
+    rows = media.op4_media(docs).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.payload_sha256) for r in rows)
+    assert got == sorted((i is None, i or 0, hashlib.sha256(media.padded(t)[1]).hexdigest()) for i, t in texts)
+
+
 def test_blocks(spark):
     blocks = media.read_blocks(media.store_media(hard(spark))).collect()
     got = {}
