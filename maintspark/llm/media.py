@@ -440,8 +440,8 @@ def store_distinct(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     again = F.broadcast(again) if small else again
     single = whole.join(again, "key", "left_anti").select("doc_id", "text")
     firsts = whole.join(again, "key").where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("key", "text")
-    single = saved(single.mapInArrow(_coded, "doc_id long, n_bytes long, media binary"), "media")
-    shared = saved(firsts.mapInArrow(_coded, "key binary, n_bytes long, media binary"), "media-shared")
+    single = saved(single.mapInArrow(_coded, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")  # seek tables repeat themselves
+    shared = saved(firsts.mapInArrow(_coded, "key binary, n_bytes long, media binary"), "media-shared", compression="zstd")
     return single, shared, keys.join(again.select("key"), "key", "left_semi").select("doc_id", "key")
 
 
