@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from maintspark.operators import effectivity as eff
 from maintspark.functions import text
-from maintspark.operators import assessment, extract, findings, fleet, history, lookups, manuals, records, reliability, retrieval
+from maintspark.operators import assessment, catalogue, extract, findings, fleet, history, lookups, manuals, records, reliability, retrieval
 
+from maintspark.sources import tables
 from maintspark.streaming import streams
 
 from .views import ata, duck, spread, view
@@ -396,3 +397,48 @@ _add(
     select ata_code, day, (select sum(n) from p b where b.ata_code = p.ata_code and b.day > p.day - 30 and b.day <= p.day)::bigint as n30, (select sum(n) from p b where b.ata_code = p.ata_code and b.day > p.day - 60 and b.day <= p.day)::bigint as n60,
     (select sum(n) from p b where b.ata_code = p.ata_code and b.day > p.day - 90 and b.day <= p.day)::bigint as n90 from p""",
 )
+
+
+_DOCUMENT = "replace(replace(replace(string_split(doc_path, '/')[-1], 'dmc-', ''), '.xml', ''), '.pdf', '')"
+_DMC = f"regexp_extract(doc_path, {_sql_text(text.DMC)}, 0)"
+_PATHS = "(select doc_id, doc_path from corpus union all select doc_id, doc_path from manuals union all select doc_id, 'xml_data/dmc-short' from manuals)"
+_add(
+    "dmc_codes",
+    _on(lambda c, m: c.select("doc_id", "doc_path").unionByName(m.select("doc_id", "doc_path")).unionByName(m.select("doc_id", F.lit("xml_data/dmc-short").alias("doc_path"))).select("doc_id", text.dmc_code(F.col("doc_path")).alias("code")), "corpus", "manuals"),
+    f"select doc_id, case when {_DMC} <> '' then {_DMC} when length({_DOCUMENT}) > 10 and contains({_DOCUMENT}, '-') then {_DOCUMENT} else '' end as code from {_PATHS}",
+)
+_EACH_PART = "list_concat(" * (len(findings.PARTS) - 1) + ", ".join(f"regexp_extract_all(diagnosis, {_sql_text(p.replace('(?i)', ''))}, 1{', ' + repr('i') if '(?i)' in p else ''})" + (")" if i else "") for i, (p, _) in enumerate(findings.PARTS))
+_add(
+    "affected_parts", _on(lambda d: d.select("query_id", F.array_join(F.transform(findings.part_numbers(F.col("diagnosis")), lambda r: r["part_number"]), ",").alias("parts")), "diagnoses"),
+    f"with x as (select query_id, list_filter(list_transform({_EACH_PART}, lambda w: upper(w)), lambda w: length(w) >= 6) as pn from (select query_id, coalesce(diagnosis, '') as diagnosis from diagnoses)) select query_id, coalesce(array_to_string(list_filter(pn, lambda w, i: list_position(pn, w) = i)[1:10], ','), '') as parts from x",
+)
+_CLASSES = ", ".join(f"case when {_matches('diagnosis', p)} then '{c}' end" for p, c in findings.CAUSE_CLASSES)
+_add(
+    "cause_classes", _on(lambda d: d.select("query_id", F.array_join(F.transform(findings.causes_by_keyword(F.col("diagnosis")), lambda r: F.concat_ws(":", r["cause"], r["probability"])), ";").alias("causes")), "diagnoses"),
+    f"with x as (select query_id, list_filter([{_CLASSES}], lambda c: c is not null)[1:3] as hits from (select query_id, coalesce(diagnosis, '') as diagnosis from diagnoses)) select query_id, case when len(hits) = 0 then 'Further investigation required:30' else array_to_string(list_transform(hits, lambda c, i: c || ':' || cast(45 - 10 * i as int)), ';') end as causes from x",
+)
+_add("active_experts", _on(lambda e: records.active_experts(e, "tenant 2").select("id", "name"), "experts"), "select id, name from experts where tenant_id = 'tenant 2' and available = 1 and deleted_at is null")
+_add(
+    "escalations", _on(lambda a, b: records.escalations(a, b).select("id", "ata", F.concat_ws(",", F.transform("bookings", lambda x: F.concat_ws(":", x["id"], x["expert_id"], x["status"]))).alias("booked")), "assessed", "bookings"),
+    "select a.id, a.ata, coalesce(booked, '') as booked from assessed a left join (select query_id, string_agg(concat(id, ':', expert_id, ':', status), ',' order by id, expert_id, status) as booked from bookings group by query_id) b on b.query_id = a.id where certainty_status = 'REQUIRE_EXPERT'",
+)
+_add(
+    "quick_checks", _on(lambda p, a, r, c: records.quick_check(p, eff.applicable_codes(a, r, c)), "pasted", "aircraft", "part_code_ranges", "part_codes"),
+    f"""with known as (select distinct serial, h.code as token from {_HITS} h join part_codes c on c.code = h.code where is_deleted = 0),
+    t as (select serial, configuration, unnest(list_distinct(list_transform(list_filter(string_split_regex(pasted, '[\s,;]+'), lambda w: w <> ''), lambda w: regexp_replace(upper(w), '^\*+', '')))) as token from pasted)
+    select t.serial, t.token, case when t.token in ('SN', 'LN', 'EN', 'ENH', 'EP', 'PLUS') then case t.token when 'EN' then 'ENH' when 'EP' then 'PLUS' else t.token end = configuration else k.token is not null end as applies from t left join known k on k.serial = t.serial and k.token = t.token""",
+)
+_add(
+    "parsed_ranges", _on(lambda r: r.select("id", F.array_join(F.transform(catalogue.parse_ranges(F.col("said")), lambda x: F.concat_ws("-", x["serial_start"], x["serial_end"])), ",").alias("ranges")), "range_texts"),
+    f"select id, case kind when 0 then concat(a, '-', b) when 1 then concat(a, '-', {catalogue.OPEN_END}) when 2 then concat({catalogue.OPEN_START}, '-', b) when 3 then concat(a, '-', {catalogue.OPEN_END}) when 4 then concat(a, '-', a, ',', b, '-', b) when 5 then case when a = b then concat(a, '-', a) else concat(a, '-', a, ',', b, '-', b) end end as ranges from range_texts",
+)
+_add("first_codes", _on(lambda r: records.first_code(r.selectExpr("code", "serial_start position")), "part_code_ranges"), "select code, min(serial_start) as position from part_code_ranges group by code")
+_add("new_documents", _on(lambda m, q: tables.new_documents(m.selectExpr("doc_id", "doc_path path"), m.join(q, F.col("doc_id") == F.col("query_id"), "left_semi").select("doc_path")), "manuals", "questions"), "select doc_id, doc_path as path from manuals where doc_path not in (select doc_path from manuals join questions on doc_id = query_id)")
+
+
+def _conversation_texts(spark, d):
+    talk = spark.read.parquet(f"{d}/conversations.parquet")
+    return tables.page_text(talk.selectExpr("conv_id path", "turn page", "text")).select(F.col("path").alias("conv_id"), "text")
+
+
+_add("conversation_texts", _conversation_texts, "select conv_id, coalesce(string_agg(text, chr(10) order by turn, text), '') as text from conversations group by conv_id")
