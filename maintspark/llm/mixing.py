@@ -7,9 +7,12 @@ capped at 1, calibrated so that the expected tokens equal the budget. The draw i
 doc_id and the seed: the same on every run and on every machine.
 
 Topics are clusters of a language's documents: k-means over hashed, weighted words, fitted on
-at most ``TOPIC_SAMPLE`` rows (those with the smallest hashes of doc_id) and given to every row.
-They are named language/number, number 0 the largest of the sample; a language with few sampled
-rows has one topic, as have texts without words.
+all rows that have words. Word weights count every such row, seeds are drawn from all of them
+in proportion to their distance, and each round assigns every row; a round is a Spark job over
+written vectors. Vectors and centres are whole numbers, so sums are exact and neither the order
+nor the partitions of the rows change a centre. Topics are named language/number, number 0 the
+largest; a language with fewer than ``FEWEST`` such rows has one topic, and texts without words
+have number 0. The driver holds 10 KB a language of ``FEWEST`` rows or more.
 
 Null source or language counts as ''. Null and empty texts have no tokens; they are kept like
 their cell. A margin's targets default to its own shares to the power ``temper``, made to sum
@@ -25,17 +28,23 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 MARGINS = ("_source", "_lang", "_topic")
-#: Topics of a language, rows the topics are fitted on, hashed words, and rows of a language below which it has one topic.
-TOPICS, TOPIC_SAMPLE, BUCKETS, FEWEST = 4, 4000, 256, 40
+#: Topics of a language, hashed words, and rows of a language below which it has one topic.
+TOPICS, BUCKETS, FEWEST = 4, 256, 40
+#: Vectors and centres have length 1 in these units.
+UNIT, CENTRE_UNIT = 32_767, 1 << 20
+#: Languages whose sums a task holds at once, before it hands them on.
+HELD = 500
 #: Cells that the driver rakes and broadcasts at most: about 100 bytes each.
 MAX_CELLS = 100_000
 
@@ -48,7 +57,7 @@ _seen: dict[str, int] = {}
 
 
 def word_counts(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """How often words of each hashed bucket occur, as log(1 + n)."""
+    """How often words of each hashed bucket occur."""
     words = Counter((text or "").lower().split())
     if len(_seen) > 200_000:
         _seen.clear()
@@ -58,7 +67,7 @@ def word_counts(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
         if h is None:
             h = _seen[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
         at.append(h % buckets)
-    return np.log1p(np.bincount(np.array(at, np.int64), np.fromiter(words.values(), np.float64, len(words)), buckets))
+    return np.bincount(np.array(at, np.int64), np.fromiter(words.values(), np.float64, len(words)), buckets)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -67,7 +76,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 30, seed: int = 5) -> np.ndarray:
-    """Unit centres of unit rows, the largest cluster's first; begun with rows drawn by their distance to those before."""
+    """Unit centres of unit rows in memory, the largest cluster's first; begun with rows drawn by their distance to those before. What ``fit_topics`` is held against."""
     rng = np.random.default_rng(seed)
     centres = x[rng.integers(len(x), size=1)]
     while len(centres) < k:
@@ -85,25 +94,172 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 30, seed: int = 5) -> np.ndarray
     return centres[np.argsort(-sizes, kind="stable")]
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """(word weights, centres) of each language that has enough of the sampled rows."""
-    order = F.xxhash64(F.lit(3), F.col("doc_id").cast("long"))
-    first = docs.where("text is not null").select(order.alias("h")).orderBy("h").limit(sample)  # a row a sampled document, 8 bytes
-    near = first.agg(F.max("h")).first()[0]
-    if near is None:
-        return {}
-    count = F.udf(lambda t: word_counts(t).tolist(), "array<double>")
-    # bounded once more: rows of one id have one hash
-    rows = docs.where(F.col("text").isNotNull() & (order <= near)).select(order.alias("h"), F.crc32(F.col("text").cast("binary")).alias("c"), F.coalesce("lang", F.lit("")).alias("lang"), "text").orderBy("h", "c", "lang").limit(sample)
-    rows = rows.select("lang", count("text").alias("x")).collect()
-    model = {}
-    for lang in sorted({r["lang"] for r in rows}):
-        x = np.array([r["x"] for r in rows if r["lang"] == lang])
-        if len(x) >= FEWEST:
-            weight = np.log((1 + len(x)) / (1 + (x > 0).sum(0)))
-            x = _unit(x * weight)
-            x = x[np.lexsort(x.T)]  # the same centres in whatever order the rows come
-            model[lang] = (weight, kmeans(x, topics))
+def vectors(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logarithms of counts at length 1, in whole units."""
+    return np.rint(_unit(np.log1p(counts) * weight) * UNIT).astype("<i2")
+
+
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _by_lang(langs: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language with its rows."""
+    coded = langs.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    for i, lang in enumerate(coded.dictionary.to_pylist()):
+        yield lang, np.flatnonzero(codes == i)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with counts of words in the place of their text, the last column."""
+    for batch in batches:
+        counts = [word_counts(t).astype("<i4").tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.binary())], [*batch.schema.names[:-1], "counts"])
+
+
+def _partial(kept: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array([v.tobytes() for v in kept.values()], pa.binary())], ["_lang", "sums"])
+
+
+def _summed(rows: DataFrame, add) -> DataFrame:
+    """_lang, sums: what ``add`` (of a batch: pairs of a language and whole numbers) finds in all rows of the language."""
+
+    def part(batches):
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, found in add(batch):
+                kept[lang] = kept[lang] + found if lang in kept else found
+            if len(kept) > HELD:
+                yield _partial(kept)
+                kept = {}
+        yield _partial(kept)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:  # a row a task and language
+        total = sum(np.frombuffer(x, "<i8") for x in pdf["sums"])
+        return pd.DataFrame({"_lang": pdf["_lang"].iloc[:1], "sums": [total.tobytes()]})
+
+    schema = "_lang string, sums binary"
+    return rows.mapInArrow(part, schema).groupBy("_lang").applyInPandas(whole, schema)
+
+
+def _word_weights(counted: DataFrame) -> dict[str, np.ndarray]:
+    """Word weights of each language that has enough rows with words."""
+
+    def add(batch):
+        counts = _matrix(batch.column(1), "<i4")
+        for lang, at in _by_lang(batch.column(0)):
+            mine = counts[at] > 0
+            yield lang, np.concatenate([[mine.any(1).sum()], mine.sum(0)]).astype("<i8")
+
+    size = F.udf(lambda b: int(np.frombuffer(b, "<i8", 1)[0]), "long")
+    out = {}
+    for lang, sums in _summed(counted.select("_lang", "counts"), add).where(size("sums") >= FEWEST).collect():
+        n, *df = np.frombuffer(sums, "<i8").tolist()
+        out[lang] = np.log((1 + n) / (1 + np.array(df)))
+    return out
+
+
+def _weighted(batches: Iterator[pa.RecordBatch], weights: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows with their vector in the place of their counts; null in languages of one topic."""
+    for batch in batches:
+        langs, counts = batch.column(batch.schema.get_field_index("_lang")), _matrix(batch.column(batch.num_columns - 1), "<i4")
+        out: list[bytes | None] = [None] * batch.num_rows
+        for lang, at in _by_lang(langs):
+            if lang in weights:
+                for i, x in zip(at.tolist(), vectors(counts[at], weights[lang]), strict=True):
+                    out[i] = x.tobytes()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*batch.schema.names[:-1], "x"])
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, whole product with it) of each row; ties go to the first."""
+    products = x.astype(np.float64) @ centres.T.astype(np.float64)  # below 2**53, so exact
+    own = products.argmax(1)
+    return own, products[np.arange(len(x)), own]
+
+
+def _in_units(x: np.ndarray) -> np.ndarray:
+    return np.rint(_unit(x.astype(np.float64)) * CENTRE_UNIT).astype("<i8")
+
+
+def _next_seed(rows: DataFrame, model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row more a language, of all rows, drawn in proportion to their distance to the centres before."""
+
+    def drawn(batches):
+        for batch in batches:
+            x, h = _matrix(batch.column(2), "<i2"), batch.column(1).to_numpy()
+            key = -np.log(((h.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53))
+            langs, keys, best = [], [], []
+            for lang, at in _by_lang(batch.column(0)):
+                size, far = np.linalg.norm(x[at].astype(np.float64), axis=1), (x[at] != 0).any(1).astype(np.float64)
+                if len(model[lang]):
+                    own, product = _nearest(x[at], model[lang])
+                    far *= 1 - product / np.maximum(size * np.linalg.norm(model[lang].astype(np.float64), axis=1)[own], 1)
+                apart = far > 1e-6  # else a copy of a centre
+                if apart.any():
+                    key_at = np.where(apart, key[at] / np.maximum(far, 1e-6), np.inf)
+                    first = key_at.argmin()
+                    langs.append(lang)
+                    keys.append(float(key_at[first]))
+                    best.append(x[at[first]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.float64()), pa.array(best, pa.binary())], ["_lang", "key", "x"])
+
+    least = rows.select("_lang", "h", "x").mapInArrow(drawn, "_lang string, key double, x binary").groupBy("_lang").agg(F.min(F.struct("key", "x")).alias("least"))
+    return {r[0]: np.frombuffer(r[1], "<i2") for r in least.select("_lang", "least.x").collect()}
+
+
+def _round(rows: DataFrame, model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of each language and centre: the number of its rows and their sum."""
+
+    def add(batch):
+        x = _matrix(batch.column(1), "<i2")
+        for lang, at in _by_lang(batch.column(0)):
+            mine = x[at]
+            mine = mine[(mine != 0).any(1)]
+            own = _nearest(mine, model[lang])[0]
+            yield lang, np.vstack([np.concatenate([[(own == i).sum()], mine[own == i].sum(0, dtype=np.int64)]) for i in range(len(model[lang]))]).astype("<i8").ravel()
+
+    return {lang: np.frombuffer(sums, "<i8").reshape(-1, BUCKETS + 1) for lang, sums in _summed(rows.select("_lang", "x"), add).collect()}
+
+
+def _centres(rows: DataFrame, langs: list[str], topics: int, rounds: int = 30) -> dict[str, np.ndarray]:
+    """Centres of each language, the largest cluster's first: k-means over every row that has a vector."""
+    model = {lang: np.empty((0, BUCKETS), np.int64) for lang in langs}
+    for _ in range(topics):
+        for lang, x in _next_seed(rows.where(F.col("_lang").isin(list(model))), model).items():
+            model[lang] = np.vstack([model[lang], _in_units(x)])
+    sizes: dict[str, np.ndarray] = {}
+    moving = {lang for lang in langs if len(model[lang])}
+    for _ in range(rounds):
+        if not moving:
+            break
+        for lang, sums in _round(rows.where(F.col("_lang").isin(sorted(moving))), {m: model[m] for m in moving}).items():
+            n, old = sums[:, 0], model[lang]
+            new = np.where(n[:, None] > 0, _in_units(sums[:, 1:]), old)
+            model[lang], sizes[lang] = new, n
+            if np.abs(new - old).max() <= CENTRE_UNIT * 1e-4:
+                moving.discard(lang)
+    return {lang: model[lang][np.argsort(-sizes[lang], kind="stable")] for lang in langs if lang in sizes}
+
+
+def _fitted(docs: DataFrame, keep: tuple[str, ...], topics: int) -> tuple[DataFrame, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """(written rows with the columns ``keep``, _lang, h and x; model). ``docs`` has _lang."""
+    ids = F.xxhash64(F.lit(3), F.col("doc_id").cast("long"), "text").alias("h")
+    rows = docs.select(*keep, "_lang", ids, "text")
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text").dtypes)
+    counted = saved(rows.mapInArrow(_counted, f"{schema}, counts binary"), "mixing-words", compression="zstd")
+    weights = _word_weights(counted)
+    weighed = saved(counted.mapInArrow(lambda it: _weighted(it, weights), f"{schema}, x binary"), "mixing-vectors", compression="zstd")
+    discard(counted)
+    centres = _centres(weighed.where("x is not null"), sorted(weights), topics) if weights else {}
+    return weighed, {lang: (weights[lang], c) for lang, c in centres.items()}
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(word weights, centres) of each language that has enough rows with words, fitted on all of them."""
+    rows, model = _fitted(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("_lang")), (), topics)
+    discard(rows)
     return model
 
 
@@ -115,12 +271,27 @@ def topic_of(text: Column, lang: Column, model: dict) -> Column:
         out = []
         for t, one in zip(texts, langs, strict=True):
             weight, centres = model.get(one, (None, None))
-            out.append(f"{one}/{0 if weight is None else int((centres @ (word_counts(t) * weight)).argmax())}")
+            out.append(f"{one}/{0 if weight is None else int(_nearest(vectors(word_counts(t), weight)[None], centres)[0][0])}")
         return pd.Series(out, dtype=object)
 
     return nearest(text, F.coalesce(lang, F.lit("")))
 
 
+def _topic_of_vector(x: Column, lang: Column, model: dict) -> Column:
+    """The same of vectors that are written already."""
+
+    @F.pandas_udf("string")
+    def nearest(xs: pd.Series, langs: pd.Series) -> pd.Series:
+        out = np.array([f"{one}/0" for one in langs], dtype=object)
+        for lang, at in langs.groupby(langs).indices.items():
+            if lang in model:
+                own = _nearest(np.frombuffer(b"".join(xs.iloc[at]), "<i2").reshape(len(at), -1), model[lang][1])[0]
+                out[at] = [f"{lang}/{i}" for i in own.tolist()]
+        return pd.Series(out, dtype=object)
+
+    return nearest(x, lang)
+
+
 def rake(counts: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Cells fitted to the targets of each margin in turn; they sum to 1. Empty cells stay empty."""
     fitted, worst = counts / counts.sum(), 0.0
@@ -266,7 +437,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
 def op10_mixing(spark: SparkSession, docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept for every document."""
     docs = docs.select("doc_id", "text", "source", "lang")
-    narrow = saved(_labelled(docs, topic_of(F.col("text"), F.col("lang"), fit_topics(docs))).drop("text", "source", "lang"), "mixing")
+    rows, model = _fitted(_labelled(docs, F.lit("")), ("doc_id", "_source", "_tokens"), TOPICS)  # vectors instead of texts from here
+    narrow = saved(rows.select("doc_id", "_source", "_lang", "_tokens", _topic_of_vector(F.col("x"), F.col("_lang"), model).alias("_topic")), "mixing")
+    discard(rows)
     out = narrow.join(cell_weights(narrow, nested=True), [*MARGINS])
     return out.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),

@@ -1,7 +1,7 @@
 import numpy as np
 
 from maintspark.llm.common import read
-from maintspark.llm.mixing import TOPICS, calibrate, cell_weights, fit_topics, kmeans, mix, op10_mixing, rake, topic_of
+from maintspark.llm.mixing import TOPICS, UNIT, calibrate, cell_weights, fit_topics, kmeans, mix, op10_mixing, rake, topic_of, vectors, word_counts
 
 from .cases import HARD, clashing, empty, hard
 
@@ -98,3 +98,27 @@ def test_topics_follow_words(spark):
     again = fit_topics(docs.repartition(3))
     assert all(np.allclose(again[k][1], model[k][1]) for k in model)
     assert fit_topics(docs.limit(0)) == {} and len(kmeans(np.ones((5, 1)), 3)) == 1
+
+
+def test_topics_are_fitted_on_all_rows(spark):
+    themes = ["engine oil pump blade", "wing flap slat rudder", "cabin seat light door", "radio antenna pilot mic"]
+    rare = spark.createDataFrame([(i, " ".join(np.random.default_rng(i).choice(themes[i % 4].split(), 40)), "zz") for i in range(60)], "doc_id long, text string, lang string")
+    docs = rare.union(spark.range(1000, 31000).selectExpr("id", "concat('word', id % 7, ' word', id % 11) text", "'en' lang"))
+    model = fit_topics(docs)
+    got = {r.doc_id: r.t for r in rare.select("doc_id", topic_of(rare.text, rare.lang, model).alias("t")).collect()}
+    assert len({(i % 4, t) for i, t in got.items()}) == len(set(got.values())) == TOPICS  # 60 of 30,060 rows: few of them were in a sample
+    again = fit_topics(docs.repartition(5))
+    assert all(np.array_equal(again[k][0], model[k][0]) and np.array_equal(again[k][1], model[k][1]) for k in model)
+    assert model.keys() == {"en", "zz"}
+
+
+def test_topics_are_as_close_as_in_memory(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").where("lang = 'en'")
+    weight, centres = fit_topics(docs)["en"]
+    counts = np.array([word_counts(r.text) for r in docs.select("text").collect()])
+    counts = counts[counts.any(1)]
+    assert np.allclose(weight, np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))))
+    x = vectors(counts, weight) / UNIT
+    unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    local = max(((x @ kmeans(x, TOPICS, seed=s).T).max(1).mean() for s in range(3)))
+    assert (x @ unit.T).max(1).mean() >= 0.97 * local
