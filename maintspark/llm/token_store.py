@@ -12,6 +12,7 @@ Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -39,15 +40,14 @@ _PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 _PIECE = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+| ?[0-9]+| ?[^ A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
 
 
-def _byte_names() -> dict[int, int]:
+def _byte_names() -> str:
     """The character that stands for each byte: itself if printable in Latin-1, else the next one from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+    return "".join(chr(b if b in shown else 256 + hidden.index(b)) for b in range(256))
 
 
 _BYTE_NAMES = _byte_names()
-SPACE_NAME = chr(_BYTE_NAMES[0x20])
 #: Letters below this are letters to the tokenizer and to Python alike.
 LAST_PLAIN = "\u0180"
 #: Marks after a word that are a piece by themselves.
@@ -58,16 +58,23 @@ LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(25
 
 
 class Known(dict):
-    """Ids by chunk; a missing one comes from the generation before, or is encoded."""
+    """Ids by chunk without the ``before`` that it begins with; a missing one comes from the generation before, or is encoded."""
 
-    def __init__(self, encode, older):
-        self.encode, self.older = encode, older
+    def __init__(self, encode, before, older):
+        self.encode, self.before, self.older = encode, before, older
 
     def __missing__(self, chunk: str) -> bytes:
-        got = self.older[chunk] if chunk in self.older else self.encode(chunk)
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.encode(self.before, chunk)
         self[chunk] = got
         return got
 
+    def renewed(self) -> Known:
+        """A generation after this one, which is the last before it."""
+        self.older = {}
+        return Known(self.encode, self.before, self)
+
 
 class Encoder:
     """Encodes texts with a public tokenizer, remembering the ids of word-sized chunks."""
@@ -79,47 +86,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = Known(self._ids, {})
+        # chunks as they are, and words that have a space before them
+        self.plain, self.spaced = Known(self._ids, "", {}), Known(self._ids, " ", {})
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Pieces whose ids, put together, are the ids of the text: words with the space before them, and line ends."""
+    def _pieces(self, text: str) -> list[bytes]:
+        """Ids of pieces whose ids, put together, are the ids of the text: words with the space before them, and line ends."""
         if not text:
             return []
-        single = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or text[0].isspace() or text[-1].isspace())
-        if single:
-            words, gaps = text.split(), text.count(" ") + text.count("\n")
-            # as many words as single spaces and line ends make, and no other white space
-            if len(words) == gaps + 1 and len(text) == len("".join(words)) + gaps:
-                return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return _GAP.split(text)
-
-    def _ids(self, chunk: str) -> bytes:
-        space = chunk[0] == " "
-        word = chunk[1:] if space else chunk
-        if word.isalpha() and max(word) < LAST_PLAIN:  # most are one run of letters
-            return self._piece(chunk)
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        out = []
+        for line in text.split("\n"):
+            words, gaps = line.split(), line.count(" ")
+            # as many words as single spaces make, and no other white space
+            if len(words) != gaps + 1 or len(line) != len("".join(words)) + gaps:
+                return [plain(chunk) for chunk in _GAP.split(text)]
+            if out:
+                out.append(plain("\n"))
+            out.append(plain(words[0]))
+            out += map(spaced, words[1:])
+        return out
+
+    def _ids(self, before: str, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or max(word) < LAST_PLAIN):  # most are one run of letters
+            return self._piece(before + word)
         if word[-1:] in ENDINGS and word[:-1].isalpha():
-            return self.cache[chunk[:-1]] + self.cache[word[-1]]
-        if not _PLAIN.fullmatch(word) or any(s in chunk for s in self.special):
+            return (self.spaced if before else self.plain)[word[:-1]] + self.plain[word[-1]]
+        chunk = before + word
+        if not _PLAIN.fullmatch(word[1:] if word[0] == " " else word) or any(s in chunk for s in self.special):
             return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = _PIECE.findall(chunk)
-        return b"".join(map(self.cache.__getitem__, pieces)) if len(pieces) > 1 else self._piece(chunk)
+        return b"".join(map(self.plain.__getitem__, pieces)) if len(pieces) > 1 else self._piece(chunk)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece, by the tokenizer's model."""
-        if piece.isascii():
-            named = SPACE_NAME + piece[1:] if piece[0] == " " else piece
-        else:
-            named = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+        named = codecs.charmap_decode(piece.encode(), "strict", _BYTE_NAMES)[0]
         return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = Known(self._ids, self.cache)
-            self.cache.older.older = {}
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, self.chunks(t))), dtype="<u4") for t in texts]
+        if len(self.plain) + len(self.spaced) > CACHE_CHUNKS:
+            self.plain, self.spaced = self.plain.renewed(), self.spaced.renewed()
+        return [np.frombuffer(b"".join(self._pieces(t)), dtype="<u4") for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -65,3 +65,16 @@ def test_ids_equal_the_tokenizers():
     texts += ["".join(rng.choice(letters[:6]) + rng.choice(spaces[:5]) for _ in range(rng.randint(1, 9))) for _ in range(5_000)]
     for text, got in zip(texts, encoder.encode(texts), strict=True):
         assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_few_calls_of_the_model():
+    """Words are told apart from the spaces and line ends between them, and encoded once in two generations."""
+    encoder = Encoder(PATH)
+    calls = []
+    encoder.plain.encode = encoder.spaced.encode = lambda before, word: calls.append(before + word) or encoder._ids(before, word)
+    text = "one two two\nthree two éa\none two."
+    first = encoder.encode([text, text])
+    assert sorted(calls) == sorted(["one", " two", "\n", "three", " éa", " two.", "."])
+    encoder.plain, encoder.spaced = encoder.plain.renewed(), encoder.spaced.renewed()
+    assert [x.tolist() for x in encoder.encode([text, text])] == [x.tolist() for x in first] and len(calls) == 7
+    assert first[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
