@@ -122,8 +122,8 @@ def _partial(kept: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array([v.tobytes() for v in kept.values()], pa.binary())], ["_lang", "sums"])
 
 
-def _summed(rows: DataFrame, add) -> DataFrame:
-    """_lang, sums: what ``add`` (of a batch: pairs of a language and whole numbers) finds in all rows of the language."""
+def _summed(rows: DataFrame, add, least: int = 0) -> DataFrame:
+    """_lang, sums: what ``add`` (of a batch: pairs of a language and whole numbers) finds in all rows of the language; where the first sum is ``least`` or more."""
 
     def part(batches):
         kept: dict[str, np.ndarray] = {}
@@ -137,7 +137,7 @@ def _summed(rows: DataFrame, add) -> DataFrame:
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:  # a row a task and language
         total = sum(np.frombuffer(x, "<i8") for x in pdf["sums"])
-        return pd.DataFrame({"_lang": pdf["_lang"].iloc[:1], "sums": [total.tobytes()]})
+        return pd.DataFrame({"_lang": pdf["_lang"].iloc[:1], "sums": [total.tobytes()]})[: int(total[0] >= least)]
 
     schema = "_lang string, sums binary"
     return rows.mapInArrow(part, schema).groupBy("_lang").applyInPandas(whole, schema)
@@ -152,9 +152,8 @@ def _word_weights(counted: DataFrame) -> dict[str, np.ndarray]:
             mine = counts[at] > 0
             yield lang, np.concatenate([[mine.any(1).sum()], mine.sum(0)]).astype("<i8")
 
-    size = F.udf(lambda b: int(np.frombuffer(b, "<i8", 1)[0]), "long")
     out = {}
-    for lang, sums in _summed(counted.select("_lang", "counts"), add).where(size("sums") >= FEWEST).collect():
+    for lang, sums in _summed(counted.select("_lang", "counts"), add, FEWEST).collect():
         n, *df = np.frombuffer(sums, "<i8").tolist()
         out[lang] = np.log((1 + n) / (1 + np.array(df)))
     return out
