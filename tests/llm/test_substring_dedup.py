@@ -105,3 +105,35 @@ def test_one_id_with_different_texts(spark):
         kept = bytes(b for i, b in enumerate(raw) if i not in cut)
         want.append((d, len(raw), len(cut), sum(1 for i in cut if i - 1 not in cut), hashlib.sha256(kept).hexdigest()))
     assert got == sorted(want)
+
+
+def test_each_string_is_in_one_window_and_equal_ones_share_the_anchor():
+    rng = np.random.default_rng(8)
+    parts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (30, 55, 80, 200)] + [b"z" * 300, b"ab" * 70, b"", b"\0" * 90]
+    raws = [b"".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 6))) for _ in range(60)] + [b"", b"x" * 49, b"x" * 50]
+    sizes = np.array([len(r) for r in raws])
+    raw, begins = b"".join(raws), np.cumsum(sizes) - sizes
+    start, stop, doc, anchor = substring_dedup.windows_of(raw, sizes, 50)
+    key = substring_dedup.keys_of(raw, start, stop, 50, 7)
+    seen, known, strings = {}, {}, []
+    for a, z, d, x, k in zip(*(v.tolist() for v in (start, stop, doc, anchor, key)), strict=True):
+        assert 0 < z - a <= 27 and begins[d] <= a and z + 49 <= begins[d] + sizes[d]
+        assert known.setdefault(k, raw[a : z + 49]) == raw[a : z + 49]
+        strings += range(a, z)
+        assert all(seen.setdefault(raw[i : i + 50], x) == x for i in range(a, z))
+    assert len(known) == len({raw[a : z + 49] for a, z in zip(start.tolist(), stop.tolist())})
+    assert strings == [b + i for b, n in zip(begins.tolist(), sizes.tolist()) for i in range(n - 49)]
+
+
+def test_whole_copies_write_no_row_a_window(spark, monkeypatch):
+    """Anchors of one document or of equal windows are neither written nor shuffled one by one; the chunks and parts are many."""
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 123, 3000).astype(np.uint8)).decode() for _ in range(40)]
+    docs = clashing(hard(spark, texts + texts[:20] + [texts[0][:1000] + "?" + texts[1][:1000]]))
+    save, written = substring_dedup.saved, []
+    monkeypatch.setattr(substring_dedup, "saved", lambda df, *a, **b: (out := save(df, *a, **b), written.append(out.count()))[0])
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 50_000, raising=False)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sum(written) < 1000  # the texts have about 13,000 windows
