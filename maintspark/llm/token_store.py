@@ -30,7 +30,8 @@ from .common import shared_path
 END_ID = 2
 #: Ids in a block, at which it is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
-CACHE_CHUNKS = 200_000
+#: Chunks of a generation that a worker remembers, about 200 bytes each; two generations at most.
+CACHE_CHUNKS = 800_000
 BLOCK_SCHEMA = "shard int, start_in_shard long, n_ids long, doc_ids binary, lengths binary, table binary, control binary, data binary"
 #: Where a piece of the byte-level pattern always begins: a space between two characters that aren't white space.
 _GAP = re.compile(r"(?<=\S)(?= \S)")

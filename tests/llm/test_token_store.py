@@ -78,3 +78,14 @@ def test_few_calls_of_the_model():
     encoder.plain, encoder.spaced = encoder.plain.renewed(), encoder.spaced.renewed()
     assert [x.tolist() for x in encoder.encode([text, text])] == [x.tolist() for x in first] and len(calls) == 7
     assert first[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_a_long_run_are_remembered():
+    """Half a million other words, as some 50 MB of text have, don't make the first ones be encoded again."""
+    encoder = Encoder(PATH)
+    calls = []
+    encoder.plain.encode = encoder.spaced.encode = lambda before, word: calls.append(word) or b"\1\0\0\0"
+    texts = [" ".join(f"w{i}" for i in range(k, k + 10_000)) for k in range(0, 500_000, 10_000)]
+    for text in [*texts, texts[0]]:
+        encoder.encode([text])
+    assert len(calls) == 500_000
