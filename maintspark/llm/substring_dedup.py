@@ -8,7 +8,7 @@
 3. A chunk tells each of its anchors once: a hash of its windows (or that they differ) and
    the smallest and the largest id. Anchors meet in parts whose number grows with the text.
    An anchor of one id takes nothing from anyone. One whose windows are all equal (known by
-   their anchor and a hash, 112 bits together) is settled: its strings have the windows' ids.
+   their anchor and a hash, 111 bits together) is settled: its strings have the windows' ids.
    Bytes are written of the other anchors' windows only. Of those, equal windows become one,
    with the smallest and the largest id, before anything is gathered.
 4. Distinct windows are dealt by their anchor into groups whose number grows with them. A
