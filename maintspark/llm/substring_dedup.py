@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, mix64, saved
@@ -42,6 +42,8 @@ from .common import discard, free_shuffles, mix64, saved
 GRAM = 24
 #: Bytes of text in a chunk, about; a longer document is a chunk of its own.
 CHUNK_BYTES = 2_000_000
+#: Bytes of an Arrow batch: a chunk is a row, and a batch is held whole by the JVM and by Python.
+BATCH_BYTES = "4m"
 #: Bytes of text whose anchors meet in one part, about.
 PART_BYTES = 12_000_000
 #: Bits of an anchor.
@@ -52,6 +54,15 @@ PLACE_BYTES = 120_000
 GROUP_BYTES = 4_000_000
 #: Distinct windows of one anchor; of more, the strings are grouped by themselves.
 MOST = 1_500
+#: Places or intervals that are worked on at once: temporary arrays stay small.
+BLOCK = 1 << 16
+
+
+def _few_chunks(spark: SparkSession) -> None:
+    """Bounds the bytes of batches that go to Python workers, unless the session already says something else than Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64m") == "64m":
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def windows_of(raw: bytes, sizes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -59,18 +70,10 @@ def windows_of(raw: bytes, sizes: np.ndarray, least: int) -> tuple[np.ndarray, .
     n, slots, ends = len(raw), least - GRAM + 1, np.cumsum(sizes)
     if n < least:
         return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64))
-    mixed = _words(raw)[: n + GRAM].copy()
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    h = mixed[:n] ^ (mixed[:n] >> np.uint64(29))
-    for j in range(8, GRAM, 8):
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h += mixed[j : n + j]
-    h = mix64(h)
-    low, span = h, 1
-    while 2 * span <= slots:
-        low, span = np.minimum(low[: len(low) - span], low[span:]), 2 * span
-    low = np.minimum(low[: n - slots + 1], low[slots - span : n - span + 1])
+    words, low = _words(raw), np.empty(n - slots + 1, np.uint64)
+    for i in range(0, len(low), BLOCK):
+        some = low[i : i + BLOCK]
+        _least_hashes(words[i : i + len(some) + slots - 1 + GRAM], some, slots)
     # a window ends where the anchor changes, a document begins, or too few bytes are left of one
     change = np.concatenate([[True], low[1:] != low[:-1]])
     for border in (ends - sizes, np.maximum(ends - least + 1, ends - sizes)):
@@ -85,6 +88,21 @@ def windows_of(raw: bytes, sizes: np.ndarray, least: int) -> tuple[np.ndarray, .
     return first, np.minimum(first + slots, stop[which]), doc[which], mix64(low[first]) >> np.uint64(64 - ANCHOR_BITS)
 
 
+def _least_hashes(words: np.ndarray, out: np.ndarray, slots: int) -> None:
+    """The smallest hash of the ``slots`` grams from each place on."""
+    n = len(out) + slots - 1
+    mixed = words ^ (words >> np.uint64(32))
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    h = mixed[:n] ^ (mixed[:n] >> np.uint64(29))
+    for j in range(8, GRAM, 8):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += mixed[j : n + j]
+    low, span = mix64(h), 1
+    while 2 * span <= slots:
+        low, span = np.minimum(low[: len(low) - span], low[span:]), 2 * span
+    np.minimum(low[: len(out)], low[slots - span : n - span + 1], out=out)
+
+
 def _words(raw: bytes) -> np.ndarray:
     """The eight bytes from each place on, as a number; zeros follow the end."""
     return np.ndarray((len(raw) + 64,), "<u8", raw + bytes(72), strides=(1,))
@@ -128,18 +146,34 @@ def runs_of(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     order = suffix_order(text)
     n = len(text)
     letters, bwt = np.unique(text[order - 1], return_inverse=True)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    before = np.where(letters[bwt] != 0, place[order - 1], -1)  # where the suffix that is one letter longer stands
     sigma = len(letters)
-    occ = np.zeros((n + 1, sigma), dtype=np.int32)
-    occ[np.arange(1, n + 1), bwt] = 1
-    np.cumsum(occ, axis=0, out=occ)
-    first = np.concatenate([[0], np.cumsum(occ[-1])[:-1]]).astype(np.int64)
+    # how often a letter stands before a place: bytes within 256 places, whole numbers between them
+    near = np.zeros((n // 256 + 1, 256, sigma), np.uint8)
+    near.reshape(-1, sigma)[np.arange(1, n + 1), bwt] = 1
+    far = near.sum(axis=1, dtype=np.int64)
+    far = np.cumsum(far, axis=0) - far + near[:, 0]
+    near[:, 0] = 0
+    for i in range(1, 256):
+        near[:, i] += near[:, i - 1]
+    near = near.reshape(-1, sigma)
+    first = np.cumsum(np.bincount(bwt, minlength=sigma)) - np.bincount(bwt, minlength=sigma)
     usable = letters != 0
     border = np.zeros(n + 1, dtype=bool)
     low, high = np.array([0]), np.array([n])
     for _ in range(least):  # strings of one byte more each time
-        nxt_low, nxt_high = [], []
-        for i in range(0, len(low), 1 << 16):
-            a, z = occ[low[i : i + (1 << 16)]], occ[high[i : i + (1 << 16)]]
+        # an interval of one suffix has one letter before it; of the others all letters are looked up
+        many = high - low > 1
+        alone = before[low[~many]]
+        alone = np.sort(alone[alone >= 0])
+        alone = alone[~border[alone + 1]]
+        border[alone + 1] = True
+        nxt_low, nxt_high = [alone], [alone + 1]
+        low, high = low[many], high[many]
+        for i in range(0, len(low), BLOCK // 16):
+            a, z = (far[x >> 8] + near[x] for x in (low[i : i + BLOCK // 16], high[i : i + BLOCK // 16]))
             which, letter = np.nonzero((z > a) & usable)
             begin, end = first[letter] + a[which, letter], first[letter] + z[which, letter]
             fresh = ~border[end]
@@ -228,15 +262,21 @@ def _judged(pdf):
     import pandas as pd
 
     told = [np.frombuffer(t, np.uint8).reshape(30, -1) for t in pdf["told"]]
-    anchor = np.concatenate([np.cumsum(_numbers(t[:6])) for t in told])
-    key, lo, span = (np.concatenate([_numbers(t[k : k + 8]) for t in told]) for k in (6, 14, 22))
-    lo, hi = lo.view(np.int64), (lo + span).view(np.int64)
-    order, first = _by_anchor(anchor)
-    least_key, least_doc = np.minimum.reduceat(key[order], first), np.minimum.reduceat(lo[order], first)
+    order, first = _by_anchor(np.concatenate([np.cumsum(_numbers(t[:6])) for t in told]))
+    # a column at a time
+    column = lambda k: np.concatenate([_numbers(t[k : k + 8]) for t in told])
+    key = column(6)[order]
+    least_key = np.minimum.reduceat(key, first)
+    one = (least_key == np.maximum.reduceat(key, first)) & (least_key != 0)
+    del key, least_key
+    hi = column(14)
+    least_doc = np.minimum.reduceat(hi.view(np.int64)[order], first)
+    hi += column(22)
+    hi = hi.view(np.int64)
     shared = least_doc < np.maximum.reduceat(hi[order], first)
-    one = (least_key == np.maximum.reduceat(key[order], first)) & (least_key != 0)
-    group = np.empty(len(anchor), np.int64)
-    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(anchor))))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    del order
     code = np.where(shared & ~one, 2, 0).astype(np.uint8)[group]
     code[(shared & one)[group] & (hi > least_doc[group])] = 1
     rows, z = [], 0
@@ -272,8 +312,8 @@ def _held(batches: Iterator[pa.RecordBatch], least: int, seed: int):
                 ranges = np.stack([a[np.append(True, apart)], z[np.append(apart, True)]])
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([None, None, None, chunk, None, None, ranges.astype("<i8").tobytes()], kinds, strict=True)], names)
             open_ = np.flatnonzero(code[group] == 2)
-            for k in range(0, len(open_), 20_000):
-                some = open_[k : k + 20_000]
+            for k in range(0, len(open_), BLOCK // 16):
+                some = open_[k : k + BLOCK // 16]
                 a, z = start[some], stop[some]
                 size = z - a + least - 1
                 at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -351,22 +391,28 @@ def _result(batches: Iterator[pa.RecordBatch], least: int):
             found = batch.column(5)[i]
             if found.is_valid:
                 start, lost = (found.values.field(k).to_numpy() for k in range(2))
-                row, slot = np.nonzero(lost[:, None] >> np.arange(least - GRAM + 1) & 1)
-                s = np.unique(start[row] + slot)
-                edge[s] += 1
-                edge[s + least] -= 1
+                for k in range(0, len(start), BLOCK // 16):
+                    row, slot = np.nonzero(lost[k : k + BLOCK // 16, None] >> np.arange(least - GRAM + 1) & 1)
+                    s = start[k + row] + slot  # each string is in one window
+                    edge[s] += 1
+                    edge[s + least] -= 1
             for ranges in batch.column(6)[i].as_py() or ():
                 a, z = np.frombuffer(ranges, "<i8").reshape(2, -1)
                 edge[a] += 1
                 np.add.at(edge, z + least - 1, -1)
-            cut = np.cumsum(edge[:-1]) > 0
+            cut = np.cumsum(edge[:-1], out=edge[:-1]) > 0
             ends = np.cumsum(sizes)
             begins = cut.copy()
             begins[1:] &= ~cut[:-1]
             # a document's first byte begins a run whatever the document before ends with
             heads = (ends - sizes)[sizes > 0]
             begins[heads] = cut[heads]
-            removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (cut, begins))
+            counts, removed_spans = edge, []
+            counts[0] = 0
+            for x in (cut, begins):
+                np.cumsum(x, out=counts[1:])
+                removed_spans.append(np.diff(counts[np.concatenate([[0], ends])]).astype(np.int64))
+            removed, spans = removed_spans
             kept = _binaries(np.frombuffer(raw, np.uint8)[~cut], sizes - removed)
             yield pa.RecordBatch.from_arrays([*map(pa.array, (docs, sizes, removed, spans)), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -376,6 +422,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, text_col: str = "text") ->
     if not GRAM < least <= 64:
         raise ValueError("least must be over 24 and at most 64")
     spark, seed = docs.sparkSession, secrets.randbits(64)
+    _few_chunks(spark)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
     chunks = saved(texts.mapInArrow(lambda it: _chunks(it, CHUNK_BYTES), CHUNKS), "chunks")
     parts = -(-(chunks.agg(F.sum("n_bytes")).first()[0] or 0) // PART_BYTES) or 1

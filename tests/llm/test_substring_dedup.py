@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from maintspark.llm import substring_dedup
 from maintspark.llm.common import read
@@ -137,3 +139,57 @@ def test_whole_copies_write_no_row_a_window(spark, monkeypatch):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect()}
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sum(written) < 1000  # the texts have about 13,000 windows
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_arrays_of_a_worker_stay_small():
+    """Two megabytes of text, or one transform of 120,000 bytes over a hundred letters; the text's own arrays are 8 bytes a byte."""
+    rng = np.random.default_rng(10)
+    raw, sizes = bytes(rng.integers(32, 127, 2_000_000).astype(np.uint8)), np.full(1000, 2000)
+    start, stop, doc, anchor = substring_dedup.windows_of(raw, sizes, 50)
+    assert peak_mb(lambda: substring_dedup.windows_of(raw, sizes, 50)) < 40
+    windows = [raw[a : z + 49] for a, z in zip(start[:1600].tolist(), stop[:1600].tolist())]
+    assert peak_mb(lambda: runs_of(substring_dedup.letters_of(windows), 50)) < 45
+    lost = [{"start": int(a), "lost": (1 << int(z - a)) - 1} for a, z in zip(start, stop)]
+    found = pa.array([lost], pa.list_(pa.struct([("start", pa.int64()), ("lost", pa.int64())])))
+    chunk = [pa.array([0]), pa.array([len(raw)]), pa.array([np.arange(1000).tobytes()]), pa.array([sizes.tobytes()]), pa.array([pa.compress(raw, codec="zstd", asbytes=True)])]
+    batch = pa.RecordBatch.from_arrays([*chunk, found, pa.nulls(1, pa.list_(pa.binary()))], ["chunk", "n_bytes", "docs", "sizes", "raw", "found", "ranges"])
+    assert next(substring_dedup._result(iter([batch]), 50)).column(2).to_pylist() == [2000] * 1000
+    assert peak_mb(lambda: list(substring_dedup._result(iter([batch]), 50))) < 40
+
+
+def test_a_batch_has_few_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [bytes(rng.integers(97, 123, 3000).astype(np.uint8)).decode() for _ in range(40)]
+    docs = clashing(hard(spark, texts + texts[:20])).coalesce(1)
+    result = substring_dedup._result
+
+    def bounded(batches, least):
+        def looked_at():
+            for batch in batches:
+                if batch.num_rows > 1 and sum(map(len, batch.column(4).to_pylist())) > 100_000:
+                    raise ValueError(f"{batch.num_rows} chunks in a batch")
+                yield batch
+
+        return result(looked_at(), least)
+
+    monkeypatch.setattr(substring_dedup, "_result", bounded)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 7_000)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", "30k", raising=False)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
