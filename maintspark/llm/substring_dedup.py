@@ -257,11 +257,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int, seed: int, parts
             yield pa.RecordBatch.from_pydict({"part": part.astype(np.int64), "chunk": pa.array([chunk] * len(part), pa.int64()), "told": told})
 
 
-def _judged(pdf):
+def _judged(table: pa.Table) -> pa.Table:
     """Of each anchor of each chunk: 0 nothing to do, 1 settled, 2 to be decided; then the smallest ids of those settled."""
-    import pandas as pd
-
-    told = [np.frombuffer(t, np.uint8).reshape(30, -1) for t in pdf["told"]]
+    told = [np.frombuffer(t.as_buffer(), np.uint8).reshape(30, -1) for t in table["told"]]
     order, first = _by_anchor(np.concatenate([np.cumsum(_numbers(t[:6])) for t in told]))
     # a column at a time
     column = lambda k: np.concatenate([_numbers(t[k : k + 8]) for t in told])
@@ -283,7 +281,7 @@ def _judged(pdf):
     for t in told:
         a, z = z, z + t.shape[1]
         rows.append((code[a:z].tobytes(), _planes(least_doc[group[a:z]][code[a:z] == 1].view(np.uint64), 8).tobytes()))
-    return pd.DataFrame({"part": pdf["part"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "code": [r[0] for r in rows], "lows": [r[1] for r in rows]})
+    return pa.table({"part": table["part"], "chunk": table["chunk"], "code": [r[0] for r in rows], "lows": [r[1] for r in rows]})
 
 
 HELD = "anchor long, key long, doc_id long, chunk long, start long, n int, bytes binary"
@@ -424,11 +422,12 @@ def remove_repeats(docs: DataFrame, least: int = 50, text_col: str = "text") ->
     spark, seed = docs.sparkSession, secrets.randbits(64)
     _few_chunks(spark)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
-    chunks = saved(texts.mapInArrow(lambda it: _chunks(it, CHUNK_BYTES), CHUNKS), "chunks")
+    # the texts in it are compressed already
+    chunks = saved(texts.mapInArrow(lambda it: _chunks(it, CHUNK_BYTES), CHUNKS), "chunks", compression="none")
     parts = -(-(chunks.agg(F.sum("n_bytes")).first()[0] or 0) // PART_BYTES) or 1
     told = chunks.mapInArrow(lambda it: _anchor_rows(it, least, seed, parts), "part long, chunk long, told binary")
     # each side of a join is written before, so that the shuffles under it can go
-    judged = saved(told.groupBy("part").applyInPandas(_judged, "part long, chunk long, code binary, lows binary"), "judged", compression="zstd")
+    judged = saved(told.groupBy("part").applyInArrow(_judged, "part long, chunk long, code binary, lows binary"), "judged", compression="zstd")
     free_shuffles(spark)
     per_chunk = judged.groupBy("chunk").agg(F.collect_list(F.struct("part", "code", "lows")).alias("judged"))
     held = saved(chunks.join(per_chunk, "chunk").select(*chunks.columns, "judged").mapInArrow(lambda it: _held(it, least, seed), HELD), "held", compression="zstd")
