@@ -1,4 +1,6 @@
 import hashlib
+import os
+import time
 import tracemalloc
 
 import numpy as np
@@ -193,3 +195,54 @@ def test_a_batch_has_few_chunks(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_windows_cut_again_keep_each_string_once_and_equal_ones_together():
+    rng = np.random.default_rng(12)
+    parts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (30, 55, 80, 200)] + [b"z" * 300, b"ab" * 70, b"\0" * 90]
+    raws = [b"".join(parts[k] for k in rng.integers(0, len(parts), 4)) for _ in range(60)]
+    raw, sizes = b"".join(raws), np.array([len(r) for r in raws])
+    start, stop, doc, anchor = substring_dedup.windows_of(raw, sizes, 50)
+    (batch,) = substring_dedup._rows_of(raw, start[:4000], stop[:4000], anchor[:4000], doc[:4000], doc[:4000] + 7, start[:4000], 50, 1)
+    batch = batch.slice(11)
+    for gram in substring_dedup.LONGER:
+        seen, strings = {}, []
+        for row in (r for b in substring_dedup._again(iter([batch, batch.slice(0, 0)]), 50, 2, gram) for r in b.to_pylist()):
+            assert 0 < row["n"] <= 51 - gram and row["bytes"] == raw[row["start"] : row["start"] + row["n"] + 49] and row["chunk"] == row["doc_id"] + 7
+            strings += range(row["start"], row["start"] + row["n"])
+            assert all(seen.setdefault(raw[i : i + 50], row["anchor"]) == row["anchor"] for i in strings[-row["n"] :])
+        assert sorted(strings) == [i for r in batch.to_pylist() for i in range(r["start"], r["start"] + r["n"])]
+
+
+def test_windows_of_a_common_anchor_write_no_row_a_string(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    line = " licensed to all who read it, without any warranty of any kind, under the terms that are given below. "
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    docs = clashing(hard(spark, [word(90) + line + word(90) for _ in range(600)]))
+    save, written = substring_dedup.saved, {}
+    monkeypatch.setattr(substring_dedup, "saved", lambda df, name, *a, **b: (out := save(df, name, *a, **b), written.update({name: written.get(name, 0) + out.count()}))[0])
+    monkeypatch.setattr(substring_dedup, "MOST", 50)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(docs).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert written.get("strings", 0) < 4_000  # the windows of anchors that the documents share have some 20,000 strings
+
+
+def test_shuffles_go_when_their_query_ends(spark, monkeypatch):
+    """And not when the driver's JVM collects what refers to them, which a later query may not wait for."""
+    def shuffles():
+        tops = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+        return {name for top in tops for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+    save, left = substring_dedup.saved, {}
+
+    def looked_at(df, name, *a, **b):
+        before, out, until = shuffles(), save(df, name, *a, **b), time.time() + 3
+        while (found := shuffles() - before) and time.time() < until:
+            time.sleep(0.1)
+        left[name] = len(found)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "saved", looked_at)
+    assert op5_substring_dedup(hard(spark)).count() == len(HARD)
+    assert left["judged"] == left["held"] == left["distinct"] == left["decided"] == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
